@@ -12,15 +12,20 @@ import re
 import sys
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Parts kept per Python worker; a full cache is emptied (about 110 MB).
-CACHE_PARTS = 500_000
+#: Parts kept per Python worker; a full cache is emptied (about 90 MB).
+CACHE_PARTS = 400_000
 #: Parts longer than this are encoded but not kept.
 CACHE_CHARS = 64
 
+#: A word of Western letters, which lower-casing and composition leave one for one, and ASCII
+#: marks behind it, the apostrophe aside.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -47,7 +52,9 @@ class JsonEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
         self.cuts = self._drops_blanks()
+        self.ends = self._word_ends() if self.cuts else None
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -66,30 +73,78 @@ class JsonEncoder:
         probes = ["a b", "it 's", "x\ny", "1 2", "! !", "e ́", "Σ a", "aΣ b"]
         return all(self._library(p) == b"".join(map(self._library, re.split("[ \n]", p))) for p in probes)
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Whether each id ends a word, if the vocabulary marks that, and if probes show that a
+        word is encoded alike in any capitals and before any marks; else None."""
+        import json
+
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        for w, t in (("Word", ",.!"), ("ÀÉß", '"'), ("thatre", "***"), ("X", "<|>"), ("ab", "$%&#()-/:;=?@[]^_`{|}~")):
+            if self._library(w + t) != self._library(w.lower()) + self._library(t):
+                return None
+        ends = np.zeros(self.vocab_size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith(suffix)
+        return ends
+
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as bytes, four a token."""
         if not self.cuts:
             return self._library(text)
         parts = text.replace("\n", " ").split(" ")
         cache = self.cache
-        new = list(set(parts).difference(cache))
+        new = set(parts).difference(cache)
         if not new:
             return b"".join(map(cache.__getitem__, parts))
         if len(cache) > CACHE_PARTS:
             cache.clear()
             cache[""] = b""
-            new = [p for p in set(parts) if p]
+            new = set(parts)
+            new.discard("")
         kept = cache
         if any(len(p) > CACHE_CHARS for p in new):
             kept = dict.fromkeys(parts)
             kept.update((p, cache[p]) for p in kept if p in cache)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = array("I", e.ids).tobytes()
+        for p, ids in self._encode_parts(new):
             kept[p] = ids
             if len(p) <= CACHE_CHARS:
                 cache[p] = ids
         return b"".join(map(kept.__getitem__, parts))
 
+    def _encode_parts(self, parts: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each part.  Western words with marks behind them are cut before the marks, so
+        that a word is encoded once for all capitals and marks it comes with."""
+        words, cut, rest = self.words, [], []
+        for p in parts:
+            m = _WORD.fullmatch(p) if self.ends is not None else None
+            if m:
+                cut.append((p, m[1].lower(), m[2]))
+            else:
+                rest.append(p)
+        if len(words) > CACHE_PARTS:
+            words.clear()
+        new = list({w for _, w, _ in cut}.difference(words))
+        if new:
+            # one text of all words, cut again behind each token that ends a word
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer doesn't end each word with one final token")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(new, ends.tolist()):
+                words[w] = data[at:end]
+                at = end
+        marks = {t: b"" for _, _, t in cut}
+        behind = [t for t in marks if t]
+        for p, e in zip(behind, self.tokenizer.encode_batch_fast(behind, add_special_tokens=False)):
+            marks[p] = array("I", e.ids).tobytes()
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            yield p, array("I", e.ids).tobytes()
+        for p, w, t in cut:
+            yield p, words[w] + marks[t] if t else words[w]
+
 
 @lru_cache(maxsize=4)
 def json_encoder(path: str) -> JsonEncoder:
