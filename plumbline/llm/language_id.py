@@ -16,11 +16,9 @@ A document is rejected (language ``und``) if it has no letters, or if no languag
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,14 +38,39 @@ TEMPER, FULL_WORDS = 0.5, 40
 #: Host rows that may be broadcast.
 HOST_ROWS = 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
-_KEPT = 300_000
+#: Characters worked on at once.
+_CHARS = 1 << 20
 
 
-def _ngrams(word: str) -> list[int]:
-    """Buckets of the n-grams of one to three characters of a lower-cased word with its ends."""
-    w = f" {word[:40]} "
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+@lru_cache(maxsize=1)
+def _alphabetic() -> np.ndarray:
+    """Whether each character of the Basic Multilingual Plane is a letter."""
+    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+
+def ngram_counts(text: str) -> tuple[np.ndarray, int]:
+    """(counts of the n-grams by bucket, words) of a whole text.
+
+    For each letter, lower-cased: itself, with the character before it, and with those on both
+    sides; anything but a letter is a blank.
+    """
+    counts, words, text = np.zeros(BUCKETS, np.int64), 0, text.lower()
+    for at in range(0, len(text), _CHARS):
+        # one character more on either side; a word across the cut counts once
+        x = np.frombuffer(text[max(0, at - 1) : at + _CHARS + 1].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _alphabetic()[np.minimum(x, 0xFFFF)] & (x < 0xFFFF)
+        c = np.zeros(len(x) + 2, np.uint64)
+        c[1:-1] = np.where(letter, x, 0)
+        i = np.flatnonzero(letter) + 1
+        i = i[(i > (at > 0)) & (i <= min(_CHARS, len(text) - at) + (at > 0))]
+        a, b, d = c[i - 1], c[i], c[i + 1]
+        two = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+        three = two + d * np.uint64(0x165667B19E3779F9) + np.uint64(1)
+        h = np.concatenate([b * np.uint64(0xD6E8FEB86659FD93), two, three])
+        h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 14)
+        counts += np.bincount(h.astype(np.int64), minlength=BUCKETS)
+        words += int((a == 0).sum())
+    return counts, words
 
 
 @dataclass(frozen=True)
@@ -58,25 +81,11 @@ class TextModel:
     languages: tuple[str, ...]
     table: np.ndarray
 
-    def scorer(self):
-        """A function of a text: (tempered log-likelihoods, words)."""
-        cache: dict[str, np.ndarray] = {}
-        width = len(self.languages) + 1
-
-        def score(text: str) -> tuple[np.ndarray, int]:
-            counts = Counter(_WORD.findall(text.lower()))
-            n = sum(counts.values())
-            if not n:
-                return np.zeros(width), 0
-            if len(cache) > _KEPT:
-                cache.clear()
-            for w in counts:
-                if w not in cache:
-                    cache[w] = self.table[_ngrams(w)].mean(axis=0)
-            mean = np.fromiter(counts.values(), np.float64, len(counts)) @ np.array([cache[w] for w in counts]) / n
-            return mean * TEMPER * min(n, FULL_WORDS), n
-
-        return score
+    def score(self, text: str) -> tuple[np.ndarray, int]:
+        """(tempered log-likelihoods, words) of a text."""
+        counts, n = ngram_counts(text)
+        mean = counts @ self.table / max(1, counts.sum())
+        return mean * TEMPER * min(n, FULL_WORDS), n
 
 
 def train_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
@@ -92,9 +101,8 @@ def train_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch["declared"], batch["text"]):
-                row = total.setdefault(name, np.zeros(BUCKETS, np.int64))
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    np.add.at(row, _ngrams(w), n)
+                total.setdefault(name, np.zeros(BUCKETS, np.int64))
+                total[name] += ngram_counts(text)[0]
         for name, row in total.items():
             at = np.flatnonzero(row)
             yield pd.DataFrame({"declared": name, "bucket": at, "n": row[at]})
@@ -113,9 +121,8 @@ def text_evidence(docs: DataFrame, model: TextModel) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["loglik array<double>", "n_words long"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = model.scorer()
         for batch in batches:
-            got = [score(t or "") for t in batch["text"]]
+            got = [model.score(t or "") for t in batch["text"]]
             yield batch.drop(columns="text").assign(loglik=[x for x, _ in got], n_words=[n for _, n in got])
 
     return docs.mapInPandas(run, schema)
