@@ -35,7 +35,7 @@ from .components import components
 BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
 #: Documents on either side of a block.
 BLOCK = 1024
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 300_000
 
 
 class _WordHash(dict):
