@@ -39,7 +39,7 @@ _WORDS_KEPT = 300_000
 
 
 class _WordHash(dict):
-    """64-bit hash of each word, the same in every process; emptied when full."""
+    """64-bit hash of each word, the same in every process; for one task, and emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _WORDS_KEPT:
@@ -48,9 +48,6 @@ class _WordHash(dict):
         return value
 
 
-_word_hash = _WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -62,12 +59,12 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int, known: _WordHash) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``size`` words; of the whole sequence if it
-    is shorter; none without words."""
+    is shorter; none without words.  ``known`` holds hashes of words met before."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     s = np.full(n, min(size, len(h)), np.uint64)
     for k in range(min(size, len(h))):
@@ -110,20 +107,21 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
     """(doc_id, n_shingles, digest, keys, sketch) of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = _constants(bands * rows)
+        a, known = _constants(bands * rows), _WordHash()
         weights = _constants(rows + 1)[1:]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 words = split_words(text)
-                s = shingle_set(words, shingle)
+                s = shingle_set(words, shingle, known)
                 if not len(s):
-                    out.append((doc_id, 0, b"", None, None))
+                    out.append((doc_id, 0, str(doc_id).encode(), None, None))
                     continue
                 samples = _mix(_signature(s, a))
                 keys = _mix((samples.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                 out.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), keys.astype(np.int64), _odd_sketch(samples, bits).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys", "sketch"])
+        common.release_memory()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
@@ -274,9 +272,10 @@ def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block:
     """(a, b): a spanning forest of the true links within each of ``groups(node, root)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHash()
         for g in _groups(batches, ["root", "bi", "bj"]):
             ids = g["doc_id"].to_numpy()
-            edges = _exact_forest([shingle_set(split_words(t), shingle) for t in g["text"]], g["side"].to_numpy(), percent)
+            edges = _exact_forest([shingle_set(split_words(t), shingle, known) for t in g["text"]], g["side"].to_numpy(), percent)
             if edges:
                 yield pd.DataFrame({"a": [int(ids[x]) for x, _ in edges], "b": [int(ids[y]) for _, y in edges]})
 
@@ -292,19 +291,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of
     ``shingle``-word shingles; ``component_id`` is the smallest doc_id that links reach.  Null,
     empty and blank texts have no shingles and are linked with nothing.  ``doc_id`` is a key:
-    rows that repeat it fall into the component of the first; each still gets a row.
+    of rows that repeat it with other texts each gets the result of its words, and the one that
+    stands for the id in links with others is any of them.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = common.materialize(signatures(docs, shingle, bands, rows, bits), "signatures")
-    filled = sig.where("n_shingles > 0")
-    # copies: a class of equal words is its smallest id
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = common.materialize(filled.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "classes")
-    reps = filled.join(member.where("doc_id = class_id").select("doc_id"), "doc_id").select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"])
+    # copies: a class of equal words is its smallest id (texts without words are told apart)
+    classes = sig.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    member = common.materialize(sig.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "class_id"), "classes")
+    first = member.where("doc_id = class_id AND n_shingles > 0").select("doc_id").distinct()
+    reps = sig.where("n_shingles > 0").join(first, "doc_id", "left_semi").select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"])
     groups = common.materialize(candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100)), "groups")
-    found = components(links(docs, groups, shingle, percent).union(member.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))))
-    out = sig.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    root = F.coalesce("root", "doc_id")
+    found = components(links(docs, groups, shingle, percent))
+    root = F.coalesce("root", "class_id")
+    out = member.join(found, F.col("class_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
 
 
