@@ -1,6 +1,318 @@
-"""All queries of the engine and their SQL."""
+"""Queries of the engine over the driver's tables, and their SQL.
+
+Orders stand for files, their lines for routines, return flag and line status for
+components and axes, events for the change log.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import severity as sev
+from ..operators import incremental as inc
+from ..operators import scoring as sc
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _signals(lines: DataFrame) -> DataFrame:
+    """Two signals of each routine: quantity and discount."""
+    cyclomatic = F.round(sev.continuous_log(F.col("l_quantity"), 1, 10) * 5, 6)
+    cognitive = F.round(sev.continuous_log(100 * F.col("l_discount"), 0, 15) * 10, 6)
+    both = F.explode(F.array(F.struct(F.lit("cognitive").alias("component"), cognitive.alias("value")), F.struct(F.lit("cyclomatic").alias("component"), cyclomatic.alias("value"))))
+    return lines.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("grp"), both.alias("s"), F.col("l_linestatus").alias("axis")).select("path", "grp", F.col("grp").alias("subject"), "axis", "s.*")
+
+
+_SIGNALS = """sig AS (
+  SELECT l_orderkey AS path, l_linenumber AS grp, l_linestatus AS axis, 'cyclomatic' AS component, round(5 * log2(1 + greatest(0.0, l_quantity - 1) / 9), 6) AS value FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus, 'cognitive', round(10 * log2(1 + greatest(0.0, 100 * l_discount) / 15), 6) FROM lineitem),
+win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, grp ORDER BY value DESC, component) AS nth FROM sig WHERE value <> 0) WHERE nth = 1)"""
+
+
+@query(f"""WITH {_SIGNALS}, s AS (SELECT path, round(sum(value), 6) AS score FROM win GROUP BY path)
+SELECT path, score, row_number() OVER (ORDER BY score DESC, path)::INTEGER AS rank FROM s ORDER BY score DESC, path LIMIT 20""")
+def score_rank(spark, sf_dir):
+    best = sc.grouped_max(_signals(_t(spark, sf_dir, "lineitem")))
+    return sc.top_ranked(best.groupBy("path").agg(F.round(F.sum("contribution"), 6).alias("score")), "score", "path", n=20)
+
+
+_SEV = {"s_binary": "CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END", "s_count": "v", "s_log_count": "log2(1 + v)", "s_linear": "CASE WHEN v >= 20 THEN v / 20 ELSE 0.0 END", "s_log_ratio": "CASE WHEN v >= 20 THEN 1 + log2(v / 20) ELSE 0.0 END", "s_continuous": "log2(1 + greatest(0.0, v - 1) / 9)"}
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"round({f}({e}), 4)::DOUBLE AS {f}_{n}" for n, e in _SEV.items() for f in ("min", "max", "avg")) + " FROM (SELECT l_returnflag, l_quantity AS v FROM lineitem) GROUP BY l_returnflag")
+def severity_all(spark, sf_dir):
+    v = sev.checked(F.col("l_quantity"), "quantity")
+    cols = {"s_binary": sev.binary(v), "s_count": sev.count(v), "s_log_count": sev.log_count(v), "s_linear": sev.linear_over_threshold(v, 20), "s_log_ratio": sev.log_ratio(v, 20), "s_continuous": sev.continuous_log(v, 1, 10)}
+    lines = _t(spark, sf_dir, "lineitem").select("l_returnflag", *[c.alias(n) for n, c in cols.items()])
+    return lines.groupBy("l_returnflag").agg(*[F.round(f(n), 4).alias(f"{k}_{n}") for n in cols for k, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
+
+
+@query("""WITH s AS (SELECT l_suppkey, sum(l_quantity) AS wmc, count(DISTINCT l_partkey) AS atfd, round(avg(l_discount) * 500, 6) AS tcc FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, round(CASE WHEN wmc >= 47 AND atfd > 5 AND tcc < 100.0/3 THEN 30 + 8 * (1 + log2(atfd / 5.0)) + 8 * (1 + log2((100.0::DOUBLE/3) / least(greatest(tcc, 1.0), 100.0::DOUBLE/3))) ELSE 0 END, 6)::DOUBLE AS severity FROM s""")
+def god_severity(spark, sf_dir):
+    s = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("wmc"), F.countDistinct("l_partkey").alias("atfd"), F.round(F.avg("l_discount") * 500, 6).alias("tcc"))
+    return s.select("l_suppkey", F.round(sev.god_class(F.col("wmc"), F.col("atfd"), F.col("tcc")), 6).alias("severity"))
+
+
+@query(f"""WITH {_SIGNALS}, n AS (SELECT path, grp, count(*) - 1 AS losers FROM sig WHERE value <> 0 GROUP BY path, grp)
+SELECT path, count(*) FILTER (component = 'cognitive')::BIGINT AS cognitive_wins, count(*) FILTER (component = 'cyclomatic')::BIGINT AS cyclomatic_wins, sum(losers)::BIGINT AS overlapped, round(sum(value), 6) AS charged
+FROM win JOIN n USING (path, grp) GROUP BY path""")
+def grouped_max(spark, sf_dir):
+    best = sc.grouped_max(_signals(_t(spark, sf_dir, "lineitem")))
+    wins = lambda c: F.sum((F.col("component") == c).cast("long")).alias(f"{c}_wins")
+    return best.groupBy("path").agg(wins("cognitive"), wins("cyclomatic"), F.sum(F.size("signals") - 1).cast("long").alias("overlapped"), F.round(F.sum("contribution"), 6).alias("charged"))
+
+
+@query(f"""WITH {_SIGNALS}, c AS (SELECT path, sum(value) AS charged FROM win GROUP BY path)
+SELECT o_orderkey AS owner, round(greatest(0.0, CASE WHEN o_totalprice >= 1000 THEN 10 * (1 + log2(o_totalprice / 1000)) ELSE 0.0 END - coalesce(charged, 0)), 6) AS residual
+FROM orders LEFT JOIN c ON path = o_orderkey""")
+def type_residual(spark, sf_dir):
+    charges = sc.grouped_max(_signals(_t(spark, sf_dir, "lineitem"))).select(F.col("path").alias("owner"), "contribution")
+    types = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("owner"), (sev.log_ratio(F.col("o_totalprice"), 1000) * 10).alias("severity"))
+    return sc.residual(types, charges).select("owner", F.round("residual", 6).alias("residual"))
+
+
+@query(f"""WITH {_SIGNALS} SELECT path, round(coalesce(sum(value) FILTER (axis = 'F'), 0), 6) AS axis_f, round(coalesce(sum(value) FILTER (axis = 'O'), 0), 6) AS axis_o, round(sum(value), 6) AS total FROM (SELECT path, grp, axis, max(value) AS value FROM sig WHERE value <> 0 GROUP BY ALL) GROUP BY path""")
+def axis_rollup(spark, sf_dir):
+    s = _signals(_t(spark, sf_dir, "lineitem"))
+    best = sc.grouped_max(s.withColumn("grp", F.struct("axis", "grp"))).withColumn("axis", F.col("grp.axis"))
+    of = lambda a: F.round(F.sum(F.when(F.col("axis") == a, F.col("contribution")).otherwise(0.0)), 6)
+    return best.groupBy("path").agg(of("F").alias("axis_f"), of("O").alias("axis_o"), F.round(F.sum("contribution"), 6).alias("total"))
+
+
+@query("""SELECT l_orderkey AS path, round(sum(CASE l_returnflag WHEN 'A' THEN l_quantity * 2 WHEN 'N' THEN 0 ELSE l_quantity END), 4)::DOUBLE AS score FROM lineitem GROUP BY l_orderkey""")
+def policy_reweight(spark, sf_dir):
+    q = F.col("l_quantity")
+    under = F.when(F.col("l_returnflag") == "A", sc.reweight(q, 5, 10)).when(F.col("l_returnflag") == "N", sc.reweight(q, 5, 0)).otherwise(sc.reweight(q, 5, None))
+    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.round(F.sum(under), 4).alias("score"))
+
+
+@query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS complete, l.doc_id IS NOT NULL AND coalesce(n_chars, 0) / 100.0 <= 20 AS passed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def coverage_gate(spark, sf_dir):
+    covered = _t(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("covered", F.lit(True))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars").join(covered, "doc_id", "left")
+    complete = F.coalesce("covered", F.lit(False))
+    return d.select("doc_id", complete.alias("complete"), sc.gate(F.coalesce("n_chars", F.lit(0)) / 100, complete, 20).alias("passed"))
+
+
+@query("""SELECT count(*)::BIGINT AS files_analyzed, count(l.doc_id)::BIGINT AS complete_files, (count(*) - count(l.doc_id))::BIGINT AS failed_files, bool_and(l.doc_id IS NOT NULL) AS passed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def doc_summary(spark, sf_dir):
+    c = coverage_gate(spark, sf_dir)
+    n = F.sum(F.col("complete").cast("long"))
+    return c.agg(F.count("*").alias("files_analyzed"), n.alias("complete_files"), (F.count("*") - n).alias("failed_files"), F.every("complete").alias("passed"))
+
+
+@query("SELECT least(20, floor(greatest(0, o_totalprice / 4000) / 5))::INTEGER AS bin, count(*)::BIGINT AS files FROM orders GROUP BY 1")
+def histogram(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy(sc.bucket(F.col("o_totalprice") / 4000).alias("bin")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT least(20, floor(greatest(0, v) / 5))::INTEGER AS bin, count(*)::BIGINT AS files FROM (SELECT user_id, max_by(value, event_id) AS v FROM events GROUP BY user_id) GROUP BY 1 HAVING count(*) > 0")
+def histogram_delta(spark, sf_dir):
+    """Histogram of each user's last value, kept up by taking off old and adding new bins."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    last = Window.partitionBy("user_id").orderBy("event_id")
+    moves = e.withColumn("old", F.lag("value").over(last))
+    signed = moves.select(sc.bucket(F.col("value")).alias("bin"), F.lit(1).alias("n")).union(moves.where("old IS NOT NULL").select(sc.bucket(F.col("old")), F.lit(-1)))
+    return signed.groupBy("bin").agg(F.sum("n").cast("long").alias("files")).where("files > 0")
+
+
+@query("""WITH m AS (SELECT c_custkey, max(o_totalprice) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT c_custkey, v AS metric, row_number() OVER (ORDER BY v DESC NULLS LAST, c_custkey)::INTEGER AS place FROM m ORDER BY place LIMIT 200""")
+def view_sort_missing_last(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("metric"))
+    m = _t(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    top = sc.view_sort(m, "metric", "c_custkey").limit(200)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("metric").desc_nulls_last(), "c_custkey")))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog.')")
+def path_search(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", "url").where(F.lower("url").contains("blog."))
+
+
+@query("""SELECT regexp_extract(url, '\\.([a-z]+)(?:/|$)', 1) AS suffix, count(*)::BIGINT AS files, count(*) FILTER (url LIKE '%/en/%')::BIGINT AS english FROM pages WHERE NOT regexp_matches(url, '#top$') GROUP BY 1""")
+def language_map(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").where(~F.col("url").rlike("#top$"))
+    return p.groupBy(F.regexp_extract("url", r"\.([a-z]+)(?:/|$)", 1).alias("suffix")).agg(F.count("*").alias("files"), F.sum(F.col("url").contains("/en/").cast("long")).alias("english"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS key, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def dedupe_precedence(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
+    return d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id AS lo, lead(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events),
+p AS (SELECT user_id, event_id FROM events WHERE event_type = 'click'),
+j AS (SELECT p.*, lo, row_number() OVER (PARTITION BY p.user_id, event_id ORDER BY lo DESC, hi) AS nth FROM p JOIN r ON p.user_id = r.user_id AND lo <= event_id AND event_id <= hi)
+SELECT user_id, event_id, lo FROM j WHERE nth = 1""")
+def nested_routine_join(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    r = e.select("user_id", F.col("event_id").alias("lo"), F.lead("event_id", 3).over(Window.partitionBy("user_id").orderBy("event_id")).alias("hi"))
+    return inc.innermost(e.where("event_type = 'click'").select("user_id", "event_id"), r, "user_id", "event_id", "lo", "hi").select("user_id", "event_id", "lo")
+
+
+@query("""WITH u AS (SELECT n_regionkey, min(n_nationkey) AS only_ FROM nation GROUP BY n_regionkey HAVING count(*) = 1)
+SELECT s_suppkey, coalesce(n.n_nationkey, u.only_) AS owner FROM supplier LEFT JOIN nation n ON n.n_nationkey = s_nationkey LEFT JOIN u ON u.n_regionkey = s_nationkey""")
+def owner_fallback(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    only = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("only_"), F.count("*").alias("c")).where("c = 1")
+    s = _t(spark, sf_dir, "supplier").join(n.select("n_nationkey", F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left").join(only.select(F.col("n_regionkey").alias("s_nationkey"), "only_"), "s_nationkey", "left")
+    return s.select("s_suppkey", F.coalesce("n_nationkey", "only_").alias("owner"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber AS m, l_suppkey % 5 AS f FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT m) AS n FROM m GROUP BY 1),
+p AS (SELECT a.l_orderkey, count(DISTINCT (a.m, b.m)) AS c FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.f = b.f AND a.m < b.m GROUP BY 1)
+SELECT l_orderkey, CASE WHEN n < 2 THEN 0.0 ELSE round(coalesce(c, 0) / (n * (n - 1) / 2.0), 6) END::DOUBLE AS tcc FROM n LEFT JOIN p USING (l_orderkey)""")
+def tcc_pairs(spark, sf_dir):
+    m = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("m"), (F.col("l_suppkey") % 5).alias("f")).distinct()
+    n = m.groupBy("l_orderkey").agg(F.countDistinct("m").alias("n"))
+    p = m.alias("a").join(m.alias("b"), ["l_orderkey", "f"]).where("a.m < b.m").select("l_orderkey", F.col("a.m").alias("x"), F.col("b.m").alias("y")).distinct().groupBy("l_orderkey").agg(F.count("*").alias("c"))
+    tcc = F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.coalesce("c", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2.0), 6))
+    return n.join(p, "l_orderkey", "left").select("l_orderkey", tcc.alias("tcc"))
+
+
+@query("SELECT l_suppkey, count(DISTINCT l_partkey)::BIGINT AS cbo FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY l_suppkey")
+def cbo_distinct(spark, sf_dir):
+    off = _t(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
+    return _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(off, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("cbo"))
+
+
+@query("SELECT o_orderkey, (count(l_orderkey) + coalesce(sum(l_quantity), 0))::DOUBLE AS wmc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def wmc_sum(spark, sf_dir):
+    w = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") + F.sum("l_quantity")).alias("w"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey").join(w, "o_orderkey", "left").select("o_orderkey", F.coalesce("w", F.lit(0.0)).cast("double").alias("wmc"))
+
+
+@query("""WITH a AS (SELECT l_suppkey, sum(greatest(1, l_linenumber)) AS f, count(*) + sum(greatest(1, l_linenumber % 3)) AS c, count(*) FILTER (l_returnflag = 'R') AS x FROM lineitem GROUP BY 1)
+SELECT l_suppkey, floor(least(100.0, greatest(0.0, 0.8 * 100 * greatest(0.0, 1 - (f / c) / 1.05) + 0.2 * 100 * least(1.0, x / c))) + 0.5)::BIGINT AS penalty FROM a""")
+def shallowness_v3(spark, sf_dir):
+    a = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.greatest(F.lit(1), "l_linenumber")).alias("f"), (F.count("*") + F.sum(F.greatest(F.lit(1), F.col("l_linenumber") % 3))).alias("c"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("x"))
+    raw = 0.8 * 100 * F.greatest(F.lit(0.0), 1 - (F.col("f") / F.col("c")) / 1.05) + 0.2 * 100 * F.least(F.lit(1.0), F.col("x") / F.col("c"))
+    return a.select("l_suppkey", F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)) + 0.5).alias("penalty"))
+
+
+_RANKS = """d AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, round(sum(value), 4) AS score FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, user_id) AS rank FROM d)"""
+
+
+@query(f"""WITH {_RANKS} SELECT user_id, day, rank::INTEGER AS rank, (first_value(rank) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) - rank)::INTEGER AS movement,
+sign(score - lag(score) OVER (PARTITION BY user_id ORDER BY day))::DOUBLE AS direction FROM r""")
+def rank_movement(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("score"))
+    r = d.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "user_id"))).withColumn("n", F.datediff("day", F.lit("1970-01-01")))
+    by = Window.partitionBy("user_id").orderBy("n")
+    return r.select("user_id", "day", "rank", (F.first("rank").over(by.rangeBetween(-7, 0)) - F.col("rank")).alias("movement"), F.signum(F.col("score") - F.lag("score").over(by)).alias("direction"))
+
+
+@query("""WITH f AS (SELECT user_id, min(event_id) AS seen FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY seen, user_id) AS rank, count(*) OVER () AS n FROM f)
+SELECT user_id, CASE WHEN rank <= greatest(1, ceil(n * 0.1)) THEN 'top10' WHEN rank <= greatest(1, ceil(n * 0.5)) THEN 'top50' ELSE 'rest' END AS marker FROM r""")
+def new_file_marker(spark, sf_dir):
+    f = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("seen"))
+    n = f.agg(F.count("*").alias("n"))
+    r = f.withColumn("rank", F.row_number().over(Window.orderBy("seen", "user_id"))).crossJoin(F.broadcast(n))  # n is one row
+    within = lambda p: F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * p))
+    return r.select("user_id", F.when(within(0.1), "top10").when(within(0.5), "top50").otherwise("rest").alias("marker"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS began, count(*)::BIGINT AS changes FROM s GROUP BY user_id, s""")
+def debounce_sessions(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.min("ts").alias("began"), F.count("*").alias("changes"))
+    return e.select("user_id", "began", "changes")
+
+
+@query("SELECT user_id, date_trunc('minute', ts) AS minute, max_by(event_type, event_id) AS op, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def coalesce_changes(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.max_by("event_type", "event_id").alias("op"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'new' ELSE 'old' END AS origin FROM orders")
+def replace_merge(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    new = o.where("o_orderdate >= timestamp '1997-01-01'").select("o_orderkey", F.lit("new").alias("origin"))
+    return inc.replace_merge(o.select("o_orderkey", F.lit("old").alias("origin")), new, "o_orderkey")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
+def upsert_latest(spark, sf_dir):
+    return inc.latest(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id % 97 AS src, event_id % 97 AS dst FROM events WHERE user_id % 97 < 12), r AS (SELECT 3 AS node UNION SELECT dst FROM r JOIN e ON src = node) SELECT node::BIGINT AS node FROM r""")
+def unit_closure(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").where("user_id % 97 < 12").select((F.col("user_id") % 97).alias("src"), (F.col("event_id") % 97).alias("dst"))
+    return inc.closure(spark, e, spark.createDataFrame([(3,)], "node long"))
+
+
+@query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(coalesce(text, '')) AS h FROM documents) GROUP BY source")
+def fingerprint(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    return d.groupBy("source").agg(inc.fingerprint(F.collect_list("h")).alias("fingerprint"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def misses(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""WITH m AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+', 0) AS module FROM pages WHERE page_id % 2 = 0)
+SELECT page_id, max_by(module, length(module)) AS owner FROM pages LEFT JOIN m ON url = module OR starts_with(url, module || '/') GROUP BY page_id""")
+def nearest_ancestor(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    m = p.where("page_id % 2 = 0").select(F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("module")).distinct()
+    a = p.select("page_id", F.explode(inc.ancestors(F.col("url"))).alias("module")).join(m.withColumn("hit", F.lit(True)), "module", "left")
+    return a.groupBy("page_id").agg(F.max_by("module", F.when(F.col("hit"), F.length("module"))).alias("owner"))
+
+
+@query("""WITH b AS (SELECT l_suppkey, 8 * count(DISTINCT l_returnflag) + 4 * count(DISTINCT l_linestatus) + 2 * max(l_linenumber) + count(*) % 7 AS b8, count(DISTINCT l_linenumber) AS h FROM lineitem GROUP BY 1)
+SELECT l_suppkey, b8::BIGINT AS b8, h::BIGINT AS h, ((200 * b8 + (b8 + 16 * h)) // (2 * (b8 + 16 * h)))::BIGINT AS shallow FROM b""")
+def burden_b8(spark, sf_dir):
+    b = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((8 * F.countDistinct("l_returnflag") + 4 * F.countDistinct("l_linestatus") + 2 * F.max("l_linenumber") + F.count("*") % 7).cast("long").alias("b8"), F.countDistinct("l_linenumber").alias("h"))
+    return b.withColumn("shallow", F.expr("(200 * b8 + (b8 + 16 * h)) div (2 * (b8 + 16 * h))"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, 2 * l_linenumber + l_suppkey % 5 + 8 * (l_partkey % 3) AS cost FROM lineitem)
+SELECT l_orderkey, l_linenumber, cost FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY cost, l_linenumber) AS nth FROM c) WHERE nth = 1""")
+def cheapest_route(spark, sf_dir):
+    cost = 2 * F.col("l_linenumber") + F.col("l_suppkey") % 5 + 8 * (F.col("l_partkey") % 3)
+    best = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct(cost.alias("cost"), "l_linenumber")).alias("b"))
+    return best.select("l_orderkey", "b.l_linenumber", "b.cost")
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_returnflag, sum(CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS h FROM lineitem GROUP BY ALL) SELECT l_orderkey, min(h)::BIGINT AS hidden FROM w GROUP BY l_orderkey""")
+def min_hidden(spark, sf_dir):
+    w = F.when(F.col("l_linenumber") % 3 == 0, 0).when(F.col("l_linenumber") % 3 == 1, 1).otherwise(2)
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum(w).alias("h")).groupBy("l_orderkey").agg(F.min("h").alias("hidden"))
+
+
+@query("""WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)
+SELECT b.o_custkey, b.n AS before_n, c.n AS now_n, c.n <= b.n + 1 AS passed FROM y b JOIN y c ON b.o_custkey = c.o_custkey AND b.y = 1995 AND c.y = 1996""")
+def goal_verify(spark, sf_dir):
+    y = _t(spark, sf_dir, "orders").where("year(o_orderdate) IN (1995, 1996)").groupBy("o_custkey").agg(*[F.sum((F.year("o_orderdate") == v).cast("long")).alias(n) for v, n in ((1995, "before_n"), (1996, "now_n"))])
+    return y.where("before_n > 0 AND now_n > 0").withColumn("passed", F.col("now_n") <= F.col("before_n") + 1)
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z_0-9]*'))::BIGINT AS identifiers, len(regexp_extract_all(coalesce(text, ''), '[0-9]+'))::BIGINT AS numbers, len(regexp_extract_all(coalesce(text, ''), '[-+*/%=<>!&|]+'))::BIGINT AS operators FROM documents""")
+def token_counts(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    return _t(spark, sf_dir, "documents").select("doc_id", n("[A-Za-z_][A-Za-z_0-9]*").alias("identifiers"), n("[0-9]+").alias("numbers"), n("[-+*/%=<>!&|]+").alias("operators"))
