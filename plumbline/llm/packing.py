@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenizing import json_encoder, tokenizer_path
+from .tokenizing import CACHE_PARTS, json_encoder, tokenizer_path
 
 #: Bins that a packer keeps open.
 OPEN_BINS = 2048
@@ -61,15 +61,17 @@ class BestFit:
         return b, self.capacity - free
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cache: int = CACHE_PARTS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document: its ids and ``end_id``,
-    cut into pieces of ``capacity`` only where they are more.  Null texts count as empty."""
+    cut into pieces of ``capacity`` only where they are more.  Null texts count as empty.
+    ``cache`` is the number of encoded words that a Python worker keeps: memory against time."""
     common.small_batches(docs.sparkSession)
     path = tokenizer_path(tokenizer)
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = json_encoder(path)
+        encoder.limit = cache
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
@@ -111,10 +113,10 @@ def pack(lengths: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, p
     return dealt.mapInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, cache: int = CACHE_PARTS) -> DataFrame:
     """Tokenize, cut and pack ``docs(doc_id, text)``.  The lengths are written to a table
     first, so that losing an executor never tokenizes again."""
-    return pack(common.materialize(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(common.materialize(pieces(docs, tokenizer, capacity, end_id, cache), "pieces"), capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenizing import json_encoder, tokenizer_path
+from .tokenizing import CACHE_PARTS, json_encoder, tokenizer_path
 
 MAGIC = b"PLMREC01"
 _MASK = 0xA282EAD8
@@ -125,6 +125,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = json_encoder(path)
+        encoder.limit = CACHE_PARTS
         largest = max(encoder.vocab_size - 1, end_id or 0)
         width = 2 if largest < 1 << 16 else 4
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")

@@ -52,6 +52,7 @@ class JsonEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {"": b""}
+        self.limit = CACHE_PARTS
         self.words: dict[str, bytes] = {}
         self.cuts = self._drops_blanks()
         self.ends = self._word_ends() if self.cuts else None
@@ -98,7 +99,7 @@ class JsonEncoder:
         new = set(parts).difference(cache)
         if not new:
             return b"".join(map(cache.__getitem__, parts))
-        if len(cache) > CACHE_PARTS:
+        if len(cache) > self.limit:
             cache.clear()
             cache[""] = b""
             new = set(parts)
@@ -123,7 +124,7 @@ class JsonEncoder:
                 cut.append((p, m[1].lower(), m[2]))
             else:
                 rest.append(p)
-        if len(words) > CACHE_PARTS:
+        if len(words) > self.limit:
             words.clear()
         new = list({w for _, w, _ in cut}.difference(words))
         if new:
