@@ -31,8 +31,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
+    """Places of the pieces of all documents in sequences of 4096 tokens.  The workers have run
+    the other stages, so they keep fewer encoded words."""
+    return packing.pack_documents(docs, cache=100_000)
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near), ("decontamination", benchmark), ("packing", pack)]
