@@ -18,7 +18,7 @@ _TOKEN = re.compile(
     |(?P<comment>//[^\n]*|/\*.*?\*/)
     |(?P<open>/\*)
     |(?P<lifetime>'(?=[{_LETTER}_][{_LETTER}0-9_]*+(?!')))
-    |(?P<string>(?P<quote>["'`])(?:\\.|(?!(?P=quote))[^\\])*+(?P<end>(?P=quote))?(?:\\\Z)?)
+    |(?P<string>(?P<quote>["'`])(?:\\.|(?!(?P=quote))[^\\])*+(?:(?P<end>(?P=quote))|\\?\Z))
     |(?P<identifier>[{_LETTER}_$][{_LETTER}0-9_$]*)
     |(?P<number>[0-9](?:[0-9]|\.(?=[0-9]))*)
     |(?P<operator>{"|".join(map(re.escape, TWO))}|.)""",
