@@ -52,3 +52,17 @@ def innermost(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: st
     j = points.join(ranges, key).where((F.col(lo) <= F.col(point)) & (F.col(point) <= F.col(hi)))
     w = Window.partitionBy(*[F.col(c) for c in points.columns]).orderBy(F.desc(lo), F.asc(hi))
     return j.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def resolve(calls: DataFrame, targets: DataFrame, scopes: list[list[str]], id: str, to: str) -> DataFrame:
+    """``calls`` with the target of the first of ``scopes`` (lists of key columns) that has any
+    candidate, as column ``to``; null if it has more than one or none has any.  Candidates are counted
+    before the joins, so a key that many targets share stays one row."""
+    out, found = calls, F.lit(None)
+    for i, keys in enumerate(scopes):
+        one = targets.groupBy(*keys).agg(F.min(id).alias(f"_lo{i}"), F.max(id).alias(f"_hi{i}"))
+        out = out.join(one, keys, "left")
+    for i in reversed(range(len(scopes))):
+        unique = F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
+        found = F.when(F.col(f"_lo{i}").isNotNull(), unique).otherwise(found)
+    return out.select(*calls.columns, found.alias(to))

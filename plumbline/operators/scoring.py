@@ -54,3 +54,28 @@ def view_sort(df: DataFrame, value: str, tie: str, descending: bool = True) -> D
     """Missing values last in either direction."""
     c = F.col(value)
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), tie)
+
+
+def resample(bins: DataFrame, width: int, last: int = 20) -> DataFrame:
+    """(place, files): a histogram ``bins(bin, files)`` on ``width`` columns.  With fewer columns than
+    bins the last one is the overflow bin alone; with more, bins are repeated."""
+    n = last + 1
+    if width < n:
+        spans = [(c * last // max(1, width - 1), (c + 1) * last // max(1, width - 1)) for c in range(width - 1)] + [(last, n)]
+    else:
+        spans = [(c * n // width, max((c + 1) * n // width, c * n // width + 1)) for c in range(width)]
+    places = bins.sparkSession.createDataFrame([(c, b) for c, (lo, hi) in enumerate(spans) for b in range(lo, hi)], "place int, bin int")
+    # at most one row for each column and bin
+    return F.broadcast(places).join(bins, "bin", "left").groupBy("place").agg(F.coalesce(F.sum("files"), F.lit(0)).cast("long").alias("files"))
+
+
+def state_rank(state: Column) -> Column:
+    """Order of measurement states; the worst wins a merge."""
+    return F.when(state == "unavailable", 3).when(state == "partial", 2).when(state == "measured", 1).otherwise(0)
+
+
+def merge_boundaries(rows: DataFrame) -> DataFrame:
+    """(boundary, state, score) of ``rows(boundary, score)``: differing measured scores withhold it."""
+    g = rows.groupBy("boundary").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    same = F.col("lo").eqNullSafe(F.col("hi"))
+    return g.select("boundary", F.when(same, "measured").otherwise("unavailable").alias("state"), F.when(same, F.col("lo")).alias("score"))

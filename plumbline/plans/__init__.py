@@ -1 +1,3 @@
+"""Queries over the driver's tables."""
 
+from . import catalog, facts  # noqa: F401 - facts adds its queries to the catalog
