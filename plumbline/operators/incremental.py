@@ -66,3 +66,41 @@ def resolve(calls: DataFrame, targets: DataFrame, scopes: list[list[str]], id: s
         unique = F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
         found = F.when(F.col(f"_lo{i}").isNotNull(), unique).otherwise(found)
     return out.select(*calls.columns, found.alias(to))
+
+
+def unusable_ranges(ranges: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """The values of ``key`` whose ranges cross, repeat or are empty, so that nothing can be looked up
+    in them.
+
+    Ends and starts are walked in order with a count of the open ranges.  A range that crosses none
+    finds as many open behind it as before it, and of ranges that cross, the first to start finds
+    more.  One window over the key, no pairs.
+    """
+    ends = F.array(F.struct(F.col(hi).alias("pos"), F.lit(0).alias("turn"), (-F.col(lo)).alias("tie"), F.lit(-1).alias("d")), F.struct(F.col(lo).alias("pos"), F.lit(1).alias("turn"), (-F.col(hi)).alias("tie"), F.lit(1).alias("d")))
+    events = ranges.select(key, lo, hi, F.explode(ends).alias("e")).select(key, lo, hi, "e.*")
+    w = Window.partitionBy(key).orderBy("pos", "turn", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = events.withColumn("open", F.sum("d").over(w))
+    before, behind = F.max(F.when(F.col("d") == 1, F.col("open") - 1)), F.max(F.when(F.col("d") == -1, F.col("open")))
+    wrong = open_.groupBy(key, lo, hi).agg(((F.count("*") != 2) | (before != behind) | (F.col(lo) >= F.col(hi))).alias("wrong"))
+    return wrong.where("wrong").select(key).distinct()
+
+
+def enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
+    """``innermost`` among the keys whose ranges are disjoint or nested; other points stay without one."""
+    return innermost(points, ranges.join(unusable_ranges(ranges, key, lo, hi), key, "left_anti"), key, point, lo, hi)
+
+
+def link_methods(types: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, type, location, fn): routines of ``functions(path, location, fn)`` by the locations that
+    ``types(path, type, locations)`` names; a location of two routines is an error."""
+    once = functions.groupBy("path", "location").agg(F.min("fn").alias("fn"), F.count("*").alias("n"))
+    sure = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two routines at "), "path", F.lit(":"), F.col("location").cast("string"))).cast("string")).otherwise(F.col("fn"))
+    return types.select("path", "type", F.explode("locations").alias("location")).join(once, ["path", "location"]).select("path", "type", "location", sure.alias("fn"))
+
+
+def join_path(base: Column, relative: Column) -> Column:
+    """A relative path from a directory, without ``.`` and ``..``; what would leave the root is null."""
+    parts = F.split(F.concat_ws("/", base, relative), "/")
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) == 0), F.array(F.lit(None).cast("string"))).when(p == "..", F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, p))
+    out = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~F.exists(out, lambda p: p.isNull()), F.array_join(out, "/"))
