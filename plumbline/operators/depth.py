@@ -42,3 +42,70 @@ def cheapest_route(routes: DataFrame) -> DataFrame:
     """Of ``routes(family, route_id, a, e, p, s)`` the cheapest of each family, ties by id."""
     cost = 2 * F.col("a") + F.col("e") + 8 * F.col("p") + 8 * F.col("s")
     return routes.groupBy("family").agg(F.min(F.struct(cost.alias("cost"), "route_id")).alias("b")).select("family", "b.route_id", "b.cost")
+
+
+def faults(boundaries: DataFrame) -> DataFrame:
+    """(boundary, fault): what is wrong with ``boundaries(boundary, b, families, alternatives, categories)``, a row
+    for each fault; those without any have none."""
+    ids = F.array_distinct(F.flatten("alternatives"))
+    checks = {
+        "identity": F.coalesce(F.trim("boundary"), F.lit("")) == "",
+        "negative_burden": F.array_min(F.array(*[F.col("b")[p] for p in BURDEN_WEIGHTS])) < 0,
+        "repeated_family": F.size(F.array_distinct("families")) < F.size("families"),
+        "no_alternative": (F.size("families") > 0) & (F.size("alternatives") == 0),
+        "unknown_obligation": F.size(F.array_except(ids, F.map_keys("categories"))) > 0,
+        "unknown_category": F.size(F.array_except(F.array_distinct(F.map_values("categories")), F.array(*[F.lit(c) for c in CATEGORY_WEIGHTS]))) > 0,
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+    return boundaries.select("boundary", F.explode(found).alias("fault"))
+
+
+def publish(b8: Column, h: Column, role: Column, essential_unknown: Column, complete: Column, bounded: Column) -> Column:
+    """struct(state, value) of a boundary.
+
+    Passive data is 0; passive creation and supporting contracts aren't applicable; where an essential
+    fact is unknown or the alternatives aren't complete there is only the ``bounded`` estimate, or, without
+    one, no value.
+    """
+    score = shallow(b8, h)
+    lacking = essential_unknown | ~complete
+    state = (
+        F.when(role == "passive_data", "measured")
+        .when(role.isin("passive_creation", "supporting_contract"), "not_applicable")
+        .when(lacking & bounded.isNotNull(), "estimated")
+        .when(essential_unknown, "unavailable")
+        .when(~complete, "partial")
+        .when(score.isNull(), "not_applicable")
+        .otherwise("measured")
+    )
+    value = F.when(role == "passive_data", F.lit(0).cast("long")).when(state == "estimated", bounded.cast("long")).when(state == "measured", score)
+    return F.struct(state.alias("state"), value.alias("value"))
+
+
+def per_file(boundaries: DataFrame) -> DataFrame:
+    """(path, state, value): the largest value of the boundaries of a file, from ``boundaries(boundary, files,
+    state, value)``; the worst state of those that apply counts, and without any it doesn't apply."""
+    rank = F.when(F.col("state") == "unavailable", 4).when(F.col("state") == "partial", 3).when(F.col("state") == "estimated", 2).when(F.col("state") == "measured", 1).otherwise(0)
+    rows = boundaries.select(F.explode("files").alias("path"), "state", "value", rank.alias("rank"))
+    return rows.groupBy("path").agg(F.max_by("state", "rank").alias("state"), F.max("value").alias("value"))
+
+
+def inventory_fingerprint(files: Column, operations: Column, concepts: Column) -> Column:
+    """SHA-256 of an inventory as JSON with sorted, distinct lists."""
+    tidy = lambda c: F.array_sort(F.array_distinct(c))
+    return F.sha2(F.to_json(F.struct(tidy(files).alias("files"), tidy(operations).alias("operations"), tidy(concepts).alias("concepts"))).cast("binary"), 256)
+
+
+def reconcile(precise: DataFrame, estimated: DataFrame) -> DataFrame:
+    """(path, value, origin, complete): the precise value of a file, else its estimate, which leaves the file
+    incomplete."""
+    p, e = precise.select("path", F.col("value").alias("p")), estimated.select("path", F.col("value").alias("e"))
+    origin = F.when(F.col("p").isNotNull(), "precise").when(F.col("e").isNotNull(), "estimated")
+    return p.join(e, "path", "full").select("path", F.coalesce("p", "e").alias("value"), origin.alias("origin"), F.col("p").isNotNull().alias("complete"))
+
+
+def projected(surfaces: DataFrame) -> DataFrame:
+    """(path, value): a type's whole surface falls on every file that implements a part of it, and a file takes
+    its largest; from ``surfaces(owner, path, operation, value)``, with repeated operations counted once."""
+    once = surfaces.groupBy("owner", "operation").agg(F.max("value").alias("v")).groupBy("owner").agg(F.sum("v").alias("value"))
+    return surfaces.select("owner", "path").distinct().join(once, "owner").groupBy("path").agg(F.max("value").alias("value"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, shape
+from ..operators import depth, graph, shape
 from ..operators import incremental as inc
 from ..operators import scoring as sc
 from ..operators import syntax
@@ -215,3 +215,39 @@ def dashboard_metrics(spark, sf_dir):
     """Availability, the largest subject (0 at least) and the sum over subjects."""
     live = F.col("o_orderstatus") == "O"
     return _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.bool_or(live).alias("available"), F.greatest(F.lit(0.0), F.max(F.when(live, F.col("o_totalprice") - 100000))).alias("most"), F.round(F.coalesce(F.sum(F.when(live, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id % 500 AS k, event_id % 60 AS lo, event_id % 60 + 1 + user_id % 7 AS hi FROM events WHERE event_id % 11 = 0),
+d AS (SELECT k FROM e GROUP BY k, lo, hi HAVING count(*) > 1), x AS (SELECT a.k FROM e a JOIN e b ON a.k = b.k AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi)
+SELECT DISTINCT k::BIGINT AS k FROM (SELECT k FROM d UNION ALL SELECT k FROM x)""")
+def crossing_ranges(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").where("event_id % 11 = 0")
+    lo = F.col("event_id") % 60
+    return inc.unusable_ranges(e.select((F.col("user_id") % 500).alias("k"), lo.alias("lo"), (lo + 1 + F.col("user_id") % 7).alias("hi")), "k", "lo", "hi")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS o, max(l_linenumber) AS e, count(DISTINCT l_linestatus) AS h, min(l_quantity) AS q FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
+s AS (SELECT *, 8 * o + e AS b8 FROM b), t AS (SELECT *, least(100, (200 * b8 + b8 + 16 * h) // (2 * (b8 + 16 * h))) AS v FROM s)
+SELECT k AS boundary, CASE WHEN k % 7 = 0 THEN 'measured' WHEN k % 7 = 1 THEN 'not_applicable' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'estimated' WHEN k % 3 = 0 THEN 'unavailable' ELSE 'measured' END AS state,
+CASE WHEN k % 7 = 0 THEN 0 WHEN k % 7 = 1 THEN NULL WHEN k % 3 = 0 AND k % 2 = 0 THEN 50 WHEN k % 3 = 0 THEN NULL ELSE v END::BIGINT AS value FROM t""")
+def depth_states(spark, sf_dir):
+    k = F.col("boundary")
+    b = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_suppkey").alias("boundary")).agg(F.countDistinct("l_returnflag").alias("o"), F.max("l_linenumber").alias("e"), F.countDistinct("l_linestatus").alias("h"))
+    zero = F.lit(0)
+    parts = F.struct(F.col("o").alias("O"), zero.alias("T"), zero.alias("A"), F.col("e").alias("E"), zero.alias("P"), zero.alias("S"), zero.alias("L"))
+    role = F.when(k % 7 == 0, "passive_data").when(k % 7 == 1, "supporting_contract").otherwise("module")
+    s = b.select("boundary", depth.publish(depth.burden(parts), F.col("h"), role, k % 3 == 0, F.lit(True), F.when(k % 2 == 0, F.lit(50))).alias("s"))
+    return s.select("boundary", "s.state", "s.value")
+
+
+@query("""WITH o AS (SELECT l_suppkey AS owner, l_linenumber AS op, max(l_quantity) AS v FROM lineitem GROUP BY ALL), s AS (SELECT owner, sum(v) AS value FROM o GROUP BY owner)
+SELECT l_partkey AS path, max(value)::DOUBLE AS value FROM lineitem JOIN s ON owner = l_suppkey GROUP BY 1""")
+def projected_surface(spark, sf_dir):
+    return depth.projected(_t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("operation"), F.col("l_quantity").alias("value")))
+
+
+@query("""SELECT coalesce(p.o_custkey, e.o_custkey) AS path, coalesce(p.v, e.v) AS value, CASE WHEN p.v IS NOT NULL THEN 'precise' ELSE 'estimated' END AS origin, p.v IS NOT NULL AS complete
+FROM (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) p FULL JOIN (SELECT o_custkey, min(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) e ON p.o_custkey = e.o_custkey""")
+def reconciled_depth(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "path")
+    return depth.reconcile(o.where("o_orderstatus = 'F'").groupBy("path").agg(F.max("o_totalprice").alias("value")), o.where("o_orderstatus = 'O'").groupBy("path").agg(F.min("o_totalprice").alias("value")))

@@ -64,3 +64,15 @@ def test_changes(spark, tmp_path):
         assert {(r.path, r.op) for r in spark.table("coalesced").collect()} == {("a", 5), ("b", 2), ("c", 1)}
     finally:
         q.stop()
+
+
+def test_depth_faults_and_files(spark):
+    good = {"x": "X"}
+    rows = [("a", (1, 1, 1, 0, 0, 0, 0), ["f"], [["x"]], good), (" ", (1, 1, -1, 0, 0, 0, 0), ["f", "f"], [], {}), ("c", (0, 0, 0, 0, 0, 0, 0), ["f"], [["y"]], {"x": "Q"})]
+    df = spark.createDataFrame(rows, "boundary string, b struct<O:long,T:long,A:long,E:long,P:long,S:long,L:long>, families array<string>, alternatives array<array<string>>, categories map<string,string>")
+    assert {tuple(r) for r in depth.faults(df).collect()} == {(" ", "identity"), (" ", "negative_burden"), (" ", "repeated_family"), (" ", "no_alternative"), ("c", "unknown_obligation"), ("c", "unknown_category")}
+    b = spark.createDataFrame([("a", ["p", "q"], "measured", 40), ("b", ["p"], "partial", None), ("c", ["r"], "not_applicable", None)], "boundary string, files array<string>, state string, value long")
+    assert {r.path: (r.state, r.value) for r in depth.per_file(b).collect()} == {"p": ("partial", 40), "q": ("measured", 40), "r": ("not_applicable", None)}
+    inv = spark.createDataFrame([(["b", "a", "a"], ["o"], []), (["a", "b"], ["o"], []), (["a"], ["o"], [])], "f array<string>, o array<string>, c array<string>")
+    h = [r[0] for r in inv.select(depth.inventory_fingerprint(F.col("f"), F.col("o"), F.col("c"))).collect()]
+    assert h[0] == h[1] != h[2]
