@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _OUT = "path string, at timestamp, rank int, score double, points int, movement int, direction int"
 _STATE = "ats array<timestamp>, ranks array<int>, score double, movement int, direction int"
 
-# How what is shown moves on, by event.
+# How what is shown moves on: state after (state, event).
 FRESHNESS = {
     ("provisional", "verify"): "verifying", ("current", "verify"): "verifying", ("stale_error", "verify"): "verifying",
     ("verifying", "changed"): "refreshing", ("current", "changed"): "refreshing", ("stale_error", "changed"): "refreshing",
