@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most documents that the n-gram models are counted on, least by a hash of their id.
+#: Documents of each declared language that its n-gram model is counted on, about: by a hash.
 TRAIN_ROWS = 20_000
-#: Buckets of hashed n-grams, and most languages told apart (the most often declared).
-BUCKETS, MAX_LANGUAGES = 1 << 14, 64
+#: Buckets of hashed n-grams.
+BUCKETS = 1 << 14
 #: Pseudo-counts: of an n-gram bucket, of the suffix in a host, of the corpus in a suffix.
 SMOOTH, HOST_WEIGHT, SUFFIX_WEIGHT = 0.5, 20.0, 50.0
 #: Share of a word's log-likelihood that counts as evidence, and most words that add to it.
 TEMPER, FULL_WORDS = 0.5, 40
-#: Host rows that may be broadcast.
+#: Counts of a host and language that may be broadcast.
 HOST_ROWS = 200_000
 
 #: Characters worked on at once.
@@ -89,30 +89,32 @@ class TextModel:
 
 
 def train_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    """Count n-grams of ``docs(id, text, declared)`` by declared language, on at most ``rows``
-    documents.  What reaches the driver is bounded by buckets times languages."""
-    common.small_batches(docs.sparkSession)
-    known = docs.where("declared IS NOT NULL AND declared <> '' AND text IS NOT NULL")
-    names = [r[0] for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()]
-    names = tuple(sorted(names))
-    chosen = common.materialize(known.select("id").orderBy(F.xxhash64("id"), "id").limit(rows).distinct(), "language-sample")
-    sample = known.join(F.broadcast(chosen), "id").select("declared", "text")
+    """Count n-grams of ``docs(id, text, declared)`` for every declared language, on all its
+    documents or about ``rows`` of them.  What reaches the driver is bounded by buckets times
+    languages."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    known = docs.where("declared IS NOT NULL AND declared <> '' AND text IS NOT NULL").select("id", "declared", "text")
+    sizes = sorted(tuple(r) for r in known.groupBy("declared").count().collect())
+    names = tuple(name for name, _ in sizes)
+    of = spark.createDataFrame([(name, i, n) for i, (name, n) in enumerate(sizes)], "declared string, language int, size long")
+    # a hash in [0, 1) under the share asked for; a language of at most that many rows is whole
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = known.join(F.broadcast(of), "declared").where(chance * F.col("size") < rows).select("language", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for name, text in zip(batch["declared"], batch["text"]):
+            for name, text in zip(batch["language"], batch["text"]):
                 total.setdefault(name, np.zeros(BUCKETS, np.int64))
                 total[name] += ngram_counts(text)[0]
         for name, row in total.items():
             at = np.flatnonzero(row)
-            yield pd.DataFrame({"declared": name, "bucket": at, "n": row[at]})
+            yield pd.DataFrame({"language": name, "bucket": at, "n": row[at]})
 
-    got = sample.mapInPandas(run, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInPandas(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(names) + 1), SMOOTH)
-    at = {x: i for i, x in enumerate(names)}
-    got = got[got["declared"].isin(at)]
-    np.add.at(table, (got["bucket"].to_numpy(np.int64), got["declared"].map(at).to_numpy(np.int64)), got["n"].to_numpy(np.float64))
+    np.add.at(table, (got["bucket"].to_numpy(np.int64), got["language"].to_numpy(np.int64)), got["n"].to_numpy(np.float64))
     return TextModel(names, np.log(table / table.sum(axis=0)))
 
 
@@ -146,27 +148,35 @@ def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> D
     # the language of the text alone, where it has words and isn't background
     best = F.array_position("loglik", F.array_max("loglik")).cast("int") - 1
     clear = e.where("n_words > 0").withColumn("best", best).where(F.col("best") < k)
-    tally = [F.sum((F.col("best") == i).cast("double")).alias(f"n{i}") for i in range(k)]
-    of = lambda c: [F.coalesce(F.col(f"{c}{i}"), F.lit(0.0)) for i in range(k)]
+    tally = lambda *by: clear.groupBy(*by, "best").agg(F.count("*").cast("double").alias("n"))
 
-    corpus = np.array([float(x or 0) for x in clear.agg(*tally).first()]) + 1
+    corpus = np.ones(k)
+    for r in tally().collect():
+        corpus[r.best] += r.n
     corpus /= corpus.sum()
-    # how each language is declared: a row for each declaration, at most the number of names
-    said = clear.where(F.col("declared").isin(*names)).groupBy("declared").agg(*tally).toPandas().set_index("declared").reindex(list(names)).fillna(0.0).to_numpy(np.float64) + 0.5
+    # how each language is declared: at most a row for each two names
+    said, at = np.full((k, k), 0.5), {name: i for i, name in enumerate(names)}
+    for r in tally("declared").where(F.col("declared").isin(*names)).collect():
+        said[at[r.declared], r.best] += r.n
     said = np.log(said / said.sum(axis=0))
-    declared = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.array(*[F.lit(float(v)) for v in said[i]]))])
-
-    suffixes = clear.where("suffix <> ''").groupBy("suffix").agg(*[t.alias(f"s{i}") for i, t in enumerate(tally)])
-    hosts = clear.where("host <> ''").groupBy("host").agg(*[t.alias(f"h{i}") for i, t in enumerate(tally)])
-    suffixes, hosts = common.materialize(suffixes, "suffixes"), common.materialize(hosts, "hosts")
-    e = e.join(common.broadcast_if_small(suffixes, HOST_ROWS), "suffix", "left").join(common.broadcast_if_small(hosts, HOST_ROWS), "host", "left")
-    total = lambda c: sum(of(c)[1:], of(c)[0])
-    by_suffix = [(n + SUFFIX_WEIGHT * float(p)) / (total("s") + SUFFIX_WEIGHT) for n, p in zip(of("s"), corpus)]
-    by_host = [(n + HOST_WEIGHT * p) / (total("h") + HOST_WEIGHT) for n, p in zip(of("h"), by_suffix)]
+    declared = e.sparkSession.createDataFrame([(name, said[i].tolist()) for i, name in enumerate(names)], "declared string, say array<double>")
+    e = e.join(F.broadcast(declared), "declared", "left")
+
+    for c in ("suffix", "host"):
+        seen = common.materialize(tally(c).where(F.col(c) != ""), c)
+        rows = seen.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(f"{c}_n"), F.sum("n").alias(f"{c}_all"))
+        e = e.join(F.broadcast(rows) if seen.limit(HOST_ROWS + 1).count() <= HOST_ROWS else rows, c, "left")
+    prior = F.array(*[F.lit(float(p)) for p in corpus])
+    or_0 = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def log(i: Column) -> Column:
+        by_suffix = (or_0(F.try_element_at("suffix_n", i)) + SUFFIX_WEIGHT * F.get(prior, i)) / (or_0(F.col("suffix_all")) + SUFFIX_WEIGHT)
+        by_host = (or_0(F.try_element_at("host_n", i)) + HOST_WEIGHT * by_suffix) / (or_0(F.col("host_all")) + HOST_WEIGHT)
+        return F.get("loglik", i) + F.log(by_host) + or_0(F.get("say", i))
+
     # background: as likely as one document in a thousand, and blind to declarations
-    say = F.coalesce(F.try_element_at(declared, F.col("declared")), F.array(*[F.lit(0.0)] * k))
-    logs = [F.col("loglik")[i] + F.log(by_host[i]) + say[i] for i in range(k)] + [F.col("loglik")[k] + F.lit(float(np.log(1e-3)))]
-    e = e.select("id", "n_words", F.array(*logs).alias("logs"))
+    logs = F.concat(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), log), F.array(F.get("loglik", F.lit(k)) + F.lit(float(np.log(1e-3)))))
+    e = e.select("id", "n_words", logs.alias("logs"))
     e = e.withColumn("top", F.array_max("logs"))
     mass = F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda s, v: s + v)
     e = e.select("id", "n_words", (F.array_position("logs", F.col("top")).cast("int") - 1).alias("at"), F.round(1 / mass, 6).alias("posterior"))

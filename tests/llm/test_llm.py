@@ -247,6 +247,22 @@ def test_language(spark, docs, odd, none):
     assert whole[1] == 27 - 8 + 8 and whole[0].sum() == 3 * 9 * 9
 
 
+def test_language_of_many_and_of_few(spark):
+    """More languages than 64, each of its own letters, and one too rare for a sample of all rows."""
+    rng = np.random.default_rng(5)
+    letters = {f"l{i:02}": [chr(0x4E00 + 40 * i + j) for j in range(40)] for i in range(70)}
+    write = lambda name: " ".join("".join(rng.choice(letters[name], 5)) for _ in range(60))
+    rows = [(70 * j + i, write(name), name if j else None, "h", "") for j in range(6) for i, name in enumerate(letters)]
+    e = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    found = {r.id: r for r in language_id.identify(e, language_id.train_text_model(e)).collect()}
+    assert all(found[i].accepted and found[i].language == f"l{i % 70:02}" for i, *_ in rows)
+
+    rows = [(i, write("l00"), "l00", "h", "") for i in range(400)] + [(400 + i, write("l01"), "l01", "h", "") for i in range(3)]
+    e = spark.createDataFrame(rows, e.schema)
+    found = {r.id: r for r in language_id.identify(e, language_id.train_text_model(e, rows=20)).collect()}
+    assert all(r.accepted and r.language == ("l00" if i < 400 else "l01") for i, r in found.items())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
