@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,13 +34,27 @@ SAMPLE_ROWS = 20_000
 SHAPES = 256
 _FORM = 13
 _KEPT = 500_000
+#: Characters worked on at once.
+_CHARS = 1 << 20
 
 _shapes: dict[str, int] = {}
 
 
+@lru_cache(maxsize=1)
+def _upper() -> np.ndarray:
+    """Whether each character is a capital."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def _capitals(text: str) -> int:
+    """Capitals of any script in a whole text."""
+    parts = (text[at : at + _CHARS].encode("utf-32-le", "surrogatepass") for at in range(0, len(text), _CHARS))
+    return sum(int(np.count_nonzero(_upper()[np.frombuffer(x, "<u4")])) for x in parts)
+
+
 def _shape(word: str) -> int:
     """Bucket of the form of a word: its runs of capitals, small letters, digits and marks."""
-    form = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    form = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return zlib.crc32(re.sub(r"(.)\1+", r"\1", form, flags=re.S).encode("utf-8", "surrogatepass")) % SHAPES
 
 
@@ -60,7 +75,7 @@ def features(text: str) -> np.ndarray:
     out[_FORM:] = np.sqrt(out[_FORM:] / n)
     lines = [x for x in text.split("\n") if x.strip()]
     chars = sum(map(len, words))
-    upper = sum(1 for c in text if c.isupper()) if len(text) < 2_000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = _capitals(text)
     letters = len(re.findall(r"[^\W\d_]", text))
     digits = len(re.findall(r"\d", text))
     out[:_FORM] = (

@@ -236,6 +236,14 @@ def test_quality_held_out(spark, odd, none):
     assert few.where("score BETWEEN 0 AND 1").count() == len(ODD) and quality.score(none.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_of_any_script_and_length():
+    """Capitals count alike in short and long texts, and words have their whole form."""
+    for word in ("Жук ", "Łoś ", "Œuf ", "Été ", "Cat ", "𐐀𐐨𐐨 "):
+        for n in (10, 499, 500, 501, 300_000):
+            assert quality.features(word * n)[8] == np.float32(1 / 3)
+    assert quality._shape("字" * 64 + "7") != quality._shape("字" * 64)
+
+
 def test_language(spark, docs, odd, none):
     e = language_id.from_documents(docs).withColumn("declared", F.when(F.col("id") % 5 > 0, F.col("declared")))
     found = language_id.identify(e, language_id.train_text_model(e)).toPandas().merge(docs.select("doc_id", "lang").toPandas(), left_on="id", right_on="doc_id")
