@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +20,23 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def closure(spark: SparkSession, edges: DataFrame, start: DataFrame, depth: int = 100) -> DataFrame:
+def closure(spark: SparkSession, edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) reachable from ``start(node)`` over ``edges(src, dst)``, by rounds of a semi-join
-    on the new nodes until none is new."""
+    on the new nodes until none is new, however many that takes."""
     edges = edges.select("src", "dst").distinct()
     seen = start.select("node").distinct()
     fresh = seen
-    for _ in range(depth):
+    cut = lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    for nth in count(1):
         step = edges.join(fresh, edges.src == fresh.node, "left_semi").select(F.col("dst").alias("node")).distinct()
         fresh = step.join(seen, "node", "left_anti")
         # eager: the plan must not grow with the rounds
-        fresh = fresh.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh.persist()
+        fresh = cut(fresh)
         if fresh.isEmpty():
-            break
+            return seen
         seen = seen.union(fresh)
-    return seen
+        if nth % 16 == 0:
+            seen = cut(seen.repartition("node"))
 
 
 def fingerprint(parts: Column) -> Column:

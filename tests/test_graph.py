@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import graph, shape
+from plumbline.operators import graph, incremental, shape
 from plumbline.streaming import ranks
 
 
@@ -44,6 +44,12 @@ def test_fingerprints_follow_dependencies(spark):
     assert {i for i in base if base[i] != after[i]} == {1, 2, 3}
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.range(105).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = incremental.closure(spark, edges.coalesce(1), spark.createDataFrame([(0,)], "node long").coalesce(1))
+    assert sorted(r.node for r in got.collect()) == list(range(106))
+
+
 def test_affected_context_and_changes(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a"), ("e", "f"), ("f", "e")], "src string, dst string")
     changed = spark.createDataFrame([("x.go", "go")], "path string, language string")
