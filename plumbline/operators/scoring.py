@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def grouped_max(signals: DataFrame, file: str = "path", group: str = "grp") -> DataFrame:
     """For each group of a file its strongest signal, with the others it overlaps.
@@ -56,6 +58,20 @@ def view_sort(df: DataFrame, value: str, tie: str, descending: bool = True) -> D
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), tie)
 
 
+def places(df: DataFrame, *order: Column) -> DataFrame:
+    """Every row with its ``place`` from 1 on in ``order``: sorted by ranges, numbered in each, and
+    moved by the rows of the ranges before; no window over all rows."""
+    n = F.monotonically_increasing_id()
+    rows = _cut(df.orderBy(*order).withColumn("_n", n)).withColumn("_part", F.shiftright("_n", 33))
+    before, total = [], 0
+    for part, size in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):
+        before.append((part, total))
+        total += size
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    place = F.col("_before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(offsets), "_part").select(*df.columns, place.alias("place"))
+
+
 def resample(bins: DataFrame, width: int, last: int = 20) -> DataFrame:
     """(place, files): a histogram ``bins(bin, files)`` on ``width`` columns.  With fewer columns than
     bins the last one is the overflow bin alone; with more, bins are repeated."""

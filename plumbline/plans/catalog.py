@@ -142,6 +142,15 @@ def view_sort_missing_last(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("metric").desc_nulls_last(), "c_custkey")))
 
 
+@query("""WITH m AS (SELECT c_custkey, max(o_totalprice) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT c_custkey, v AS metric, row_number() OVER (ORDER BY v DESC NULLS LAST, c_custkey) AS place FROM m""")
+def view_sort_all(spark, sf_dir):
+    """Every customer with its place, those without a value last."""
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("metric"))
+    m = _t(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    return sc.places(m, F.col("metric").desc_nulls_last(), F.col("c_custkey"))
+
+
 @query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog.')")
 def path_search(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", "url").where(F.lower("url").contains("blog."))

@@ -197,6 +197,15 @@ def job_view(spark, sf_dir):
     return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc("attention"), "id")))
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END::INTEGER AS attention, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END DESC, o_orderkey) AS place
+FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0) AND contains(lower(o_orderpriority), 'h')""")
+def job_view_all(spark, sf_dir):
+    """Every such job with its place."""
+    o = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0)").where(F.lower("o_orderpriority").contains("h"))
+    a = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    return sc.places(o.select(F.col("o_orderkey").alias("id"), a.alias("attention")), F.desc("attention"), F.col("id"))
+
+
 @query("SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def path_intersection(spark, sf_dir):
     r = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
