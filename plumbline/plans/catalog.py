@@ -272,6 +272,15 @@ def unit_closure(spark, sf_dir):
     return inc.closure(spark, e, spark.createDataFrame([(3,)], "node long"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, event_id % (SELECT max(user_id) + 1 FROM events) AS dst FROM events), r AS (SELECT 3 AS node UNION SELECT dst FROM r JOIN e ON src = node) SELECT node::BIGINT AS node FROM r""")
+def unit_closure_all(spark, sf_dir):
+    """Over the edges of all events; there are as many units as users."""
+    e = _t(spark, sf_dir, "events")
+    units = e.agg(F.max("user_id") + 1).first()[0]
+    e = e.select(F.col("user_id").alias("src"), (F.col("event_id") % F.lit(units)).alias("dst"))
+    return inc.closure(spark, e, spark.createDataFrame([(3,)], "node long"))
+
+
 @query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(coalesce(text, '')) AS h FROM documents) GROUP BY source")
 def fingerprint(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))

@@ -120,6 +120,29 @@ def affected_units(spark, sf_dir):
     return graph.affected(spark, changed, uses, spark.createDataFrame([("go", 30), ("rust", 4)], "language string, unit long"), edges)
 
 
+_ALL_UNITS = """e AS (SELECT DISTINCT user_id AS src, user_id // 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id // 8 % 3)) AS dst FROM events),
+n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS a, id AS b FROM n UNION SELECT a, dst FROM r JOIN e ON b = src)"""
+
+
+def _all_units(spark, sf_dir):
+    """Each event is an edge of its user to one of the eight units of its module; of three modules one has no cycles."""
+    e = _t(spark, sf_dir, "events").selectExpr("user_id AS src", "user_id div 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id div 8 % 3)) AS dst").distinct()
+    return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
+
+
+@query(f"WITH RECURSIVE {_ALL_UNITS} SELECT x.a::BIGINT AS id, min(x.b)::BIGINT AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def unit_components_all(spark, sf_dir):
+    return graph.components(*_all_units(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_ALL_UNITS} SELECT DISTINCT a::BIGINT AS node FROM r WHERE b % 16 = 1 OR b % 64 = 2")
+def affected_units_all(spark, sf_dir):
+    units, edges = _all_units(spark, sf_dir)
+    changed = spark.createDataFrame([("1", "2")], "path string, language string")
+    by = lambda n, name: units.select((F.col("id") % n).cast("string").alias(name), F.col("id").alias("unit"))
+    return graph.affected(spark, changed, by(16, "path"), by(64, "language"), edges)
+
+
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS path, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'stamped' END AS change
 FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 3 <> 0) b ON a.o_orderkey = b.o_orderkey
 WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey""")
@@ -149,6 +172,19 @@ def call_targets(spark, sf_dir):
     return inc.resolve(li.select("l_orderkey", "l_linenumber", name, owner), ops, [["name", "owner"], ["name"]], "id", "callee").select("l_orderkey", "l_linenumber", "callee")
 
 
+@query("""WITH f AS (SELECT l_partkey AS name, l_suppkey AS owner, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT l_partkey AS name, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, CASE WHEN f.name IS NOT NULL THEN CASE WHEN f.n = 1 THEN f.id END WHEN w.n = 1 THEN w.id END::BIGINT AS callee
+FROM lineitem LEFT JOIN f ON f.name = l_partkey AND f.owner = l_suppkey + l_linenumber % 2 LEFT JOIN w ON w.name = l_partkey""")
+def call_targets_all(spark, sf_dir):
+    """Callees among all lines; every other line calls the next owner's."""
+    li = _t(spark, sf_dir, "lineitem")
+    name, owner = F.col("l_partkey").alias("name"), F.col("l_suppkey")
+    ops = li.select(name, owner.alias("owner"), F.col("l_linenumber").cast("long").alias("id"))
+    calls = li.select("l_orderkey", "l_linenumber", name, (owner + F.col("l_linenumber") % 2).alias("owner"))
+    return inc.resolve(calls, ops, [["name", "owner"], ["name"]], "id", "callee").select("l_orderkey", "l_linenumber", "callee")
+
+
 @query("""SELECT l_suppkey AS boundary, max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS r, CASE max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'measured' END AS state
 FROM lineitem WHERE l_quantity > 48 GROUP BY 1""")
 def state_merge(spark, sf_dir):
@@ -235,6 +271,15 @@ def crossing_ranges(spark, sf_dir):
     return inc.unusable_ranges(e.select((F.col("user_id") % 500).alias("k"), lo.alias("lo"), (lo + 1 + F.col("user_id") % 7).alias("hi")), "k", "lo", "hi")
 
 
+@query("""WITH e AS (SELECT event_id // 4 AS k, user_id % 60 AS lo, user_id % 60 + 1 + event_id * 13 % 29 AS hi FROM events),
+d AS (SELECT k FROM e GROUP BY k, lo, hi HAVING count(*) > 1), x AS (SELECT a.k FROM e a JOIN e b ON a.k = b.k AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi)
+SELECT DISTINCT k::BIGINT AS k FROM (SELECT k FROM d UNION ALL SELECT k FROM x)""")
+def crossing_ranges_all(spark, sf_dir):
+    """Each event is a range; four make a key."""
+    e = _t(spark, sf_dir, "events").selectExpr("event_id div 4 AS k", "user_id % 60 AS lo", "user_id % 60 + 1 + event_id * 13 % 29 AS hi")
+    return inc.unusable_ranges(e, "k", "lo", "hi")
+
+
 @query("""WITH b AS (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS o, max(l_linenumber) AS e, count(DISTINCT l_linestatus) AS h, min(l_quantity) AS q FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
 s AS (SELECT *, 8 * o + e AS b8 FROM b), t AS (SELECT *, least(100, (200 * b8 + b8 + 16 * h) // (2 * (b8 + 16 * h))) AS v FROM s)
 SELECT k AS boundary, CASE WHEN k % 7 = 0 THEN 'measured' WHEN k % 7 = 1 THEN 'not_applicable' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'estimated' WHEN k % 3 = 0 THEN 'unavailable' ELSE 'measured' END AS state,
