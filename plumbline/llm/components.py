@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _with_least(e: DataFrame, total: int, made: list[str]) -> DataFrame:
+    """``e(u, v)``, of at most ``total`` rows, with ``m``: the least of ``u`` and all nodes beside it."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    if total > common.HOT_ROWS:
+        least = common.materialize(least, "least", made)
+    return common.join_by_hot_key(e, least, "u", total=total).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges(a, b)``; ``root`` is the smallest node of its
     component.  Self-edges and repeated edges are allowed.
@@ -15,9 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until the edges no longer change, which takes about the logarithm of
     the longest path: *large star* ties the larger neighbours of each node to its smallest
     neighbour, *small star* its smaller ones.  Both are a minimum by node (summed in each task
-    before the shuffle) joined back to the edges, so a node with very many links is never
-    gathered in one place; each round is written to the shared folder.  Nothing but a count and
-    a checksum reaches the driver.
+    before the shuffle) joined back to the edges; the few nodes with more than a thousandth of all
+    links (and 5,000) are joined by broadcast, so that none is gathered in one place.  Each round is written to
+    the shared folder.  Nothing but counts and a checksum reaches the driver.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["a"]
@@ -31,15 +39,17 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+        made = [path]
         # large star
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        e = _with_least(both, 2 * now[0], made).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        old, path = path, common.scratch_path(spark, "edges")
+        step = common.scratch_path(spark, "step")
+        e.write.parquet(step)
+        e = _with_least(spark.read.schema(schema).parquet(step), now[0], made).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
+        path = common.scratch_path(spark, "edges")
         e.write.parquet(path)
-        common.drop_path(spark, old)
+        for old in [*made, step]:
+            common.drop_path(spark, old)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

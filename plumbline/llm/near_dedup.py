@@ -5,12 +5,18 @@
    flips one bit.  Two sketches differ in about as many bits as the samples differ, so the
    population count of their XOR estimates high similarities precisely.
 2. Documents with the same words form a class; only its smallest id goes on.
-3. Classes that share a band key are compared by sketch, in blocks of bounded size, never as
-   emitted pairs: each block yields a spanning forest of the pairs that pass.  Their
-   components are groups of documents that may be linked.
-4. Within each group, again in bounded blocks, intersections of the *full* shingle sets
-   are counted exactly by an inverted index.  Each block yields a spanning forest of the
-   true links, and their components are the result.
+3. Classes that share a band key are compared by sketch, never as emitted pairs: each block of
+   bounded size yields a spanning forest of the pairs that pass.  Their components are groups of
+   documents that may be linked.
+4. Within each group intersections of the *full* shingle sets are counted exactly by an inverted
+   index.  Each block yields a spanning forest of the true links, and their components are
+   the result.
+
+Band keys and groups of any size are compared in two rounds (:func:`spanning_links`).  First each is cut
+into blocks, and two members of it, the same for all its blocks, sit in every block beside the
+block's own; a large group of near copies is tied together by them at a cost linear in its size.  Then
+only members that are not yet in the group's largest component are set against all others of
+the group, again in blocks, which is what makes the result exact.
 
 Two documents at the threshold share no key with probability (1 - t**rows)**bands, and the
 sketch test allows five standard deviations; both are below 1e-6 with the defaults.
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ from .components import components
 BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
 #: Documents on either side of a block.
 BLOCK = 1024
+#: Shingles in a block of full sets.
+SHINGLES = 4_000_000
 _WORDS_KEPT = 300_000
 
 
@@ -106,42 +115,31 @@ def sketch_limit(bands: int, rows: int, bits: int, threshold: float) -> int:
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, digest, keys, sketch) of ``docs(doc_id, text)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, known = _constants(bands * rows), _WordHash()
         weights = _constants(rows + 1)[1:]
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            n, digests, keys, sketches = [], [], [], []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 words = split_words(text)
                 s = shingle_set(words, shingle, known)
+                n.append(len(s))
                 if not len(s):
-                    out.append((doc_id, 0, str(doc_id).encode(), None, None))
+                    digests.append(str(doc_id).encode())
+                    keys.append(None)
+                    sketches.append(None)
                     continue
                 samples = _mix(_signature(s, a))
-                keys = _mix((samples.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-                out.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), keys.astype(np.int64), _odd_sketch(samples, bits).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys", "sketch"])
+                keys.append(_mix((samples.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).astype(np.int64))
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                sketches.append(_odd_sketch(samples, bits).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "keys", "sketch"],
+            )
         common.release_memory()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
-
-
-def _blocks(members: DataFrame, key: str, row_id: str, size: int) -> DataFrame:
-    """Deal the members of each key that has two or more to blocks of bounded size.
-
-    A key of m members has s = ceil(m / size) chunks; each unordered pair of chunks is one
-    block, so each member is copied s times.  Keys up to ``size`` are one block.  Adds ``bi``,
-    ``bj`` (the block) and ``side`` (0: of chunk bi, 1: of chunk bj, 2: both).
-    """
-    many = members.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").withColumn("s", F.ceil(F.col("m") / size).cast("int"))
-    dealt = members.join(many, key).withColumn("chunk", F.pmod(F.xxhash64(row_id), F.col("s")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    return dealt.select(
-        *members.columns,
-        F.least("chunk", "other").alias("bi"),
-        F.greatest("chunk", "other").alias("bj"),
-        F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -169,150 +167,210 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.edges: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
-
-
-def _sketch_forest(sketches: np.ndarray, side: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of a block whose sketches are within ``limit``.  Rows are
-    visited from one to those not yet reached, so a group of near copies costs few passes."""
-    left, todo, edges = np.flatnonzero(side != 1), np.flatnonzero(side != 0), []
-    if (side == 2).all():
-        # one chunk: breadth-first over the rows not yet reached
-        rest = todo
+def _sketch_forest(sketches: np.ndarray, side: np.ndarray, root: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of a block whose sketches are within ``limit``.  In a block of one
+    side rows are visited from one to those not yet reached, so a group of near copies costs few
+    passes; in one of two sides each row of the first is set against those of the second with
+    another root."""
+    near = lambda x, rows: rows[np.bitwise_count(sketches[rows] ^ sketches[x]).sum(axis=1) <= limit]
+    return _forest(side, root, near)
+
+
+def _forest(side: np.ndarray, root: np.ndarray, near) -> list[tuple[int, int]]:
+    """Spanning forest of the links of a block; ``near(x, rows)`` gives those of ``rows`` that are linked
+    with row ``x``."""
+    edges: list[tuple[int, int]] = []
+    if not side.any():
+        rest = np.arange(len(side))
         while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest = [int(rest[0])], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
-                near = np.bitwise_count(sketches[rest] ^ sketches[x]).sum(axis=1) <= limit
-                found = rest[near]
-                edges += [(x, y) for y in found]
-                queue += list(found)
-                rest = rest[~near]
+                found = near(x, rest)
+                if len(found):
+                    edges += [(x, int(y)) for y in found]
+                    queue += found.tolist()
+                    rest = np.setdiff1d(rest, found, assume_unique=True)
         return edges
-    forest = _Forest(len(side))
-    for x in left:
-        near = todo[np.bitwise_count(sketches[todo] ^ sketches[x]).sum(axis=1) <= limit]
-        for y in near:
-            forest.link(int(x), int(y))
-    return forest.edges
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for x in left.tolist():
+        found = near(x, right[root[right] != root[x]])
+        if len(found):
+            edges += [(x, int(y)) for y in found]
+            # what has been linked is of one root from here on
+            root = np.where(np.isin(root, root[found]), root[x], root)
+    return edges
+
+
+class _Sets:
+    """Exact links between the rows of a block by an inverted index of their shingle sets."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes = np.array([len(s) for s in sets])
+        self.percent = percent
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        self.owner, flat = owner[order], flat[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        self.starts, self.length = starts, np.r_[starts[1:], len(flat)].astype(np.int64) - starts
+        # the shingles of each row, as runs of the index
+        which = np.repeat(np.arange(len(starts), dtype=np.int32), self.length)
+        self.runs, self.bounds = which[np.argsort(self.owner, kind="stable")], np.r_[0, np.cumsum(self.sizes)]
+
+    def shared(self, x: int) -> np.ndarray:
+        """How many shingles each row shares with row ``x``."""
+        mine, got = self.runs[self.bounds[x] : self.bounds[x + 1]], np.zeros(len(self.sizes), np.int64)
+        mine = mine[self.length[mine] > 1]
+        # by parts, so that the index of a long row isn't spread out at once
+        for at in range(0, len(mine), 4096):
+            part = mine[at : at + 4096]
+            n = self.length[part]
+            i = np.repeat(self.starts[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            got += np.bincount(self.owner[i], minlength=len(got))
+        return got
+
+    def near(self, x: int, rows: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return rows
+        both = self.shared(x)[rows]
+        return rows[(100 * both >= self.percent * (self.sizes[x] + self.sizes[rows] - both)) & (both > 0)]
+
+
+_LINK = "a long, b long"
+
+
+def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+
+def spanning_links(members: DataFrame, payload: DataFrame, compare, block: int, weight: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each key of ``members(key, doc_id, w)``.
+
+    ``payload(doc_id, ...)`` has what ``compare(block, side, root)`` needs to find a spanning forest of the
+    links in a block of rows.  A key of m rows has as many blocks as keep each near ``block`` rows and
+    a ``weight`` of the sum of ``w``.  No partner is dropped: two linked members are compared with
+    each other unless links found before join them already.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["key", "i", "j"]):
+            edges = compare(g, g["side"].to_numpy(), g["root"].to_numpy())
+            if edges:
+                yield _edges(g["doc_id"].to_numpy(), edges)
+        common.release_memory()
+
+    def linked(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInPandas(run, _LINK)
+
+    hashed = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("n > 1")
+    s = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / weight)).cast("int")
+    keys = common.materialize(keys.select("key", "n", s.alias("s"), F.col("lo.doc_id").alias("lo"), F.col("hi.doc_id").alias("hi")), "keys")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("s")).cast("int")
+    zero = F.lit(0)
+    dealt = common.join_by_hot_key(members.select("key", "doc_id"), keys.select("key", "n", "s"), "key").select("key", "doc_id", "s", chunk.alias("i"))
+    large = keys.where("s > 1")
+    one = dealt.select("key", "doc_id", "i").join(payload, "doc_id").withColumns({"j": zero, "side": zero, "root": F.col("doc_id")})
+    if large.isEmpty():
+        return linked(one)
+    tied = large.select("key", "s", F.explode(F.array("lo", "hi")).alias("doc_id")).join(payload, "doc_id")
+    tied = tied.withColumns({"i": F.explode(F.sequence(zero, F.col("s") - 1)), "j": zero, "side": zero, "root": F.col("doc_id")})
+    first = common.materialize(linked(one.unionByName(tied.select(*one.columns))), "links")
+
+    # members of large keys that the links don't join with most of their key
+    root = components(first)
+    inside = common.join_by_hot_key(members.select("key", "doc_id"), large.select("key", "n", "s"), "key")
+    inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", F.coalesce("root", "doc_id").alias("root"))
+    inside = common.materialize(inside, "inside")
+    most = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("joined"))
+    most = common.materialize(most.where("roots > 1").select("key", "n", "main", F.ceil((F.col("n") - F.col("joined")) / block).cast("int").alias("t")), "open")
+    if most.isEmpty():
+        return first
+    opened = common.materialize(common.join_by_hot_key(inside, most, "key").select("key", "doc_id", "root", "s", "main", "t", chunk.alias("c")), "opened")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("t")).cast("int")
+    left = opened.where("root <> main").select("key", "doc_id", "root", F.explode(F.sequence(zero, F.col("s") - 1)).alias("i"), part.alias("j"), zero.alias("side"))
+    right = opened.select("key", "doc_id", "root", F.col("c").alias("i"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("j"), F.lit(1).alias("side"))
+    second = linked(left.unionByName(right).join(payload, "doc_id"))
+    return first.unionByName(common.materialize(second, "links"))
 
 
 def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
     """(node, root) of the classes in groups that may hold links, from
     ``reps(doc_id, keys, sketch)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["key", "bi", "bj"]):
-            ids = g["doc_id"].to_numpy()
-            sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-            if len(g) == 2:
-                edges = [(0, 1)] if int(np.bitwise_count(sketches[0] ^ sketches[1]).sum()) <= limit else []
-            else:
-                edges = _sketch_forest(sketches, g["side"].to_numpy(), limit)
-            if edges:
-                yield pd.DataFrame({"a": [int(ids[x]) for x, _ in edges], "b": [int(ids[y]) for _, y in edges]})
-
-    members = reps.select(F.explode("keys").alias("key"), "doc_id")
-    dealt = _blocks(members, "key", "doc_id", block).join(reps.select("doc_id", "sketch"), "doc_id")
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return components(dealt.mapInPandas(run, "a long, b long"))
-
-
-def _exact_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of a block with 100 * intersection >= percent * union."""
-    sizes = np.array([len(s) for s in sets])
-    forest = _Forest(len(sets))
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (int(sizes.sum()) - both) else []
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    ends = np.r_[starts[1:], len(flat)]
-    which = np.repeat(np.arange(len(starts)), ends - starts)
-    # the shingles of each row, as runs of the index
-    by_row = np.argsort(owner, kind="stable")
-    runs, bounds = which[by_row], np.r_[0, np.cumsum(sizes)]
-    length = ends - starts
-    for x in np.flatnonzero(side != 1):
-        mine = runs[bounds[x] : bounds[x + 1]]
-        mine = mine[length[mine] > 1]
-        if not len(mine):
-            continue
-        n = length[mine]
-        at = np.repeat(starts[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        ok = 100 * shared >= percent * (sizes[x] + sizes - shared)
-        ok &= side != 0
-        ok[x] = False
-        for y in np.flatnonzero(ok):
-            forest.link(int(x), int(y))
-    return forest.edges
+    def compare(g: pd.DataFrame, side: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+        sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        return _sketch_forest(sketches, side, root, limit)
 
+    members = reps.select(F.explode("keys").alias("key"), "doc_id", F.lit(1).alias("w"))
+    return components(spanning_links(members, reps.select("doc_id", "sketch"), compare, block, 1 << 62))
 
-def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2) -> DataFrame:
-    """(a, b): a spanning forest of the true links within each of ``groups(node, root)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = SHINGLES) -> DataFrame:
+    """(a, b): a spanning forest of the true links within each of ``groups(node, root, n_shingles)``."""
+
+    def compare(g: pd.DataFrame, side: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
         known = _WordHash()
-        for g in _groups(batches, ["root", "bi", "bj"]):
-            ids = g["doc_id"].to_numpy()
-            edges = _exact_forest([shingle_set(split_words(t), shingle, known) for t in g["text"]], g["side"].to_numpy(), percent)
-            if edges:
-                yield pd.DataFrame({"a": [int(ids[x]) for x, _ in edges], "b": [int(ids[y]) for _, y in edges]})
+        return _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near)
 
-    dealt = _blocks(groups.select(F.col("node").alias("doc_id"), "root"), "root", "doc_id", block)
-    texts = docs.select("doc_id", "text").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    rows = dealt.join(texts, "doc_id").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    return rows.mapInPandas(run, "a long, b long")
+    members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("w"))
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    return spanning_links(members, texts, compare, block, weight)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, kept), one row for each of ``docs(doc_id, text)``.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of
     ``shingle``-word shingles; ``component_id`` is the smallest doc_id that links reach.  Null,
-    empty and blank texts have no shingles and are linked with nothing.  ``doc_id`` is a key:
-    of rows that repeat it with other texts each gets the result of its words, and the one that
-    stands for the id in links with others is any of them.
+    empty and blank texts have no shingles and are linked with nothing.  Rows that repeat a
+    ``doc_id`` are one document with several texts: it has the links of all of them, and each row has
+    its own ``n_shingles``.  A row without a doc_id is linked with nothing: ``component_id`` is null and
+    ``kept`` true.  Columns of other names take no part.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = common.materialize(signatures(docs, shingle, bands, rows, bits), "signatures")
+    named = sig.where("doc_id IS NOT NULL")
     # copies: a class of equal words is its smallest id (texts without words are told apart)
-    classes = sig.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = common.materialize(sig.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "class_id"), "classes")
-    first = member.where("doc_id = class_id AND n_shingles > 0").select("doc_id").distinct()
-    reps = sig.where("n_shingles > 0").join(first, "doc_id", "left_semi").select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"])
-    groups = common.materialize(candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100)), "groups")
-    found = components(links(docs, groups, shingle, percent))
-    root = F.coalesce("root", "class_id")
-    out = member.join(found, F.col("class_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of near-duplicates."""
-    dropped = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id")
-    return docs.join(common.broadcast_if_small(common.materialize(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    classes = named.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("rep"))
+    classes = common.materialize(classes, "classes")
+    reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "rep.keys", "rep.sketch")
+    groups = candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100))
+    sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    groups = common.materialize(groups.join(sizes, "node"), "groups")
+    found = links(docs.where("doc_id IS NOT NULL"), groups, shingle, percent)
+    # an id with several texts ties their classes together
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    ties = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class_id"), "digest")
+    found = components(found.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))))
+    roots = classes.select("digest", "n", "class_id").join(found, F.col("class_id") == F.col("node"), "left")
+    roots = common.materialize(roots.select("digest", "n", F.coalesce("root", "class_id").alias("component_id")), "roots")
+    out = common.join_by_hot_key(named.select("doc_id", "n_shingles", "digest"), roots, "digest")
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    alone = sig.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, also: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of near-duplicates.  Rows
+    that repeat a doc_id stay or go together.
+
+    ``also(doc_id, text)`` has further texts of the same documents, such as those they had before lines
+    were cut: documents are linked by any of their texts.
+    """
+    texts = docs.select("doc_id", "text")
+    if also is not None:
+        ids = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).distinct(), "ids")
+        more = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        more = more.withColumn("h", F.xxhash64("text")).join(ids, ["doc_id", "h"], "left_anti").drop("h")
+        texts = common.materialize(texts.unionByName(more), "texts")
+    dropped = near_duplicates(texts, shingle, percent).where("not kept").select("doc_id").distinct()
+    dropped = common.materialize(dropped, "dropped")
+    return docs.join(common.broadcast_if_small(dropped), docs["doc_id"] == dropped["doc_id"], "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
