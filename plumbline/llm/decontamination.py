@@ -1,19 +1,25 @@
 """Operator 10: benchmark decontamination (DataFrame functions only).
 
 A window is ``n`` consecutive words of a benchmark item, or all of a shorter item.  The set
-of windows comes from the benchmark alone; it is counted, and broadcast only up to
-``max_broadcast`` rows (joined by shuffle beyond).
+of windows comes from the benchmark alone; its bytes are counted, and it is broadcast only up to
+``max_broadcast`` of them (joined by shuffle beyond).
 
 Scanning every window of a 100 TB corpus would hash each word ``n`` times.  Instead the scan
 probes shorter grams at every s-th word: an occurrence of a window of L words covers a gram
 of g = L + 1 - s words that starts at a multiple of s, for any s.  With s = (L + 1) // 2 about
 2 / L of all positions are probed against the hashes of all g-grams of the items, and no
 occurrence can be missed.  Only documents with such a hit are read again; there every
-position is probed and each hit is verified on the words themselves.
+position is hashed, and where a hash is met the words themselves are compared.
+
+No row of a position carries the words of its document, so the cost is linear in the length of a
+text.  Which items hold a window is a table of its own, joined once for each document and window, so
+a window that many items share costs no more than what it adds to the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,103 +48,119 @@ def _spots(w: Column, n: int) -> Column:
     return F.transform(_steps(w, n, 1), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("hash")))
 
 
-def windows(bench: DataFrame, n: int = 13) -> DataFrame:
-    """(size, window, items): each distinct window of ``bench(item_id, text)`` with the ids of
-    the items that hold it, as sorted strings.  Items without words have none."""
-    b = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+def windows(bench: DataFrame, n: int = 13) -> tuple[DataFrame, DataFrame]:
+    """((wid, size, window, hash), (wid, item)): each distinct window of ``bench(item_id, text)``, and the
+    items that hold it, as strings.  Items without words have no window; windows of items without an
+    id have no item."""
+    b = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
     starts = F.sequence(F.lit(0), F.size("w") - size)
-    b = b.withColumn("size", size).select("item_id", "size", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.col("size")))).alias("window"))
-    return b.groupBy("size", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-
+    b = b.withColumn("size", size).select("item", "size", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.col("size")))).alias("window"))
+    w = b.select("size", "window").distinct().select(F.monotonically_increasing_id().alias("wid"), "size", "window", F.xxhash64("size", "window").alias("hash"))
+    w = common.materialize(w, "windows")
+    held = b.where("item IS NOT NULL").join(w, ["size", "window"]).select("wid", "item").distinct()
+    return w, common.materialize(held, "holders")
 
-def find_hits(docs: DataFrame, bench: DataFrame, n: int = 13, max_broadcast: int = common.BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(counts, hits)`` for ``docs(doc_id, text)``.
-
-    ``counts`` has ``(doc_id, n_words, suspect)`` for every document; ``hits`` has
-    ``(doc_id, at, size, items)`` for every verified occurrence.  ``doc_id`` is a key: rows that
-    repeat it are taken as one document, whose words are those of its longest row.
-    """
-    w = common.materialize(windows(bench, n).withColumn("hash", F.xxhash64("size", "window")), "windows")
-    stats = w.agg(F.collect_set("size").alias("sizes"), F.count("*").alias("rows")).first()
-    sizes = sorted(stats["sizes"])
-    small = stats["rows"] * n <= max_broadcast
-    hint = F.broadcast if small else (lambda d: d)
-    text = docs.select("doc_id", words(F.col("text")).alias("w"))
 
+def _suspects(text: DataFrame, w: DataFrame, sizes: list[int], max_broadcast: int | None) -> DataFrame:
+    """(key, n_words, copies, suspect) of each distinct row of ``text(key, w)``."""
     probes = [(s, s + 1 - (s + 1) // 2, (s + 1) // 2) for s in sizes]
     gram = lambda g: F.explode(_hashes(F.col("window"), F.sequence(F.lit(0), F.col("size") - g), g))
-    seeds = None
-    for s, g, _ in probes:
-        part = w.where(F.col("size") == s).select(gram(g).alias("gram"))
-        seeds = part if seeds is None else seeds.union(part)
-    if seeds is None:  # no benchmark: nothing is suspect
-        counts = text.groupBy("doc_id").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.lit(False).alias("suspect"))
-        return counts, docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, at int, size int, items array<string>")
-    seeds = seeds.distinct()
+    seeds = reduce(DataFrame.union, [w.where(F.col("size") == s).select(gram(g).alias("gram")) for s, g, _ in probes])
+    seeds = common.materialize(seeds.distinct().withColumn("seen", F.lit(True)), "seeds")
     grams = F.concat(*[_hashes(F.col("w"), _steps(F.col("w"), g, by), g) for _, g, by in probes])
-    probed = text.select("doc_id", F.size("w").alias("n_words"), F.explode_outer(grams).alias("gram"))
+    probed = text.select("key", F.size("w").alias("n_words"), F.posexplode_outer(grams).alias("nth", "gram"))
     # rows of a document stand together in its task, so the partial aggregate leaves one of each
-    counts = (
-        probed.join(hint(seeds.withColumn("seen", F.lit(True))), "gram", "left")
-        .groupBy("doc_id")
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.max(F.coalesce("seen", F.lit(False))).alias("suspect"))
-    )
-    counts = common.materialize(counts, "counts")
+    first = (F.coalesce("nth", F.lit(0)) == 0).cast("long")
+    counts = probed.join(common.broadcast_if_small(seeds, max_broadcast), "gram", "left").groupBy("key")
+    return counts.agg(F.max("n_words").cast("long").alias("n_words"), F.sum(first).alias("copies"), F.max(F.coalesce("seen", F.lit(False))).alias("suspect"))
+
 
-    suspects = counts.where("suspect").select("doc_id", "n_words")
-    again = text.join(common.broadcast_if_small(suspects), "doc_id").where(F.size("w") == F.col("n_words"))
-    positions = F.concat(*[_spots(F.col("w"), s) for s in sizes])
-    spots = again.select("doc_id", "w", F.explode(positions).alias("p")).select("doc_id", "w", "p.*")
-    hits = spots.join(hint(w.select("hash", F.col("size").alias("of"), "window", "items")), "hash").where((F.col("of") == F.col("size")) & (F.slice("w", F.col("at") + 1, F.col("size")) == F.col("window")))
-    return counts, hits.select("doc_id", "at", "size", "items").distinct()
+def find_hits(docs: DataFrame, bench: DataFrame, n: int = 13, max_broadcast: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(counts, hits, holders)`` for ``docs(doc_id, text)``.
+
+    ``counts`` has ``(key, n_words, copies, suspect)`` for every document; ``hits`` has
+    ``(key, at, size, wid)`` for every verified occurrence of a window, and ``holders`` ``(wid, item)`` the
+    items of each window.  ``key`` is the document's :func:`common.row_key`: rows that share a ``doc_id`` are
+    documents of their own unless their texts are equal too; of those there are ``copies``.
+    """
+    w, holders = windows(bench, n)
+    spread = F.sum(F.octet_length(F.array_join("window", "")) + 24 * F.col("size") + 48)
+    stats = w.agg(F.collect_set("size").alias("sizes"), spread.alias("bytes")).first()
+    sizes = sorted(stats["sizes"])
+    text = docs.select(common.row_key().alias("key"), words(F.col("text")).alias("w"))
+    if not sizes:  # no benchmark: nothing is suspect
+        counts = text.groupBy("key").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").alias("copies"), F.lit(False).alias("suspect"))
+        return counts, docs.sparkSession.createDataFrame([], "key struct<doc_id: bigint, rid: bigint>, at int, size int, wid long"), holders
+    limit = common.BROADCAST_BYTES if max_broadcast is None else max_broadcast
+    hint = F.broadcast if stats["bytes"] <= limit else (lambda d: d.hint("merge"))
+    counts = common.materialize(_suspects(text, w, sizes, max_broadcast), "counts")
+
+    def again(keys: DataFrame) -> DataFrame:
+        return text.join(common.broadcast_if_small(keys, max_broadcast), "key", "left_semi")
+
+    spots = again(counts.where("suspect").select("key")).select("key", F.explode(F.concat(*[_spots(F.col("w"), s) for s in sizes])).alias("p")).select("key", "p.*")
+    met = common.materialize(spots.join(hint(w.select("hash", "size", "wid")), ["hash", "size"]).select("key", "at", "size", "wid").distinct(), "met")
+    # the words of a hit; a document has as many hits as words times sizes at most
+    of = met.groupBy("key").agg(F.collect_list(F.struct("at", "size", "wid")).alias("hits"))
+    cut = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), h["wid"].alias("wid"), F.slice("w", h["at"] + 1, h["size"]).alias("gram")))
+    found = again(common.materialize(met.select("key").distinct(), "hit-keys")).join(of, "key").select("key", F.explode(cut).alias("h")).select("key", "h.*")
+    hits = found.join(hint(w.select("wid", "window")), "wid").where(F.col("gram") == F.col("window"))
+    return counts, hits.select("key", "at", "size", "wid").distinct(), holders
 
 
 def covered(hits: DataFrame) -> DataFrame:
-    """(doc_id, n_hit): words inside any hit, each once."""
-    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    longest = hits.groupBy("doc_id", "at").agg(F.max(F.col("at") + F.col("size")).alias("end"))
+    """(key, n_hit): words inside any hit, each once."""
+    w = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    longest = hits.groupBy("key", "at").agg(F.max(F.col("at") + F.col("size")).alias("end"))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(w), F.lit(0))))
-    return longest.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"))
-
+    return longest.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").cast("long").alias("n_hit"))
 
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, percent: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) of every document.
 
-    A document is contaminated if at least ``percent`` percent of its words are hit.  A null
-    or empty text has no words and is never contaminated.
-    """
-    counts, hits = find_hits(docs, bench, n)
+def _judged(docs: DataFrame, bench: DataFrame, n: int, percent: int, max_broadcast: int | None) -> DataFrame:
+    counts, hits, holders = find_hits(docs, bench, n, max_broadcast)
     hits = common.materialize(hits, "hits")
-    items = hits.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = covered(hits).join(items, "doc_id")
+    pairs = hits.select("key", "wid").distinct().join(common.broadcast_if_small(holders, max_broadcast), "wid")
+    items = pairs.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = covered(hits).join(items, "key", "left")
     none = F.array().cast("array<string>")
-    joined = counts.join(found, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    joined = counts.join(found, "key", "left").select("key", "copies", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
     return joined.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        "key", "copies", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, percent: int = 5, max_broadcast: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, contaminated), one row for each of ``docs(doc_id, text)``.
+
+    A document is contaminated if at least ``percent`` percent of its words are hit.  A null
+    or empty text has no words and is never contaminated.  Rows with a null or repeated doc_id are
+    judged each by its own text.  A hit on an item without an id counts, but names no item.
+    Columns of other names take no part.
+    """
+    found = _judged(docs, bench, n, percent, max_broadcast)
+    return found.select(F.col("key.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items", "contaminated", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+
+
 def remove_documents(docs: DataFrame, bench: DataFrame, n: int = 13, percent: int = 5) -> DataFrame:
-    """``docs`` without contaminated documents."""
-    bad = contamination(docs, bench, n, percent).where("contaminated").select("doc_id")
-    return docs.join(common.broadcast_if_small(common.materialize(bad, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without contaminated rows; see :func:`contamination`."""
+    bad = _judged(docs, bench, n, percent, None).where("contaminated").select("key")
+    return common.without_rows(docs, common.materialize(bad, "contaminated"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = 13) -> DataFrame:
     """``docs`` with every hit word, and what stands between it and the next word, cut out of
-    ``text``; other texts are left as they are."""
-    _, hits = find_hits(docs, bench, n)
-    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
+    ``text``; other texts, and all other columns, are left as they are."""
+    _, hits, _ = find_hits(docs, bench, n)
+    key, gone = common.spare(docs, "key", "gone")
+    spans = hits.select("key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias(gone))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     tokens = F.regexp_extract_all("text", F.lit(f"({word})"), 0)
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
-    marks = F.map_from_arrays(hit, F.transform(hit, lambda i: F.lit(True)))
-    rest = F.array_join(F.filter(F.transform(tokens, lambda t, i: F.when(F.col("marks")[i].isNull(), t)), lambda t: t.isNotNull()), "")
-    cut = docs.join(spans, "doc_id", "left").withColumn("marks", marks)
-    return cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, rest))).select(*docs.columns)
+    cut = docs.withColumn(key, common.row_key()).join(spans.withColumnRenamed("key", key), key, "left")
+    rest = F.concat(lead, F.array_join(common.drop_positions(tokens, F.col(gone)), ""))
+    return cut.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
