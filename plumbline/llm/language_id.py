@@ -4,14 +4,15 @@ For each document four pieces of evidence are multiplied:
 
 * the text: likelihood of its letters under a character n-gram model of each language and of
   a *background* that holds every n-gram alike, tempered as neighbouring n-grams repeat
-  each other's evidence;
+  each other's evidence, and growing with every word;
 * the declared language (of the markup or of the table), by how often each language is declared
   so where the text is clear, counted over all documents;
 * the host, by a prior smoothed towards the prior of its address suffix, and that towards the
   prior of the corpus; all three are counts by grouped aggregation over all documents.
 
 A document is rejected (language ``und``) if it has no letters, or if no language reaches
-``min_posterior`` or the background is likelier than all languages.
+``min_posterior`` or the background is likelier than all languages.  Where no row declares a
+language there is no model: every language is ``und``, and nothing is rejected (``accepted`` is null).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,16 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 14
 #: Pseudo-counts: of an n-gram bucket, of the suffix in a host, of the corpus in a suffix.
 SMOOTH, HOST_WEIGHT, SUFFIX_WEIGHT = 0.5, 20.0, 50.0
-#: Share of a word's log-likelihood that counts as evidence, and most words that add to it.
-TEMPER, FULL_WORDS = 0.5, 40
-#: Counts of a host and language that may be broadcast.
-HOST_ROWS = 200_000
-
+#: Share of a word's log-likelihood that counts as evidence.
+TEMPER = 0.5
 #: Characters worked on at once.
 _CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
 def _alphabetic() -> np.ndarray:
-    """Whether each character of the Basic Multilingual Plane is a letter."""
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    """Whether each character is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, int]:
@@ -58,7 +57,7 @@ def ngram_counts(text: str) -> tuple[np.ndarray, int]:
     for at in range(0, len(text), _CHARS):
         # one character more on either side; a word across the cut counts once
         x = np.frombuffer(text[max(0, at - 1) : at + _CHARS + 1].encode("utf-32-le", "surrogatepass"), "<u4")
-        letter = _alphabetic()[np.minimum(x, 0xFFFF)] & (x < 0xFFFF)
+        letter = _alphabetic()[x]
         c = np.zeros(len(x) + 2, np.uint64)
         c[1:-1] = np.where(letter, x, 0)
         i = np.flatnonzero(letter) + 1
@@ -85,7 +84,7 @@ class TextModel:
         """(tempered log-likelihoods, words) of a text."""
         counts, n = ngram_counts(text)
         mean = counts @ self.table / max(1, counts.sum())
-        return mean * TEMPER * min(n, FULL_WORDS), n
+        return mean * TEMPER * n, n
 
 
 def train_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
@@ -123,13 +122,14 @@ def text_evidence(docs: DataFrame, model: TextModel) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["loglik array<double>", "n_words long"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.score(t or "") for t in batch["text"]]
-            yield batch.drop(columns="text").assign(loglik=[x for x, _ in got], n_words=[n for _, n in got])
+            got = [model.score(t or "") for t in batch["text"].to_pylist()]
+            new = [pa.array([x for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch[f.name] for f in keep] + new, [f.name for f in keep] + ["loglik", "n_words"])
         common.release_memory()
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> DataFrame:
@@ -137,14 +137,15 @@ def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> D
     ``docs(id, text, declared, host, suffix)``.
 
     Null and empty declarations, hosts and suffixes are no evidence.  Rows are independent:
-    repeated ids give repeated results.
+    repeated and null ids give a result each, and an id of any type is passed on as it is.
+    Columns of other names take no part.
     """
     names, k = model.languages, len(model.languages)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select("id", "text", blank("declared").alias("declared"), blank("host").alias("host"), blank("suffix").alias("suffix"))
     e = common.materialize(text_evidence(rows, model), "evidence")
     if not k:
-        return e.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "n_words", F.lit(False).alias("accepted"))
+        return e.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "n_words", F.lit(None).cast("boolean").alias("accepted"))
     # the language of the text alone, where it has words and isn't background
     best = F.array_position("loglik", F.array_max("loglik")).cast("int") - 1
     clear = e.where("n_words > 0").withColumn("best", best).where(F.col("best") < k)
@@ -165,7 +166,7 @@ def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> D
     for c in ("suffix", "host"):
         seen = common.materialize(tally(c).where(F.col(c) != ""), c)
         rows = seen.groupBy(c).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(f"{c}_n"), F.sum("n").alias(f"{c}_all"))
-        e = e.join(F.broadcast(rows) if seen.limit(HOST_ROWS + 1).count() <= HOST_ROWS else rows, c, "left")
+        e = e.join(F.broadcast(rows) if common.size_in_bytes(seen) <= common.BROADCAST_BYTES else rows.hint("merge"), c, "left")
     prior = F.array(*[F.lit(float(p)) for p in corpus])
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))
 
@@ -200,11 +201,15 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_posterior: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is rejected."""
-    e = from_documents(docs)
-    found = identify(e, train_text_model(e), min_posterior)
-    bad = common.materialize(found.where("not accepted").select(F.col("id").alias("doc_id")), "rejected")
-    return docs.join(common.broadcast_if_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose language is rejected.  Where nothing is declared there is no
+    model, and every row stays."""
+    parts = ("text", "lang", "source")
+    e = from_documents(docs).withColumn("id", common.row_key("id", "text", "declared", "host"))
+    model = train_text_model(e)
+    if not model.languages:
+        return docs
+    bad = identify(e, model, min_posterior).where("not accepted").select(F.col("id").alias("key"))
+    return common.without_rows(docs, common.materialize(bad, "rejected"), *parts)
 
 
 def _report(e: DataFrame, key: str) -> DataFrame:
