@@ -1,14 +1,16 @@
 """Operator 8: exact top-k inner-product search by pivot-table elimination.
 
-Each vector has its distances to a fixed set of pivots.  For a query q and a vector x the
-triangle inequality gives |q - x| >= max over pivots p of |d(q, p) - d(x, p)|, and as
-2 q.x = |q|^2 + |x|^2 - |q - x|^2, that lower bound on the distance is an upper bound on the
-score.  For each query the candidates of a block are taken by falling bound, and the scan of
+A table holds for each vector where its distances to many fixed pivots and to the origin place it:
+its coordinates in the space that the pivots span, and how far from that space it lies.  They give the
+largest lower bound on the distance of a query and a vector that these distances allow (never
+less than the triangle inequality over any one pivot), and as 2 q.x = |q|^2 + |x|^2 - |q - x|^2 that is an
+upper bound on the score: the product of the coordinates plus the product of the two remainders.
+For each query the candidates of a block are taken by falling bound, and the scan of
 the block stops when the next bound is below the k-th best score known: no candidate behind
 it can take part, so the result is exact.
 
-Queries are written to blocks of bounded size in the shared folder, with their pivot
-distances and a first k-th score from a bounded sample of vectors.  Every task holds one batch
+Queries are written by blocks of bounded size to the shared folder, with their coordinates
+and a first k-th score from a bounded sample of vectors.  Every task holds one block
 of candidates and reads the query blocks one after another.  Vectors are never joined with
 queries and never shuffled; a task returns only scores that reach the known k-th score, so the
 final ranking gets few rows more than the result.
@@ -16,21 +18,23 @@ final ranking gets few rows more than the result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .records import open_folder
 
-PIVOTS = 24
-#: Vectors that pivots and first scores are taken from.
+PIVOTS = 48
+#: Vectors of each length that pivots and first scores are taken from.
 SAMPLE = 2048
 #: Queries in memory at once, and candidates of one block.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
 
 _HITS = "query_id long, vec_id long, score long"
 
@@ -47,20 +51,31 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors], np.float64)
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(d2, 0))
-
-
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first: each next pivot is the vector farthest from those before it."""
-    if not len(sample):
-        return sample
-    chosen, near = [0], _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(n, len(sample)):
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    """Orthonormal rows that span the pivots.  Each next pivot is the vector that lies farthest from the
+    space of the origin and those before it."""
+    rest, chosen = sample.astype(np.float64), []
+    most = np.abs(rest).max(initial=0)
+    while len(chosen) < n and len(rest):
+        size = np.sqrt((rest * rest).sum(axis=1))
+        at = int(size.argmax())
+        if not size[at] > 1e-9 * most:
+            break
+        b = rest[at] / size[at]
+        b -= sum((c * (c @ b) for c in chosen), np.zeros_like(b))
+        b /= np.sqrt(b @ b)
+        chosen.append(b)
+        rest = rest - np.outer(rest @ b, b)
+    return np.array(chosen).reshape(len(chosen), sample.shape[1])
+
+
+def place(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates of the rows of ``x`` in the space of the pivots, then their distance from it, which
+    is taken large rather than small by what rounding may do."""
+    c = x @ basis.T
+    n2 = (x * x).sum(axis=1)
+    out = np.sqrt(np.maximum(n2 - (c * c).sum(axis=1), 0) + 1e-11 * n2)
+    return np.concatenate([c, out[:, None]], axis=1)
 
 
 class _Scorer:
@@ -78,26 +93,24 @@ class _Scorer:
         return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in whole], np.int64)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.ndarray, q: np.ndarray, dq: np.ndarray, floors: np.ndarray, k: int):
+def search_block(ids: np.ndarray, x: np.ndarray, cx: np.ndarray, qids: np.ndarray, q: np.ndarray, cq: np.ndarray, floors: np.ndarray, k: int, seen: Counter | None = None):
     """(query ids, vector ids, scores) of a block that reach the top k of their query within it
-    and its known k-th score.  ``dx`` and ``dq`` are distances to the pivots."""
-    n2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    and its known k-th score.  ``cx`` and ``cq`` are places against the pivots.  ``seen`` counts pairs,
+    and scores that were worked out."""
+    norm = np.sqrt((x * x).sum(axis=1)).max(initial=0)
     score = _Scorer(x, np.abs(q).max(initial=0))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 64):
         part = slice(at, at + 64)
-        low = np.zeros((len(q[part]), len(x)), np.float32)
-        for p in range(dx.shape[1]):
-            gap = np.abs(dq[part, p, None].astype(np.float32) - dx[None, :, p].astype(np.float32))
-            np.maximum(low, gap, out=low)
-        # float32 distances are good to about one part in ten million: allow ten times that
-        low = low.astype(np.float64) - 1e-6 * (np.sqrt(q2[part]).max(initial=0) + np.sqrt(n2).max(initial=0))
-        bound = (q2[part, None] + n2[None] - np.maximum(low, 0) ** 2) / 2
-        bound += 1e-9 * np.abs(bound) + 1e-6
+        bound = cq[part] @ cx.T
+        # room for rounding in the sums of the bound and of the coordinates
+        bound += 1e-9 * np.sqrt((q[part] * q[part]).sum(axis=1))[:, None] * norm + 1e-6
         for j in range(len(bound)):
             i = at + j
             kth = floors[i]
             rows = np.flatnonzero((bound[j] >= kth) & (ids != qids[i]))
+            if seen is not None:
+                seen["pairs"] += int((ids != qids[i]).sum())
             if not len(rows):
                 continue
             rows = rows[np.argsort(-bound[j][rows], kind="stable")]
@@ -105,8 +118,11 @@ def search_block(ids: np.ndarray, x: np.ndarray, dx: np.ndarray, qids: np.ndarra
             step, done = 4 * k, 0
             while done < len(rows) and bound[j][rows[done]] >= kth:
                 take = rows[done : done + step]
-                done, step = done + step, min(4 * step, 4096)
+                take = take[bound[j][take] >= kth]
+                done, step = done + step, min(2 * step, 1024)
                 s = score(take, q[i])
+                if seen is not None:
+                    seen["scores"] += len(take)
                 best_s, best_v = np.concatenate([best_s, s]), np.concatenate([best_v, ids[take]])
                 order = np.lexsort((best_v, -best_s))[:k]
                 best_s, best_v = best_s[order], best_v[order]
@@ -123,92 +139,121 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
 
     Queries are the rows where ``is_query`` holds, candidates all rows with another ``vec_id``.
     Null ids and vectors that are null or hold null or non-finite components take no part;
-    vectors of different lengths don't score.  Rows that repeat a vec_id are candidates each;
-    as queries they are one, the least of them.  Ties go to the smaller vec_id.  A query
-    without candidates has no row.
+    vectors of different lengths, of which there may be any number, don't score.  Rows that repeat a
+    vec_id are candidates each; as queries they are one, the least (shortest, then by components).
+    Ties go to the smaller vec_id.  A query without candidates has no row.  Columns of other names
+    take no part.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v"), is_query.alias("asks")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    out = None
-    # one search for each length of vector (as a rule there is one)
-    lengths = [r[0] for r in v.select(F.size("v").alias("n")).distinct().orderBy("n").limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("vectors of more than 1,000 lengths")
-    for n in lengths:
-        found = _search(spark, v.where(F.size("v") == n), n, k)
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    v = v.withColumn("n", F.size("v"))
+    pivots, queries = common.scratch_path(spark, "pivots"), common.scratch_path(spark, "queries")
+
+    # about twice SAMPLE vectors of each length by a hash, and of them the least
+    sizes = common.materialize(v.groupBy("n").agg(F.count("*").alias("rows")), "lengths")
+    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = v.select("vec_id", "v", "n").join(common.broadcast_if_small(sizes), "n").where(chance * F.col("rows") < 2 * SAMPLE).groupBy("n", "vec_id").agg(F.min("v").alias("v"))
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(g["v"])
+        ids = g["vec_id"].to_numpy(np.int64)
+        rows = np.sort(np.random.default_rng(0).permutation(np.argsort(ids))[:SAMPLE])
+        return pd.DataFrame({"n": [int(g["n"].iloc[0])], "ids": [ids[rows].tobytes()], "x": [x[rows].tobytes()], "basis": [choose_pivots(x[rows], PIVOTS).tobytes()]})
+
+    few.groupBy("n").applyInPandas(choose, "n int, ids binary, x binary, basis binary").write.partitionBy("n").parquet(pivots)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Pivots(pivots)
+        for batch in batches:
+            for n, qids, q in _by_length(batch):
+                ids, x, basis = known[n]
+                cq, cx, floors = place(q, basis), place(x, basis), np.full(len(q), -(2**63), np.int64)
+                for found, _, scores in search_block(ids, x, cx, qids, q, cq, np.full(len(q), -np.inf), k):
+                    if len(scores) == k:
+                        floors[qids == found[0]] = scores[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), n, np.int32)), pa.array(qids), _lists(q.astype(np.int64)), _lists(cq), pa.array(floors)], ["n", "vec_id", "v", "c", "floor"])
+
+    asked = v.where("asks").groupBy("vec_id").agg(F.min(F.struct("n", "v")).alias("q")).select("vec_id", "q.v", "q.n")
+    asked.mapInArrow(prepare, "n int, vec_id long, v array<long>, c array<double>, floor long").write.partitionBy("n").option("maxRecordsPerFile", 16 * QUERY_BLOCK).parquet(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Pivots(pivots)
+        for n, ids, x in _candidate_blocks(batches):
+            cx = place(x, known[n][2])
+            for qids, q, cq, floors in _query_blocks(queries, n):
+                found = search_block(ids, x, cx, qids, q, cq, floors, k)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found)], ["query_id", "vec_id", "score"])
+
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = v.select("vec_id", "v", "n").mapInArrow(run, _HITS)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(spark: SparkSession, v: DataFrame, n: int, k: int) -> DataFrame:
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
-    sample_ids, sample_x = np.array([r[0] for r in sample], np.int64), _matrix([r[1] for r in sample]).reshape(len(sample), n)
-    pivots = choose_pivots(sample_x, PIVOTS)
-    known = spark.sparkContext.broadcast((sample_ids, sample_x, pivots))
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1)))
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, p = known.value
-        dx = _distances(x, p)
-        for batch in batches:
-            if batch.empty:
-                continue
-            q, qids = _matrix(batch["v"]).reshape(len(batch), n), batch["vec_id"].to_numpy()
-            dq = _distances(q, p)
-            floors = np.full(len(q), -(2**63), np.int64)
-            for found, _, scores in search_block(ids, x, dx, qids, q, dq, np.full(len(q), -np.inf), k):
-                if len(scores) == k:
-                    floors[qids == found[0]] = scores[-1]
-            yield pd.DataFrame({"vec_id": qids, "v": list(q.astype(np.int64)), "d": list(dq), "floor": floors})
-
-    queries = v.where("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    folder = common.scratch_path(spark, "queries")
-    queries.mapInPandas(prepare, "vec_id long, v array<long>, d array<double>, floor long").write.option("maxRecordsPerFile", 16 * QUERY_BLOCK).parquet(folder)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = known.value[2]
-        for ids, x in _candidate_blocks(batches, n):
-            dx, found = _distances(x, p), []
-            for qids, q, dq, floors in _query_blocks(folder, n):
-                found += search_block(ids, x, dx, qids, q, dq, floors, k)
-            if found:
-                a, b, c = (np.concatenate(z) for z in zip(*found))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    return v.select("vec_id", "v").mapInPandas(run, _HITS)
-
-
-def _candidate_blocks(batches: Iterator[pd.DataFrame], n: int):
-    held: list[pd.DataFrame] = []
+
+class _Pivots(dict):
+    """(sampled ids, sampled vectors, basis of the pivots) of each length, read when first asked for."""
+
+    def __init__(self, folder: str):
+        super().__init__()
+        self.folder = folder
+
+    def __missing__(self, n: int):
+        rows = [b for b in _read(self.folder, n) if b.num_rows]
+        ids, x, basis = (rows[0][c][0].as_py() for c in ("ids", "x", "basis"))
+        matrix = lambda b: np.frombuffer(b, np.float64).reshape(-1, max(n, 1)) if n else np.zeros((len(ids) // 8, 0))
+        self[n] = np.frombuffer(ids, np.int64), matrix(x), matrix(basis) if n else np.zeros((0, 0))
+        return self[n]
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) of a batch of ``vec_id``, ``v`` and ``n``, for each length."""
+    lengths, ids = batch["n"].to_numpy(zero_copy_only=False), batch["vec_id"].to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield int(n), ids[at], batch["v"].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+
+
+def _candidate_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) in blocks of about ``CANDIDATE_BLOCK`` rows, of one length each."""
+    held: dict[int, list] = {}
     rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows >= CANDIDATE_BLOCK:
-            yield _block(held, n)
-            held, rows = [], 0
-    if rows:
-        yield _block(held, n)
 
+    def blocks():
+        for n, parts in held.items():
+            yield n, np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
 
-def _block(held: list[pd.DataFrame], n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([b["vec_id"].to_numpy() for b in held]), np.concatenate([_matrix(b["v"]).reshape(len(b), n) for b in held])
+    for batch in batches:
+        for n, ids, x in _by_length(batch):
+            held.setdefault(n, []).append((ids, x))
+        rows += batch.num_rows
+        if rows >= CANDIDATE_BLOCK:
+            yield from blocks()
+            held, rows = {}, 0
+    yield from blocks()
 
 
-def _query_blocks(folder: str, n: int):
-    """The query blocks of the shared folder, one at a time."""
+def _read(folder: str, n: int) -> Iterator[pa.RecordBatch]:
+    """The batches of the files of length ``n`` in a shared folder, one at a time; none if there are none."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    filesystem, path = open_folder(folder)
-    for info in sorted(filesystem.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
+    filesystem, path = open_folder(f"{folder}/n={n}")
+    for info in sorted(filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with filesystem.open_input_file(info.path) as f:
-                for b in pq.ParquetFile(f).iter_batches(QUERY_BLOCK):
-                    if b.num_rows:
-                        yield b["vec_id"].to_numpy(), b["v"].flatten().to_numpy().astype(np.float64).reshape(-1, n), b["d"].flatten().to_numpy().reshape(b.num_rows, -1), b["floor"].to_numpy().astype(np.float64)
+                yield from pq.ParquetFile(f).iter_batches(QUERY_BLOCK)
+
+
+def _query_blocks(folder: str, n: int):
+    """(ids, vectors, places, first k-th scores) of the queries of length ``n``, block by block."""
+    for b in _read(folder, n):
+        if b.num_rows:
+            rows = lambda c: b[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            yield b["vec_id"].to_numpy(), rows("v") if n else np.zeros((b.num_rows, 0)), rows("c"), b["floor"].to_numpy().astype(np.float64)
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
