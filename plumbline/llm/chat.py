@@ -10,7 +10,8 @@ A log has rows ``(conv_id, seq, op, target, role, text)``.  ``op`` is
 * ``delete``: removes that turn; a later ``edit`` or ``regenerate`` brings it back.
 
 Events whose turn was never started by a ``message`` start it (``role`` of the event, else
-empty).  Null texts and roles count as empty.
+empty).  Null texts and roles count as empty.  Rows with a null ``conv_id`` are one conversation, and
+events with a null place share one place, before all others.  Columns of other names take no part.
 
 Template: each turn is ``<|turn|>``, role, newline, text, ``<|end|>``, newline.  Within role
 and text a backslash becomes two and ``<`` becomes backslash-l (in roles a newline becomes
@@ -86,13 +87,13 @@ def reconstruct(log: DataFrame) -> DataFrame:
     regenerations = folded.where(F.col("regenerated").isNotNull()).select("conv_id", F.col("turn").alias("at"), F.col("regenerated").alias("when"))
     cut = (
         folded.select("conv_id", "turn", "born", F.lit(None).cast("long").alias("when"))
-        .join(regenerations.select("conv_id").distinct(), "conv_id", "left_semi")
+        .join(regenerations.select(F.col("conv_id").alias("which")).distinct(), F.col("conv_id").eqNullSafe(F.col("which")), "left_semi")
         .unionByName(regenerations.select("conv_id", F.col("at").alias("turn"), F.lit(None).cast("long").alias("born"), "when"))
         .withColumn("latest", F.max("when").over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)))
         .where(F.col("born").isNotNull() & (F.col("latest") > F.col("born")))
-        .select("conv_id", "turn")
+        .select(F.col("conv_id").alias("which"), F.col("turn").alias("gone"))
     )
-    kept = folded.join(cut, ["conv_id", "turn"], "left_anti")
+    kept = folded.join(cut, F.col("conv_id").eqNullSafe(F.col("which")) & (F.col("turn") == F.col("gone")), "left_anti")
     return kept.select("conv_id", "turn", F.posexplode("turns").alias("nth", "t")).select("conv_id", "turn", "nth", "t.role", "t.text")
 
 
@@ -139,18 +140,28 @@ def _spans(ts: Column) -> Column:
     return F.flatten(F.transform(blocks, inner))
 
 
+def _under_mask(formatted: Column, mask: Column) -> Column:
+    """The part of ``formatted`` at ``start`` and ``length`` of each entry of ``mask``, whose entries are in
+    order.  It is cut to blocks first, as finding a place in a text costs what stands before it."""
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(mask))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / block).cast("int")), lambda b: F.slice(mask, b * block + 1, block))
+    last = lambda ms: F.element_at(ms, -1)
+    cut = lambda ms: F.struct(ms.alias("ms"), ms[0]["start"].alias("at"), F.substr(formatted, ms[0]["start"].cast("int") + 1, (last(ms)["start"] + last(ms)["length"] - ms[0]["start"]).cast("int")).alias("text"))
+    return F.flatten(F.transform(F.transform(blocks, cut), lambda c: F.transform(c["ms"], lambda m: F.substr(c["text"], (m["start"] - c["at"]).cast("int") + 1, m["length"].cast("int")))))
+
+
 def read_back(rendered: DataFrame) -> DataFrame:
-    """(conv_id, turns, losses) parsed from ``formatted``: ``turns`` with role and text,
-    ``losses`` the unescaped text under the loss mask of each turn (null outside it)."""
-    segments = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2**31 - 1)
-    r = rendered.select("conv_id", "formatted", F.arrays_zip(segments.alias("s"), F.col("loss_spans").alias("m")).alias("z"))
+    """(conv_id, formatted, turns, losses) parsed from ``formatted``: ``turns`` with role and text, ``losses``
+    the unescaped text under each entry of the loss mask (null where its length is 0), found by the
+    mask's start and length alone."""
+    segments = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2**30)
     head = lambda s: F.substring_index(s, "\n", 1)
     body = lambda s: F.substr(s, F.char_length(head(s)) + 2, F.char_length(s) - F.char_length(head(s)) - 1 - len(END) - 1)
-    return r.select(
+    return rendered.select(
         "conv_id",
         "formatted",
-        F.transform("z", lambda z: F.struct(unescape(head(z["s"]), role=True).alias("role"), unescape(body(z["s"])).alias("text"))).alias("turns"),
-        F.transform("z", lambda z: F.when(z["m"]["length"] > 0, unescape(F.substr(z["s"], F.char_length(head(z["s"])) + 2, z["m"]["length"].cast("int"))))).alias("losses"),
+        F.transform(segments, lambda s: F.struct(unescape(head(s), role=True).alias("role"), unescape(body(s)).alias("text"))).alias("turns"),
+        F.transform(_under_mask(F.col("formatted"), F.col("loss_spans")), lambda s: F.when(s != "", unescape(s))).alias("losses"),
     )
 
 
