@@ -5,8 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,26 +62,29 @@ class BestFit:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, cache: int = CACHE_PARTS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document: its ids and ``end_id``,
-    cut into pieces of ``capacity`` only where they are more.  Null texts count as empty.
+    cut into pieces of ``capacity`` only where they are more.  Null texts count as empty, a null or
+    repeated doc_id is passed on as it is, and columns of other names take no part.
     ``cache`` is the number of encoded words that a Python worker keeps: memory against time."""
     common.small_batches(docs.sparkSession)
     path = tokenizer_path(tokenizer)
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = json_encoder(path)
         encoder.limit = cache
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for i, text in enumerate(batch["text"].to_pylist()):
                 ids = encoder.encode(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            at, *values = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), *map(pa.array, values, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         common.release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, _PIECES)
 
 
 def pack(lengths: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, pieces_a_packer: int = PIECES_A_PACKER) -> DataFrame:
@@ -98,19 +100,20 @@ def pack(lengths: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, p
     schema = lengths.schema.add("sequence_id", "long", False).add("offset", "long", False)
     spread = F.xxhash64("doc_id", "piece", "length")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, packer = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
         for batch in batches:
-            lengths_ = batch["length"].tolist()
+            lengths_ = batch["length"].to_pylist()
             if lengths_ and not 1 <= min(lengths_) <= max(lengths_) <= capacity:
                 raise ValueError(f"piece lengths must be from 1 to {capacity}")
             placed = [packer.place(n) for n in lengths_]
-            yield batch.assign(sequence_id=np.array([first + b for b, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
+            new = [pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "sequence_id", "offset"])
 
     dealt = lengths.repartition(packers, spread).sortWithinPartitions(spread, "doc_id", "piece")
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, cache: int = CACHE_PARTS) -> DataFrame:

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,31 +182,36 @@ def fold(c: Column) -> Column:
 
 def train_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``rows`` positives (``quality`` 1) and ``rows`` documents of any kind:
-    those least by a hash of their id.  Only features reach the driver, for that many rows."""
+    those least by a hash of their id.  Only features reach the driver, for that many rows.  Rows without
+    a doc_id are not learned from; rows that repeat id and text count once."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    pick = lambda d: d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    ids = docs.select("doc_id")
+    pick = lambda d: d.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows)
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ids = docs.select("doc_id", "h").distinct()
     chosen = pick(ids.join(good, "doc_id", "left_semi")).withColumn("positive", F.lit(True)).union(pick(ids).withColumn("positive", F.lit(False)))
-    # at most 2 * rows ids: a proven bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(common.materialize(chosen, "sample")), "doc_id").select("doc_id", "positive", "text")
-    got = feature_rows(sample).toPandas().sort_values(["doc_id", "positive"])
+    # at most 2 * rows keys, each of one text: a proven bound
+    sample = docs.join(F.broadcast(common.materialize(chosen, "sample")), ["doc_id", "h"]).groupBy("doc_id", "h", "positive").agg(F.first("text").alias("text"))
+    got = feature_rows(sample).toPandas().sort_values(["doc_id", "h", "positive"])
     positive = got["positive"].to_numpy(bool)
     rows_of = lambda mask: np.frombuffer(b"".join(got["x"][mask]), np.float32).reshape(-1, _FORM + SHAPES)
     return train(rows_of(positive), rows_of(~positive))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``text`` replaced by ``score``.  Null and empty texts get that of no words."""
+    """``docs`` with ``text`` replaced by ``score``.  Null and empty texts get that of no words.  Each row
+    is scored for itself; null and repeated ids and other columns are passed on, but a column ``score``
+    of ``docs`` gives way."""
     common.small_batches(docs.sparkSession)
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+    keep = [f for f in docs.schema.fields if f.name not in ("text", "score")]
+    docs = docs.select(*[f"`{f.name}`" for f in keep], "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["score double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t or "") for t in batch["text"]], np.float64).reshape(len(batch), _FORM + SHAPES)
-            yield batch.drop(columns="text").assign(score=model.score(x))
+            x = np.array([features(t or "") for t in batch["text"].to_pylist()], np.float64).reshape(batch.num_rows, _FORM + SHAPES)
+            yield pa.RecordBatch.from_arrays([batch[f.name] for f in keep] + [pa.array(model.score(x))], [f.name for f in keep] + ["score"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +220,4 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = fold(F.col("doc_id")) != 0
     model = train_on(docs.where(learn), labels.where(learn))
     scored = score(docs, model)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
