@@ -1,8 +1,8 @@
 """Training-data operators against brute force, round trips and held-out accuracy."""
 
 import collections
-import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,14 +86,36 @@ def test_records_round_trip(spark, docs, odd, none, tmp_path):
 
 
 def test_packing(spark, docs, odd, none):
+    """Pieces are the library's ids; places are gapless and, from one packer, those of a plain best fit."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizing.tokenizer_path("word_bpe_49k.json"))
     for d in (docs, odd, none):
         got = packing.pack_documents(d).toPandas()
-        assert got.length.sum() == sum(len(tokenizing.json_encoder(tokenizing.tokenizer_path("word_bpe_49k.json")).encode(r.text or "")) // 4 + 1 for r in d.collect())
-        for _, g in got.sort_values("offset").groupby("sequence_id"):
-            assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 4096
+        want = []
+        for r in d.collect():
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+            want += [(r.doc_id, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+        assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+        free: dict[int, int] = {}
+        for r in got.itertuples():  # rows come in the order in which they were packed
+            fits = [f for f in free.values() if f >= r.length]
+            assert free.get(r.sequence_id, 4096) == min(fits, default=4096) and r.offset == 4096 - free.get(r.sequence_id, 4096)
+            free[r.sequence_id] = free.get(r.sequence_id, 4096) - r.length
         assert got.sequence_id.nunique() <= 1.05 * got.length.sum() / 4096 + 1
 
 
+def test_packing_by_several_packers(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, rng.choice([rng.randint(1, 100), rng.randint(1, 4096)])) for i in range(3000)]
+    lengths = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = packing.pack(lengths, open_bins=64, pieces_a_packer=500).toPandas()
+    assert sorted(zip(got.doc_id, got.length)) == sorted((i, n) for i, _, n in rows)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 4096
+    assert got.sequence_id.nunique() <= 1.1 * got.length.sum() / 4096 + 6
+
+
 def test_best_fit_closes_the_fullest():
     b = packing.BestFit(10, open_bins=2)
     assert [b.place(n) for n in (6, 7, 4, 8, 3, 2)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 7), (2, 8)]
@@ -110,7 +132,7 @@ def test_token_counts(docs, odd, none):
         assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(d).collect()) == want
 
 
-def brute_lines(rows, least):
+def brute_lines(rows, least=1, near_least=20):
     places = collections.defaultdict(list)
     for d, t in rows:
         for i, x in enumerate([] if t is None else t.split("\n")):
@@ -120,6 +142,8 @@ def brute_lines(rows, least):
     variants = {x: {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))} for x in places}
 
     def near(a, b):
+        if min(len(a), len(b)) < near_least:
+            return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
         return min(a, b, key=len) in variants[max(a, b, key=len)] and abs(len(a) - len(b)) == 1
@@ -142,9 +166,9 @@ def test_line_dedup(spark, odd, none):
             x[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
         return "".join(x)
 
-    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for i in range(120)] + [(900, None), (901, ""), (902, "short\nshort")]
+    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for i in range(120)] + [(900, None), (901, ""), (902, "short\nshort\n\n \nshirt"), (903, "short")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_lines(rows, 20)
+    assert got == brute_lines(rows) and got[902] == "short\n\n \nshirt"
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and out.count() == odd.count()
     assert line_dedup.dedup_lines(none).count() == 0
@@ -185,12 +209,13 @@ def test_near_dedup(spark, docs, odd, none, monkeypatch):
     want = brute_near(rows, 4, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 4).collect()} == want
     limit = near_dedup.sketch_limit(near_dedup.BANDS, near_dedup.ROWS, near_dedup.SKETCH_BITS, 0.8)
-    reps = near_dedup.signatures(df, 4).where("n_shingles > 0").select("doc_id", "keys", "sketch")
+    reps = near_dedup.signatures(df, 4).where("n_shingles > 0").select("doc_id", "keys", "sketch", "n_shingles")
     groups = near_dedup.candidate_groups(reps, limit, block=16)
+    groups = groups.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
     found = {r.node: r.root for r in components.components(near_dedup.links(df, groups, 4, 80, block=16)).collect()}
     assert all(found.get(d, d) == root for d, (n, root) in want.items() if n)
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
-    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, True), 6: (5, False)}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, True), 6: (5, False)} and near_dedup.near_duplicates(odd).count() == len(ODD)
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_one(none).columns == none.columns
 
 
@@ -210,7 +235,7 @@ def test_decontamination(spark, odd, none):
     assert {r.doc_id for r in decontamination.remove_documents(df, bench).collect()} == {3, 5, 6, 7}
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(df, bench).collect()}
     assert cut[2] == "x, " and cut[4] == "a b" and cut[3] == rows[2][1] and cut[5] is None
-    assert decontamination.contamination(odd, bench).count() == 6
+    assert decontamination.contamination(odd, bench).count() == len(ODD)
     assert decontamination.contamination(none, bench).count() == 0 and decontamination.contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -229,7 +254,9 @@ def test_quality_held_out(spark, odd, none):
     truth = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
     both = got.merge(truth, on="doc_id")
     both = both[both.held_out]
-    assert (both.predicted == both.quality).mean() > 0.9
+    assert (both.predicted == both.quality).mean() > 0.95 and 0.5 < both.quality.mean() < 0.9
+    good, bad = both.score[both.quality == 1].to_numpy(), both.score[both.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.99
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     model = quality.train(np.zeros((0, 5)), np.zeros((0, 5)))
     few = quality.score(odd.select("doc_id", "text"), model)
@@ -247,7 +274,8 @@ def test_quality_of_any_script_and_length():
 def test_language(spark, docs, odd, none):
     e = language_id.from_documents(docs).withColumn("declared", F.when(F.col("id") % 5 > 0, F.col("declared")))
     found = language_id.identify(e, language_id.train_text_model(e)).toPandas().merge(docs.select("doc_id", "lang").toPandas(), left_on="id", right_on="doc_id")
-    assert (found.language == found.lang).mean() > 0.97
+    held = found[found.id % 5 == 0]
+    assert len(held) > 30 and (held.language == held.lang).all() and (found.language == found.lang).mean() > 0.97
     kept = language_id.keep_identified(docs.unionByName(odd.select(*docs.columns)))
     assert kept.where(F.col("doc_id") > 6).count() == docs.where(F.col("doc_id") > 6).count()
     assert language_id.keep_identified(none).count() == 0
@@ -271,19 +299,66 @@ def test_language_of_many_and_of_few(spark):
     assert all(r.accepted and r.language == ("l00" if i < 400 else "l01") for i, r in found.items())
 
 
+def brute_contaminated(docs, bench):
+    """doc_ids of which a twentieth or more of the words are in windows of 13 words."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    grams = {tuple(w[i : i + min(13, len(w))]) for w in map(words, bench) if w for i in range(len(w) - min(13, len(w)) + 1)}
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        hit = {p for n in {len(g) for g in grams} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams for p in range(i, i + n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(d)
+    return out
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on what it is given, and near-duplicates against the whole texts."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    source = docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.common.materialize(stage(spark, docs, SF), name)
         kept[name] = docs
-    assert kept["near_dedup"].columns == kept["language_id"].columns
-    lines = {r.doc_id: r.text for r in kept["line_dedup"].collect()}
-    want = brute_lines([(r.doc_id, r.text) for r in kept["language_id"].collect()], 20)
-    assert lines == {d: t for d, t in want.items() if t is None or t.strip() or not any(r.text.strip() for r in kept["language_id"].where(F.col("doc_id") == d).collect())}
-    near = brute_near(list(lines.items()), 5, 80)
-    assert {r.doc_id for r in kept["near_dedup"].collect()} == {d for d, (_, root) in near.items() if root == d}
-    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in kept["decontamination"].collect()}
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+    rows = lambda d: [(r.doc_id, r.text) for r in d.collect()]
+    assert kept["near_dedup"].columns == kept["decontamination"].columns == source.columns
+    # words by a plain definition of a language: the documents that stay are those with letters
+    assert {d for d, _ in rows(kept["language_id"])} >= {d for d, t in rows(source) if t and sum(map(str.isalpha, t)) > 0.6 * len(t)}
+    assert set(rows(kept["language_id"])) <= set(rows(source))
+    lines, given = dict(rows(kept["line_dedup"])), dict(rows(kept["language_id"]))
+    want = brute_lines(list(given.items()))
+    assert lines == {d: t for d, t in want.items() if t is None or t.strip() or not given[d].strip()}
+    whole = {d: t for d, t in rows(source) if d in lines}
+    near = brute_near_of_several([(d, t) for d, t in lines.items()] + list(whole.items()), 4, 80)
+    assert {d for d, _ in rows(kept["near_dedup"])} == {d for d, root in near.items() if root == d}
+    # of the duplicates by whole texts that come so far, none is left beside the document it repeats
+    assert not {d for d, (_, root) in brute_near(list(whole.items()), 4, 80).items() if root != d} & {d for d, _ in rows(kept["near_dedup"])}
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    given = rows(kept["near_dedup"])
+    assert {d for d, _ in rows(kept["decontamination"])} == {d for d, _ in given} - brute_contaminated(given, bench)
+    packed, encoder = docs.toPandas(), tokenizing.json_encoder(tokenizing.tokenizer_path("word_bpe_49k.json"))
+    assert packed.groupby("doc_id").length.sum().to_dict() == {d: len(encoder._library(t or "")) // 4 + 1 for d, t in rows(kept["decontamination"])}
+    again = corpus_pipeline.run(spark, SF).toPandas()
+    assert sorted(again.itertuples(index=False, name=None)) == sorted(packed.itertuples(index=False, name=None))
+
+
+def brute_near_of_several(rows, size, percent):
+    """Roots of doc_ids that may have several texts."""
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = []
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((d, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()))
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                u, v = find(a), find(b)
+                parent[max(u, v)] = min(u, v)
+    return {d: find(d) for d in parent}
