@@ -237,7 +237,7 @@ def test_chat_mask_is_what_is_read(spark):
     assert back[1].losses == [None, long_text] and back[None].losses == [None, "d"] and [t.text for t in back[None].turns] == ["a", "d"]
     assert [t.text for t in back[2].turns] == ["late", "z"] and back[2].losses == ["late", None]
     moved = out.withColumn("loss_spans", F.transform("loss_spans", lambda m: F.struct((m["start"] + 1).alias("start"), m["length"].alias("length"))))
-    assert {r.conv_id: r.losses for r in chat.read_back(moved).collect()}[None] == [None, "<"]
+    assert {r.conv_id: r.losses for r in chat.read_back(moved).collect()}[None] == [None, "\\"]
     many = spark.createDataFrame([(1, i, "message", None, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)], "conv_id long, seq long, op string, target long, role string, text string")
     assert chat.read_back(chat.render(chat.reconstruct(many))).first().losses == [f"t{i}" if i % 2 else None for i in range(3000)]
 
