@@ -12,7 +12,7 @@
    index.  Each block yields a spanning forest of the true links, and their components are
    the result.
 
-Band keys and groups of any size are compared in two rounds (:func:`spanning_links`).  First each is cut
+Band keys and groups of any size are compared in two rounds (:func:`linked_components`).  First each is cut
 into blocks, and two members of it, the same for all its blocks, sit in every block beside the
 block's own; a large group of near copies is tied together by them at a cost linear in its size.  Then
 only members that are not yet in the group's largest component are set against all others of
@@ -245,8 +245,8 @@ def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
 
-def spanning_links(members: DataFrame, payload: DataFrame, compare, block: int, weight: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each key of ``members(key, doc_id, w)``.
+def linked_components(members: DataFrame, payload: DataFrame, compare, block: int, weight: int) -> DataFrame:
+    """(node, root): the components of the links within each key of ``members(key, doc_id, w)``.
 
     ``payload(doc_id, ...)`` has what ``compare(block, side, root)`` needs to find a spanning forest of the
     links in a block of rows.  A key of m rows has as many blocks as keep each near ``block`` rows and
@@ -275,26 +275,30 @@ def spanning_links(members: DataFrame, payload: DataFrame, compare, block: int,
     large = keys.where("s > 1")
     one = dealt.select("key", "doc_id", "i").join(payload, "doc_id").withColumns({"j": zero, "side": zero, "root": F.col("doc_id")})
     if large.isEmpty():
-        return linked(one)
+        return components(linked(one))
     tied = large.select("key", "s", F.explode(F.array("lo", "hi")).alias("doc_id")).join(payload, "doc_id")
     tied = tied.withColumns({"i": F.explode(F.sequence(zero, F.col("s") - 1)), "j": zero, "side": zero, "root": F.col("doc_id")})
-    first = common.materialize(linked(one.unionByName(tied.select(*one.columns))), "links")
 
     # members of large keys that the links don't join with most of their key
-    root = components(first)
+    root = components(linked(one.unionByName(tied.select(*one.columns))))
     inside = common.join_by_hot_key(members.select("key", "doc_id"), large.select("key", "n", "s"), "key")
     inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", F.coalesce("root", "doc_id").alias("root"))
     inside = common.materialize(inside, "inside")
     most = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("joined"))
     most = common.materialize(most.where("roots > 1").select("key", "n", "main", F.ceil((F.col("n") - F.col("joined")) / block).cast("int").alias("t")), "open")
     if most.isEmpty():
-        return first
+        return root
     opened = common.materialize(common.join_by_hot_key(inside, most, "key").select("key", "doc_id", "root", "s", "main", "t", chunk.alias("c")), "opened")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("t")).cast("int")
     left = opened.where("root <> main").select("key", "doc_id", "root", F.explode(F.sequence(zero, F.col("s") - 1)).alias("i"), part.alias("j"), zero.alias("side"))
     right = opened.select("key", "doc_id", "root", F.col("c").alias("i"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("j"), F.lit(1).alias("side"))
-    second = linked(left.unionByName(right).join(payload, "doc_id"))
-    return first.unionByName(common.materialize(second, "links"))
+    return merged(root, linked(left.unionByName(right).join(payload, "doc_id")))
+
+
+def merged(root: DataFrame, more: DataFrame) -> DataFrame:
+    """Components ``root(node, root)`` with the edges ``more(a, b)`` added."""
+    more = common.materialize(more, "links")
+    return root if more.isEmpty() else components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
@@ -306,11 +310,11 @@ def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
         return _sketch_forest(sketches, side, root, limit)
 
     members = reps.select(F.explode("keys").alias("key"), "doc_id", F.lit(1).alias("w"))
-    return components(spanning_links(members, reps.select("doc_id", "sketch"), compare, block, 1 << 62))
+    return linked_components(members, reps.select("doc_id", "sketch"), compare, block, 1 << 62)
 
 
 def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = SHINGLES) -> DataFrame:
-    """(a, b): a spanning forest of the true links within each of ``groups(node, root, n_shingles)``."""
+    """(node, root): the components of the true links within each of ``groups(node, root, n_shingles)``."""
 
     def compare(g: pd.DataFrame, side: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
         known = _WordHash()
@@ -318,7 +322,7 @@ def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block:
 
     members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("w"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return spanning_links(members, texts, compare, block, weight)
+    return linked_components(members, texts, compare, block, weight)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
@@ -346,7 +350,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # an id with several texts ties their classes together
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     ties = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class_id"), "digest")
-    found = components(found.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))))
+    found = merged(found, ties.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
     roots = classes.select("digest", "n", "class_id").join(found, F.col("class_id") == F.col("node"), "left")
     roots = common.materialize(roots.select("digest", "n", F.coalesce("root", "class_id").alias("component_id")), "roots")
     out = common.join_by_hot_key(named.select("doc_id", "n_shingles", "digest"), roots, "digest")
