@@ -98,7 +98,7 @@ def test_groups_larger_than_a_block(spark, way):
     want = brute_near(rows, 4, 80)
     sizes = spark.createDataFrame([(d, 0 if d < 100 else 1, n) for d, (n, _) in want.items()], "node long, root long, n_shingles long")
     for block, weight in ((8, 1 << 40), (1000, 600), (1000, 1 << 40)):
-        found = {r.node: r.root for r in components.components(near_dedup.links(df, sizes, 4, 80, block=block, weight=weight)).collect()}
+        found = {r.node: r.root for r in near_dedup.links(df, sizes, 4, 80, block=block, weight=weight).collect()}
         assert {d: found.get(d, d) for d in want} == {d: root for d, (_, root) in want.items()}
 
 

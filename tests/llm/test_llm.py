@@ -212,7 +212,7 @@ def test_near_dedup(spark, docs, odd, none, monkeypatch):
     reps = near_dedup.signatures(df, 4).where("n_shingles > 0").select("doc_id", "keys", "sketch", "n_shingles")
     groups = near_dedup.candidate_groups(reps, limit, block=16)
     groups = groups.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    found = {r.node: r.root for r in components.components(near_dedup.links(df, groups, 4, 80, block=16)).collect()}
+    found = {r.node: r.root for r in near_dedup.links(df, groups, 4, 80, block=16).collect()}
     assert all(found.get(d, d) == root for d, (n, root) in want.items() if n)
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
     assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, True), 6: (5, False)} and near_dedup.near_duplicates(odd).count() == len(ODD)
