@@ -55,9 +55,30 @@ def exact(v: Column) -> Column:
     return F.when(F.abs(v) >= 4503, v).otherwise(scaled + 0.0)
 
 
+def one_decimal(v: Column) -> Column:
+    """One digit behind the point."""
+    return F.format_string("%.1f", v.cast("double"))
+
+
 def display_number(v: Column) -> Column:
     """An integer where the value is one, else six significant digits."""
     return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6g", v), r"(\.\d*?)0+$|\.$", "$1"))
 
 
+def by_formula(formula: Column, v: Column, baseline: Column, reference: Column) -> Column:
+    """Severity of ``v`` by the formula that a column names; an unknown one, or one whose reference doesn't
+    allow it, is an error."""
+    fails = lambda what: F.raise_error(F.concat(F.lit(what + ": "), formula)).cast("double")
+    above = F.when(reference.isNull() | (reference <= 0), fails("the reference must be positive"))
+    return (
+        F.when(formula == "binary", binary(v))
+        .when(formula == "count", count(v))
+        .when(formula == "log-count", log_count(v))
+        .when(formula == "linear-over-threshold", above.otherwise(F.when(v >= reference, v / reference).otherwise(_zero())))
+        .when(formula == "log-ratio", above.otherwise(F.when(v >= reference, 1 + F.log2(v / reference)).otherwise(_zero())))
+        .when(formula == "continuous-log", F.when(reference.isNull() | (reference <= baseline), fails("the reference must be above the baseline")).otherwise(F.log2(1 + F.greatest(_zero(), v - baseline) / (reference - baseline))))
+        .otherwise(fails("unknown formula"))
+    )
+
+
 FORMULAS = {"binary": binary, "count": count, "log-count": log_count, "linear-over-threshold": linear_over_threshold, "log-ratio": log_ratio, "continuous-log": continuous_log}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scoring import state_rank
+
 # Weights of obligation categories, and of the parts of the burden.
 CATEGORY_WEIGHTS = {"V": 1, "R": 2, "C": 2, "X": 2, "Y": 2, "U": 0}
 BURDEN_WEIGHTS = {"O": 8, "T": 4, "A": 2, "E": 1, "P": 8, "S": 8, "L": 16}
@@ -82,12 +84,23 @@ def publish(b8: Column, h: Column, role: Column, essential_unknown: Column, comp
     return F.struct(state.alias("state"), value.alias("value"))
 
 
-def per_file(boundaries: DataFrame) -> DataFrame:
-    """(path, state, value): the largest value of the boundaries of a file, from ``boundaries(boundary, files,
-    state, value)``; the worst state of those that apply counts, and without any it doesn't apply."""
-    rank = F.when(F.col("state") == "unavailable", 4).when(F.col("state") == "partial", 3).when(F.col("state") == "estimated", 2).when(F.col("state") == "measured", 1).otherwise(0)
-    rows = boundaries.select(F.explode("files").alias("path"), "state", "value", rank.alias("rank"))
-    return rows.groupBy("path").agg(F.max_by("state", "rank").alias("state"), F.max("value").alias("value"))
+def per_file(boundaries: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
+    """(path, state, value) of the files of ``boundaries(boundary, files, state, value)``.
+
+    The value is the largest of those boundaries that apply and have one; what is estimated counts, but makes
+    the file partial; the worst state counts.  A file whose boundaries are measured but without any value
+    is unavailable.  A file of ``declarations(path)`` holds nothing but a contract and is 0.
+    """
+    applies = ~F.col("state").isin("unavailable", "not_applicable")
+    state = F.when(F.col("state") == "estimated", "partial").otherwise(F.col("state"))
+    rows = boundaries.select(F.explode("files").alias("path"), state.alias("state"), F.when(applies, F.col("value")).alias("value"))
+    g = rows.groupBy("path").agg(F.max_by("state", state_rank(F.col("state"))).alias("state"), F.max("value").alias("value"))
+    state = F.when((F.col("state") == "measured") & F.col("value").isNull(), "unavailable").otherwise(F.col("state"))
+    out = g.select("path", state.alias("state"), "value")
+    if declarations is None:
+        return out
+    zero = declarations.select("path").distinct().select("path", F.lit("measured").alias("state"), F.lit(0).cast(out.schema["value"].dataType).alias("value"))
+    return out.join(zero.select("path"), "path", "left_anti").unionByName(zero)
 
 
 def inventory_fingerprint(files: Column, operations: Column, concepts: Column) -> Column:

@@ -1,7 +1,7 @@
 """Graphs of units: strongly connected components, Merkle fingerprints, affected units.
 
 Rounds of joins on ``units`` and ``edges(src, dst)`` (src depends on dst).  Each round's result is
-cut off from its plan, by a checkpoint where the session has a folder for them.
+cut off from its plan by a written table.
 """
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .incremental import closure
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    # eager: the plan must not grow with the rounds
-    return df.checkpoint() if df.sparkSession._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+#: Fixed value: the first line of what a component's fingerprint is taken of.
+FINGERPRINT = "dependency-component-v1"
 
 
 def _spread(nodes: DataFrame, edges: DataFrame, color: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _spread(nodes: DataFrame, edges: DataFrame, color: str) -> DataFrame:
     while True:
         came = edges.join(now, edges.src == now.id).groupBy("dst").agg(F.min("color").alias("c"))
         nxt = now.join(came, now.id == came.dst, "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), (F.col("c") < F.col("color")).alias("moved"))
-        nxt = _cut(nxt)
+        nxt = cut(nxt)
         now = nxt.select("id", "color")
         if nxt.where("moved").isEmpty():
             return now
@@ -33,12 +33,12 @@ def components(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of ``units(id)``: the component is the least id of the units that reach each
     other.  Units that nothing in question depends on, or that depend on nothing, are peeled off first;
     the rest is coloured forward, then each colour's own unit takes those that reach it back."""
-    left = _cut(units.select("id").distinct())
-    edges = _cut(edges.select("src", "dst").where("src <> dst").distinct().join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    left = cut(units.select("id").distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct().join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
     done = left.select("id", F.col("id").alias("component")).limit(0)
     while not left.isEmpty():
         inner = left.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        inner = _cut(inner)
+        inner = cut(inner)
         alone = left.join(inner, "id", "left_anti")
         if alone.isEmpty():
             color = _spread(inner.withColumn("c", F.col("id")), edges, "c")
@@ -46,13 +46,13 @@ def components(units: DataFrame, edges: DataFrame) -> DataFrame:
             same = edges.join(by("src"), "src").join(by("dst"), "dst").where("src_color = dst_color")
             back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
             roots = color.select("id", "color", F.when(F.col("id") == F.col("color"), 0).otherwise(1).alias("c"))
-            found = _spread(roots, _cut(back), "c").where("color = 0").select("id").join(color, "id").select("id", F.col("color").alias("component"))
+            found = _spread(roots, cut(back), "c").where("color = 0").select("id").join(color, "id").select("id", F.col("color").alias("component"))
         else:
             found = alone.select("id", F.col("id").alias("component"))
-        found = _cut(found)
+        found = cut(found)
         done = done.union(found)
-        left = _cut(left.join(found, "id", "left_anti"))
-        edges = _cut(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        left = cut(left.join(found, "id", "left_anti"))
+        edges = cut(edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
     return done
 
 
@@ -60,20 +60,20 @@ def fingerprints(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, fingerprint) of ``units(id, key)``: SHA-256 over the keys of the component's units
     and the fingerprints of the components it depends on, so that a change reaches all that depend on it.
     Each round does the components whose dependencies are done."""
-    of = _cut(components(units, edges))
+    of = cut(components(units, edges))
     own = units.join(of, "id").groupBy("component").agg(F.array_sort(F.collect_list(F.concat_ws("=", F.concat(F.lit("unit:"), F.col("id").cast("string")), "key"))).alias("own"))
     end = lambda e: of.select(F.col("id").alias(e), F.col("component").alias(f"{e}_c"))
-    deps = _cut(edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("component"), F.col("dst_c").alias("dep")).distinct())
-    todo = _cut(own)
+    deps = cut(edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("component"), F.col("dst_c").alias("dep")).distinct())
+    todo = cut(own)
     done = todo.select("component", F.lit("").alias("fingerprint")).limit(0)
     while not todo.isEmpty():
         have = deps.join(done.select(F.col("component").alias("dep"), "fingerprint"), "dep", "left")
         parts = have.groupBy("component").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("fingerprint").isNotNull(), F.concat_ws("=", F.concat(F.lit("dependency:"), F.col("dep").cast("string")), "fingerprint")))).alias("deps"))
         j = todo.join(parts, "component", "left").where("n IS NULL OR n = size(deps)")
-        text = F.concat_ws("\n", F.lit("dependency-component-v1"), F.array_join("own", "\n"), F.array_join(F.coalesce("deps", F.array().cast("array<string>")), "\n"))
-        found = _cut(j.select("component", F.sha2(text.cast("binary"), 256).alias("fingerprint")))
-        done = _cut(done.union(found))
-        todo = _cut(todo.join(found, "component", "left_anti"))
+        text = F.concat_ws("\n", F.lit(FINGERPRINT), F.array_join("own", "\n"), F.array_join(F.coalesce("deps", F.array().cast("array<string>")), "\n"))
+        found = cut(j.select("component", F.sha2(text.cast("binary"), 256).alias("fingerprint")))
+        done = cut(done.union(found))
+        todo = cut(todo.join(found, "component", "left_anti"))
     return of.join(done, "component").select("id", "component", "fingerprint")
 
 

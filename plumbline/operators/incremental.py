@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def replace_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` without the keys of ``new``, then ``new``."""
@@ -22,21 +22,28 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def closure(spark: SparkSession, edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) reachable from ``start(node)`` over ``edges(src, dst)``, by rounds of a semi-join
-    on the new nodes until none is new, however many that takes."""
-    edges = edges.select("src", "dst").distinct()
-    seen = start.select("node").distinct()
-    fresh = seen
-    cut = lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-    for nth in count(1):
+    on the new nodes until none is new, however many that takes.  Each round is a written table."""
+    edges = cut(edges.select("src", "dst").distinct())
+    made: list[str] = []
+    fresh = cut(start.select("node").distinct(), made)
+    read = lambda: spark.read.schema(fresh.schema).parquet(*made)
+    while True:
         step = edges.join(fresh, edges.src == fresh.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = step.join(seen, "node", "left_anti")
-        # eager: the plan must not grow with the rounds
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            return seen
-        seen = seen.union(fresh)
-        if nth % 16 == 0:
-            seen = cut(seen.repartition("node"))
+        now = cut(step.join(read(), "node", "left_anti"), made)
+        if now.isEmpty():
+            return read()
+        fresh = now
+        if len(made) >= 32:
+            old, made = made, []
+            cut(spark.read.schema(fresh.schema).parquet(*old), made)
+
+
+def bucketed_fingerprint(parts: DataFrame, by: str, part: str) -> DataFrame:
+    """(by, fingerprint): SHA-256 over all hex digests ``part`` of each value of ``by``, in order.  Digests
+    are first hashed by their first two digits, so that no list has more than a 256th of a group, as
+    digests go, and then the hashes of these parts."""
+    first = parts.groupBy(by, F.substring(part, 1, 2).alias("_two")).agg(fingerprint(F.collect_list(part)).alias("_fp"))
+    return first.groupBy(by).agg(fingerprint(F.collect_list(F.concat("_two", "_fp"))).alias("fingerprint"))
 
 
 def fingerprint(parts: Column) -> Column:
@@ -50,12 +57,39 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def _dyadic(lo: Column, hi: Column, levels: int) -> Column:
+    """The least set of blocks (level k, number b: the integers from b * 2**k on, 2**k of them) that together
+    are the integers from ``lo`` to ``hi``: at most two a level."""
+
+    def at(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        left, right = F.ceil(lo / size).cast("long"), F.floor((hi + 1) / size).cast("long")
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        first = F.when(odd(left) & (left < right), F.struct(k.alias("k"), left.alias("b")))
+        last = F.when(odd(right) & (left + odd(left).cast("long") < right), F.struct(k.alias("k"), (right - 1).alias("b")))
+        return F.array_compact(F.array(first, last))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
 def innermost(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
-    """The innermost range of ``ranges`` that holds each point: an equi-join on ``key`` with the
-    containment as its condition, then the range that starts last and ends first."""
-    j = points.join(ranges, key).where((F.col(lo) <= F.col(point)) & (F.col(point) <= F.col(hi)))
-    w = Window.partitionBy(*[F.col(c) for c in points.columns]).orderBy(F.desc(lo), F.asc(hi))
-    return j.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    """The innermost range of ``ranges`` that holds each point (integers): the one that starts last and
+    ends first.
+
+    A range is cut into blocks whose sizes are powers of two, and a point is in one block of each size,
+    so the join on key and block meets just the ranges that hold a point; a key with many of both is
+    spread over its blocks, and no others are paired.
+    """
+    widest = ranges.agg(F.max(F.col(hi) - F.col(lo) + 1)).first()[0] or 1
+    levels = max(1, int(widest).bit_length())
+    inside = ranges.where(F.col(lo) <= F.col(hi))
+    blocks = inside.select(*inside.columns, F.explode(_dyadic(F.col(lo), F.col(hi), levels)).alias("_block"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("k"), F.floor(F.col(point) / F.call_function("shiftleft", F.lit(1).cast("long"), k)).cast("long").alias("b")))
+    spread = points.select(*points.columns, F.explode(at).alias("_block"))
+    rest = [c for c in ranges.columns if c != key]
+    best = F.min(F.struct((-F.col(lo)).alias("_l"), F.col(hi).alias("_h"), *rest))
+    found = spread.join(blocks, [key, "_block"]).groupBy(*points.columns).agg(best.alias("_r"))
+    return found.select(*points.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def resolve(calls: DataFrame, targets: DataFrame, scopes: list[list[str]], id: str, to: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 
 def cyclomatic(nodes: DataFrame) -> DataFrame:
-    """(path, fn, cyclomatic): one, and one for each branch, case, jump and boolean operator."""
+    """(path, fn, cyclomatic): one, and one for each branch, case and jump, and for each boolean operator
+    but those of a jump."""
     ops = F.coalesce("operators", F.lit(0))
-    points = F.when(F.col("kind").isin("if", "loop"), 1 + ops).when((F.col("kind") == "case") & F.coalesce("is_default", F.lit(False)), ops).when(F.col("kind").isin("case", "break", "continue", "goto", "panic"), 1 + ops).otherwise(ops)
+    points = F.when(F.col("kind").isin("if", "loop"), 1 + ops).when((F.col("kind") == "case") & F.coalesce("is_default", F.lit(False)), ops).when(F.col("kind") == "case", 1 + ops).when(F.col("kind").isin("break", "continue", "goto", "panic"), 1).otherwise(ops)
     return nodes.groupBy("path", "fn").agg((1 + F.sum(points)).cast("long").alias("cyclomatic"))
 
 

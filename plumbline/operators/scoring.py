@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from ..scratch import cut
 
 
 def grouped_max(signals: DataFrame, file: str = "path", group: str = "grp") -> DataFrame:
@@ -62,7 +62,7 @@ def places(df: DataFrame, *order: Column) -> DataFrame:
     """Every row with its ``place`` from 1 on in ``order``: sorted by ranges, numbered in each, and
     moved by the rows of the ranges before; no window over all rows."""
     n = F.monotonically_increasing_id()
-    rows = _cut(df.orderBy(*order).withColumn("_n", n)).withColumn("_part", F.shiftright("_n", 33))
+    rows = cut(df.orderBy(*order).withColumn("_n", n)).withColumn("_part", F.shiftright("_n", 33))
     before, total = [], 0
     for part, size in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):
         before.append((part, total))
@@ -91,7 +91,53 @@ def state_rank(state: Column) -> Column:
 
 
 def merge_boundaries(rows: DataFrame) -> DataFrame:
-    """(boundary, state, score) of ``rows(boundary, score)``: differing measured scores withhold it."""
-    g = rows.groupBy("boundary").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    same = F.col("lo").eqNullSafe(F.col("hi"))
-    return g.select("boundary", F.when(same, "measured").otherwise("unavailable").alias("state"), F.when(same, F.col("lo")).alias("score"))
+    """(boundary, state, score) of ``rows(boundary, state, score, fingerprint)``.
+
+    The worst state counts.  Measured scores that differ, or inventories with different fingerprints,
+    withhold the score and make the boundary unavailable; a boundary that is unavailable or not
+    applicable has none.
+    """
+    measured = F.when(F.col("state") == "measured", F.col("score"))
+    known = F.when(F.coalesce("fingerprint", F.lit("")) != "", F.col("fingerprint"))
+    g = rows.groupBy("boundary").agg(
+        F.max_by("state", state_rank(F.col("state"))).alias("worst"), F.min(measured).alias("lo"), F.max(measured).alias("hi"),
+        F.min(known).alias("first"), F.max(known).alias("last"), F.min("score").alias("some"),
+    )
+    conflict = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) | F.coalesce(F.col("first") != F.col("last"), F.lit(False))
+    state = F.when(conflict, "unavailable").otherwise(F.col("worst"))
+    return g.select("boundary", state.alias("state"), F.when(~state.isin("unavailable", "not_applicable"), F.coalesce("lo", "some")).alias("score"))
+
+
+def places_within(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Every row with its ``place`` in its ``group``, without gathering a group in one task."""
+    p = cut(places(df, F.col(group), *order))
+    first = p.groupBy(group).agg(F.min("place").alias("_first"))
+    return p.join(first, group).withColumn("place", F.col("place") - F.col("_first") + 1).select(*df.columns, "place")
+
+
+def view_places(df: DataFrame, value: str, path: str, pending: str | None = None, descending: bool = True) -> DataFrame:
+    """Every row with its ``place`` in a view: pending rows last, then rows without a value, in either
+    direction; ties by path in lower case, then as it is."""
+    c = F.col(value)
+    order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.lower(path), F.col(path)]
+    return places(df, *([F.col(pending).asc()] if pending else []), *order)
+
+
+def find_next(df: DataFrame, path: str, place: str, query: str, cursor: int, direction: int = 1) -> DataFrame:
+    """The next row behind ``cursor`` (a place) whose path holds ``query`` in any case of letters, in one of
+    two directions and from the other end on; none if nothing is found."""
+    total = df.agg(F.max(place)).first()[0] or 0
+    steps = F.pmod((F.col(place) - F.lit(cursor + direction)) * direction, F.lit(max(1, total)))
+    return df.where(F.lower(path).contains(query.lower())).withColumn("_steps", steps).orderBy("_steps").limit(1).drop("_steps")
+
+
+def new_marker(rank: Column, total: Column, age_seconds: Column, moved: Column, window: float = 600) -> Column:
+    """How a new file is marked: null once the window is over; ``unmoved``; by the share of ranks it has
+    reached since (``top10``, ``top50``); else ``rest``."""
+    within = lambda p: rank <= F.greatest(F.lit(1), F.floor((total * p + 99) / 100))
+    return F.when(age_seconds < window, F.when(~moved, "unmoved").when(within(10), "top10").when(within(50), "top50").otherwise("rest"))
+
+
+def fade(age_seconds: Column, window: float) -> Column:
+    """How strongly an edit is shown: 1 when it happened, 0 from the end of the window on."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age_seconds / window))

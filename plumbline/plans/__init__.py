@@ -1,3 +1,3 @@
 """Queries over the driver's tables."""
 
-from . import catalog, facts  # noqa: F401 - facts adds its queries to the catalog
+from . import catalog, facts, scores, upkeep  # noqa: F401 - the others add their queries to the catalog

@@ -63,8 +63,8 @@ def histogram_columns(spark, sf_dir):
     return sc.resample(bins, 8)
 
 
-_SHAPE = """a AS (SELECT l_suppkey AS k, count(DISTINCT l_partkey % 5) AS ops, count(*) FILTER (l_returnflag = 'R' AND l_linenumber > 6) AS interfaces, count(*) FILTER (l_linestatus = 'O') AS fields,
-count(DISTINCT l_partkey % 5) FILTER (l_discount > 0.04) AS results, count(DISTINCT l_partkey % 5) FILTER (l_discount > 0.09 AND l_tax > 0.06) AS mutations FROM lineitem WHERE l_quantity < 5 GROUP BY 1),
+_SHAPE = """a AS (SELECT l_suppkey AS k, count(DISTINCT l_partkey % 5) AS ops, count(*) FILTER (l_returnflag = 'R' AND l_linenumber > 6 AND l_quantity < 2) AS interfaces, count(*) FILTER (l_linestatus = 'O') AS fields,
+count(DISTINCT l_partkey % 5) FILTER (l_discount > 0.04 AND l_suppkey % 3 > 0) AS results, count(DISTINCT l_partkey % 5) FILTER (l_discount > 0.09 AND l_tax > 0.06) AS mutations FROM lineitem GROUP BY 1),
 r AS (SELECT *, CASE WHEN ops = 0 AND fields > 0 THEN 'data' WHEN ops = 0 THEN 'unknown' WHEN interfaces > 0 THEN 'protocol' WHEN results = 0 THEN 'command' WHEN results * 2 >= ops AND mutations <= greatest(1, ops // 3) THEN 'query' ELSE 'general' END AS role FROM a),
 d AS (SELECT *, 1 + (CASE role WHEN 'protocol' THEN 0.72::DOUBLE WHEN 'command' THEN 1.12 WHEN 'query' THEN 1.05 WHEN 'data' THEN 0.85 ELSE 1 END - 1) * CASE role WHEN 'data' THEN 1.0::DOUBLE WHEN 'protocol' THEN 1 WHEN 'command' THEN 0.9 WHEN 'query' THEN 0.85 WHEN 'general' THEN 0.6 ELSE 0 END * least(1.0::DOUBLE, (ops + interfaces) / 4) AS ref FROM r)"""
 
@@ -73,9 +73,9 @@ d AS (SELECT *, 1 + (CASE role WHEN 'protocol' THEN 0.72::DOUBLE WHEN 'command'
 def interface_roles(spark, sf_dir):
     op = F.col("l_partkey") % 5
     n = lambda c: F.sum(c.cast("long"))
-    a = _t(spark, sf_dir, "lineitem").where("l_quantity < 5").groupBy(F.col("l_suppkey").alias("module")).agg(
-        F.countDistinct(op).alias("ops"), n((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 6)).alias("interfaces"), n(F.col("l_linestatus") == "O").alias("fields"),
-        F.countDistinct(F.when(F.col("l_discount") > 0.04, op)).alias("results"), F.countDistinct(F.when((F.col("l_discount") > 0.09) & (F.col("l_tax") > 0.06), op)).alias("mutations"),
+    a = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("module")).agg(
+        F.countDistinct(op).alias("ops"), n((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 6) & (F.col("l_quantity") < 2)).alias("interfaces"), n(F.col("l_linestatus") == "O").alias("fields"),
+        F.countDistinct(F.when((F.col("l_discount") > 0.04) & (F.col("l_suppkey") % 3 > 0), op)).alias("results"), F.countDistinct(F.when((F.col("l_discount") > 0.09) & (F.col("l_tax") > 0.06), op)).alias("mutations"),
     )
     a = a.withColumn("role", shape.role(*[F.col(c) for c in ("ops", "interfaces", "fields", "results", "mutations")]))
     return a.select("module", "role", F.round(shape.depth_reference(F.col("role"), F.col("ops"), F.col("interfaces")), 9).alias("reference"))
@@ -98,13 +98,14 @@ def finding_penalties(spark, sf_dir):
     return shape.finding_penalty(found, _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_totalprice") / 1e6).alias("burden")))
 
 
-_UNITS = """e AS (SELECT DISTINCT user_id % 41 AS src, (event_id * 7 + user_id) % 41 AS dst FROM events WHERE event_id % 13 = 0 AND user_id % 41 < 20 AND event_id < 1200),
-n AS (SELECT unnest(range(41)) AS id), r AS (SELECT id AS a, id AS b FROM n UNION SELECT a, dst FROM r JOIN e ON b = src)"""
+_UNITS = """e AS (SELECT DISTINCT user_id AS src, user_id // 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id // 8 % 3)) AS dst FROM events),
+n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS a, id AS b FROM n UNION SELECT a, dst FROM r JOIN e ON b = src)"""
 
 
 def _units(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 13 = 0 AND user_id % 41 < 20 AND event_id < 1200")
-    return spark.range(41), e.select((F.col("user_id") % 41).alias("src"), ((F.col("event_id") * 7 + F.col("user_id")) % 41).alias("dst")).distinct()
+    """Each event is an edge of its user to one of the eight units of its module; of three modules one has no cycles."""
+    e = _t(spark, sf_dir, "events").selectExpr("user_id AS src", "user_id div 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id div 8 % 3)) AS dst").distinct()
+    return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
 
 
 @query(f"WITH RECURSIVE {_UNITS} SELECT x.a::BIGINT AS id, min(x.b)::BIGINT AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
@@ -112,32 +113,9 @@ def unit_components(spark, sf_dir):
     return graph.components(*_units(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_UNITS} SELECT DISTINCT a::BIGINT AS node FROM r WHERE b IN (1, 2, 25, 30)")
+@query(f"WITH RECURSIVE {_UNITS} SELECT DISTINCT a::BIGINT AS node FROM r WHERE b % 16 = 1 OR b % 64 = 2")
 def affected_units(spark, sf_dir):
-    _, edges = _units(spark, sf_dir)
-    changed = spark.createDataFrame([("p", "go")], "path string, language string")
-    uses = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3), ("p", 25)], "path string, unit long")
-    return graph.affected(spark, changed, uses, spark.createDataFrame([("go", 30), ("rust", 4)], "language string, unit long"), edges)
-
-
-_ALL_UNITS = """e AS (SELECT DISTINCT user_id AS src, user_id // 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id // 8 % 3)) AS dst FROM events),
-n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS a, id AS b FROM n UNION SELECT a, dst FROM r JOIN e ON b = src)"""
-
-
-def _all_units(spark, sf_dir):
-    """Each event is an edge of its user to one of the eight units of its module; of three modules one has no cycles."""
-    e = _t(spark, sf_dir, "events").selectExpr("user_id AS src", "user_id div 8 * 8 + least(7, event_id % (user_id % 8 + 1 + user_id div 8 % 3)) AS dst").distinct()
-    return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
-
-
-@query(f"WITH RECURSIVE {_ALL_UNITS} SELECT x.a::BIGINT AS id, min(x.b)::BIGINT AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
-def unit_components_all(spark, sf_dir):
-    return graph.components(*_all_units(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE {_ALL_UNITS} SELECT DISTINCT a::BIGINT AS node FROM r WHERE b % 16 = 1 OR b % 64 = 2")
-def affected_units_all(spark, sf_dir):
-    units, edges = _all_units(spark, sf_dir)
+    units, edges = _units(spark, sf_dir)
     changed = spark.createDataFrame([("1", "2")], "path string, language string")
     by = lambda n, name: units.select((F.col("id") % n).cast("string").alias(name), F.col("id").alias("unit"))
     return graph.affected(spark, changed, by(16, "path"), by(64, "language"), edges)
@@ -151,32 +129,11 @@ def changed_stamps(spark, sf_dir):
     return graph.changed_files(o.where("path % 5 <> 0"), o.where("path % 3 <> 0").withColumn("size", F.expr("IF(path % 7 = 0, size + 1, size)")))
 
 
-@query("""WITH p AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, list_sort(list(DISTINCT l_linenumber)) AS have FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda x: NOT list_contains(have, x))), ',') AS missing FROM p WHERE n < 7""")
-def missing_cases(spark, sf_dir):
-    """Cases of a union of seven that a switch lacks."""
-    have = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("have"))
-    gone = F.array_sort(F.array_except(F.array(*[F.lit(i).cast("long") for i in range(1, 8)]), F.col("have").cast("array<bigint>")))
-    return have.select("l_orderkey", gone.alias("gone")).where(F.size("gone") > 0).select("l_orderkey", F.array_join(F.col("gone").cast("array<string>"), ",").alias("missing"))
-
-
-@query("""WITH f AS (SELECT l_partkey % 50 AS name, l_suppkey % 4 AS owner, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL),
-w AS (SELECT l_partkey % 50 AS name, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, CASE WHEN f.name IS NOT NULL THEN CASE WHEN f.n = 1 THEN f.id END WHEN w.n = 1 THEN w.id END::BIGINT AS callee
-FROM lineitem LEFT JOIN f ON f.name = l_partkey % 50 AND f.owner = l_suppkey % 4 LEFT JOIN w ON w.name = l_partkey % 50""")
-def call_targets(spark, sf_dir):
-    """Callees by owner and name, else by name; only where there is exactly one candidate."""
-    li = _t(spark, sf_dir, "lineitem")
-    name, owner = (F.col("l_partkey") % 50).alias("name"), (F.col("l_suppkey") % 4).alias("owner")
-    ops = li.where("l_orderkey % 40 = 0").select(name, owner, F.col("l_linenumber").cast("long").alias("id"))
-    return inc.resolve(li.select("l_orderkey", "l_linenumber", name, owner), ops, [["name", "owner"], ["name"]], "id", "callee").select("l_orderkey", "l_linenumber", "callee")
-
-
 @query("""WITH f AS (SELECT l_partkey AS name, l_suppkey AS owner, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL),
 w AS (SELECT l_partkey AS name, min(l_linenumber) AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CASE WHEN f.name IS NOT NULL THEN CASE WHEN f.n = 1 THEN f.id END WHEN w.n = 1 THEN w.id END::BIGINT AS callee
 FROM lineitem LEFT JOIN f ON f.name = l_partkey AND f.owner = l_suppkey + l_linenumber % 2 LEFT JOIN w ON w.name = l_partkey""")
-def call_targets_all(spark, sf_dir):
+def call_targets(spark, sf_dir):
     """Callees among all lines; every other line calls the next owner's."""
     li = _t(spark, sf_dir, "lineitem")
     name, owner = F.col("l_partkey").alias("name"), F.col("l_suppkey")
@@ -186,19 +143,22 @@ def call_targets_all(spark, sf_dir):
 
 
 @query("""SELECT l_suppkey AS boundary, max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS r, CASE max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'measured' END AS state
-FROM lineitem WHERE l_quantity > 48 GROUP BY 1""")
+FROM lineitem GROUP BY 1""")
 def state_merge(spark, sf_dir):
     state = F.when(F.col("l_returnflag") == "R", "unavailable").when(F.col("l_returnflag") == "A", "partial").otherwise("measured")
-    s = _t(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("boundary"), state.alias("state"))
+    s = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("boundary"), state.alias("state"))
     return s.groupBy("boundary").agg(F.max(sc.state_rank(F.col("state"))).alias("r"), F.max_by("state", sc.state_rank(F.col("state"))).alias("state"))
 
 
-@query("""WITH b AS (SELECT l_partkey AS boundary, count(DISTINCT l_linestatus) AS scores, min(l_linestatus) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
-SELECT boundary, CASE WHEN scores > 1 THEN 'unavailable' ELSE 'measured' END AS state, CASE WHEN scores = 1 THEN s END AS score FROM b""")
+@query("""WITH r AS (SELECT l_partkey AS boundary, CASE WHEN l_quantity < 2 THEN 'unavailable' WHEN l_discount > 0.09 THEN 'partial' ELSE 'measured' END AS state, CASE WHEN l_linenumber < 7 THEN l_partkey % 9 ELSE l_linenumber END AS score, CASE WHEN l_tax > 0.07 AND l_linenumber = 1 THEN l_suppkey::VARCHAR ELSE '' END AS fp FROM lineitem),
+b AS (SELECT boundary, max(CASE state WHEN 'unavailable' THEN 3 WHEN 'partial' THEN 2 ELSE 1 END) AS worst, count(DISTINCT score) FILTER (state = 'measured') AS scores, min(score) FILTER (state = 'measured') AS s, min(score) AS any_, count(DISTINCT fp) FILTER (fp <> '') AS fps FROM r GROUP BY 1)
+SELECT boundary, CASE WHEN scores > 1 OR fps > 1 OR worst = 3 THEN 'unavailable' WHEN worst = 2 THEN 'partial' ELSE 'measured' END AS state, CASE WHEN scores > 1 OR fps > 1 OR worst = 3 THEN NULL ELSE coalesce(s, any_) END::BIGINT AS score FROM b""")
 def boundary_conflicts(spark, sf_dir):
-    """One row a boundary; measured scores that differ withhold it."""
-    rows = _t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("boundary"), F.col("l_linestatus").alias("score"))
-    return sc.merge_boundaries(rows)
+    """One row a boundary; measured scores or inventories that differ withhold it."""
+    state = F.when(F.col("l_quantity") < 2, "unavailable").when(F.col("l_discount") > 0.09, "partial").otherwise("measured")
+    score = F.when(F.col("l_linenumber") < 7, F.col("l_partkey") % 9).otherwise(F.col("l_linenumber")).cast("long")
+    fp = F.when((F.col("l_tax") > 0.07) & (F.col("l_linenumber") == 1), F.col("l_suppkey").cast("string")).otherwise("")
+    return sc.merge_boundaries(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("boundary"), state.alias("state"), score.alias("score"), fp.alias("fingerprint")))
 
 
 @query("""WITH r AS (SELECT o_custkey AS path, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY ALL), k AS (SELECT o_custkey AS path, o_orderpriority AS routine, count(*) AS n FROM orders GROUP BY ALL)
@@ -223,19 +183,9 @@ def subject_keys(spark, sf_dir):
     return e.select("event_id", F.concat(part(F.col("u")), part(F.col("event_type"))).alias("identity"), subject.alias("subject"))
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END::INTEGER AS attention, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END DESC, o_orderkey)::INTEGER AS place
-FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0) AND contains(lower(o_orderpriority), 'h') QUALIFY place <= 100""")
-def job_view(spark, sf_dir):
-    """Jobs that aren't discarded or finished and match a text, in reverse order of attention; ties stay in order of id."""
-    o = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0)").where(F.lower("o_orderpriority").contains("h"))
-    a = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    j = o.select(F.col("o_orderkey").alias("id"), a.alias("attention")).orderBy(F.desc("attention"), "id").limit(100)
-    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc("attention"), "id")))
-
-
 @query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END::INTEGER AS attention, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END DESC, o_orderkey) AS place
 FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0) AND contains(lower(o_orderpriority), 'h')""")
-def job_view_all(spark, sf_dir):
+def job_view(spark, sf_dir):
     """Every such job with its place."""
     o = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0)").where(F.lower("o_orderpriority").contains("h"))
     a = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
@@ -262,31 +212,22 @@ def dashboard_metrics(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.bool_or(live).alias("available"), F.greatest(F.lit(0.0), F.max(F.when(live, F.col("o_totalprice") - 100000))).alias("most"), F.round(F.coalesce(F.sum(F.when(live, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("total"))
 
 
-@query("""WITH e AS (SELECT user_id % 500 AS k, event_id % 60 AS lo, event_id % 60 + 1 + user_id % 7 AS hi FROM events WHERE event_id % 11 = 0),
-d AS (SELECT k FROM e GROUP BY k, lo, hi HAVING count(*) > 1), x AS (SELECT a.k FROM e a JOIN e b ON a.k = b.k AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi)
-SELECT DISTINCT k::BIGINT AS k FROM (SELECT k FROM d UNION ALL SELECT k FROM x)""")
-def crossing_ranges(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 11 = 0")
-    lo = F.col("event_id") % 60
-    return inc.unusable_ranges(e.select((F.col("user_id") % 500).alias("k"), lo.alias("lo"), (lo + 1 + F.col("user_id") % 7).alias("hi")), "k", "lo", "hi")
-
-
 @query("""WITH e AS (SELECT event_id // 4 AS k, user_id % 60 AS lo, user_id % 60 + 1 + event_id * 13 % 29 AS hi FROM events),
 d AS (SELECT k FROM e GROUP BY k, lo, hi HAVING count(*) > 1), x AS (SELECT a.k FROM e a JOIN e b ON a.k = b.k AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi)
 SELECT DISTINCT k::BIGINT AS k FROM (SELECT k FROM d UNION ALL SELECT k FROM x)""")
-def crossing_ranges_all(spark, sf_dir):
+def crossing_ranges(spark, sf_dir):
     """Each event is a range; four make a key."""
     e = _t(spark, sf_dir, "events").selectExpr("event_id div 4 AS k", "user_id % 60 AS lo", "user_id % 60 + 1 + event_id * 13 % 29 AS hi")
     return inc.unusable_ranges(e, "k", "lo", "hi")
 
 
-@query("""WITH b AS (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS o, max(l_linenumber) AS e, count(DISTINCT l_linestatus) AS h, min(l_quantity) AS q FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
+@query("""WITH b AS (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS o, max(l_linenumber) AS e, count(DISTINCT l_linestatus) AS h, min(l_quantity) AS q FROM lineitem GROUP BY 1),
 s AS (SELECT *, 8 * o + e AS b8 FROM b), t AS (SELECT *, least(100, (200 * b8 + b8 + 16 * h) // (2 * (b8 + 16 * h))) AS v FROM s)
 SELECT k AS boundary, CASE WHEN k % 7 = 0 THEN 'measured' WHEN k % 7 = 1 THEN 'not_applicable' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'estimated' WHEN k % 3 = 0 THEN 'unavailable' ELSE 'measured' END AS state,
 CASE WHEN k % 7 = 0 THEN 0 WHEN k % 7 = 1 THEN NULL WHEN k % 3 = 0 AND k % 2 = 0 THEN 50 WHEN k % 3 = 0 THEN NULL ELSE v END::BIGINT AS value FROM t""")
 def depth_states(spark, sf_dir):
     k = F.col("boundary")
-    b = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_suppkey").alias("boundary")).agg(F.countDistinct("l_returnflag").alias("o"), F.max("l_linenumber").alias("e"), F.countDistinct("l_linestatus").alias("h"))
+    b = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("boundary")).agg(F.countDistinct("l_returnflag").alias("o"), F.max("l_linenumber").alias("e"), F.countDistinct("l_linestatus").alias("h"))
     zero = F.lit(0)
     parts = F.struct(F.col("o").alias("O"), zero.alias("T"), zero.alias("A"), F.col("e").alias("E"), zero.alias("P"), zero.alias("S"), zero.alias("L"))
     role = F.when(k % 7 == 0, "passive_data").when(k % 7 == 1, "supporting_contract").otherwise("module")

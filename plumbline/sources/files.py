@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ IGNORED_DIRECTORIES = (
     ".git", ".gradle", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache",
     "build", "coverage", "dist", "node_modules", "out", "target", "vendor",
 )
+TEST_DIRECTORIES = (
+    "__tests__", "integration-test", "integration-tests", "integrationtest", "integrationtests",
+    "spec", "specs", "test", "test-fixtures", "testfixtures", "tests",
+)
 
 
 def _normal(path: Column) -> Column:
@@ -31,28 +37,69 @@ def is_declaration(path: Column) -> Column:
     return _normal(path).rlike(r"\.d\.(ts|mts|cts)$")
 
 
-def is_ignored(path: Column) -> Column:
-    """Whether a directory of the path is ignored, or it is a Java resource."""
+def is_ignored(path: Column, tests: bool = False) -> Column:
+    """Whether a directory of the path is ignored or, unless ``tests``, one of tests, or it is a Java
+    resource."""
     parts = F.split(_normal(path), "/")
     directories = F.slice(parts, F.lit(1), F.size(parts) - 1)
     resource = _normal(path).endswith(".java") & _normal(path).rlike(r"(^|/)src/[^/]+/resources/")
-    return F.arrays_overlap(directories, F.array(*[F.lit(x) for x in IGNORED_DIRECTORIES])) | resource
+    names = IGNORED_DIRECTORIES if tests else IGNORED_DIRECTORIES + TEST_DIRECTORIES
+    return F.arrays_overlap(directories, F.array(*[F.lit(x) for x in names])) | resource
 
 
 def source_files(files: DataFrame, tests: bool = False) -> DataFrame:
     """``files(path, ...)`` that are sources, with their ``language``."""
-    out = files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~is_ignored(F.col("path")) & ~is_declaration(F.col("path")))
+    out = files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~is_ignored(F.col("path"), tests) & ~is_declaration(F.col("path")))
     return out if tests else out.where(~is_test(F.col("path")))
 
 
-def scan(spark: SparkSession, root: str, tests: bool = False) -> DataFrame:
-    """(path, content, language) of the sources under ``root``; paths are relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def targets(root: str, wanted: list[str]) -> list[str]:
+    """Paths of ``wanted`` (files or directories, absolute or from ``root``), each once; one that lies
+    outside of ``root`` is an error."""
+    base, out = posixpath.normpath(root), []
+    for target in wanted:
+        path = posixpath.normpath(posixpath.join(base, target))
+        if path != base and not path.startswith(base.rstrip("/") + "/"):
+            raise ValueError(f"target {target!r} is outside of {root!r}")
+        out.append(path)
+    return list(dict.fromkeys(out))
+
+
+def scan(spark: SparkSession, root: str, tests: bool = False, wanted: list[str] | None = None) -> DataFrame:
+    """(path, content, language) of the sources under ``root``, or of the ``wanted`` targets there; paths
+    are relative to it.  A file that several targets hold comes once.  Links are followed as the
+    file system does; a directory that holds itself by a link is an error there."""
+    places = targets(root, wanted) if wanted else [root]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).dropDuplicates(["path"] if len(places) > 1 else None)
     base = F.lit(root.split(":", 1)[-1].rstrip("/") + "/")
     return source_files(files.select(F.substring_index(F.col("path"), base, -1).alias("path"), "content"), tests)
 
 
+def require_languages(files: DataFrame, requested: list[str]) -> DataFrame:
+    """``files`` of the ``requested`` languages, of all without any; a requested language without a file is
+    an error."""
+    if not requested:
+        return files
+    missing = missing_languages(files, requested)
+    if missing:
+        raise ValueError(f"no files of {', '.join(missing)}")
+    return files.where(F.col("language").isin(requested))
+
+
 def missing_languages(files: DataFrame, requested: list[str]) -> list[str]:
     """Requested languages of which there is no file."""
     found = {r[0] for r in files.select("language").distinct().collect()}
     return sorted(set(requested) - found)
+
+
+def by_language(files: DataFrame) -> DataFrame:
+    """(language, files): how many distinct paths of each language there are."""
+    return files.groupBy("language").agg(F.countDistinct("path").alias("files"))
+
+
+def check_inventory(returned: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(path, problem): paths that only one side has, and paths that were returned twice; none if all is well."""
+    r = returned.groupBy("path").agg(F.count("*").alias("n"))
+    j = r.join(discovered.select("path").distinct().withColumn("known", F.lit(True)), "path", "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unexpected").when(F.col("n") > 1, "repeated")
+    return j.select("path", problem.alias("problem")).where("problem IS NOT NULL")

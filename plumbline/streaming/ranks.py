@@ -58,6 +58,15 @@ def rank_history(snapshots: DataFrame, window: str = "10 minutes") -> DataFrame:
     return snapshots.select("path", "at", "rank", "score").groupBy("path").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def movements(snapshots: DataFrame, window: int = 7) -> DataFrame:
+    """(path, at, rank, score, movement, direction) of a *batch* ``snapshots(path, at, rank, score)`` with whole
+    numbers ``at``: the oldest rank within ``window`` before a point less its own, and whether the
+    score rose or fell."""
+    by = Window.partitionBy("path").orderBy("at")
+    moved = F.first("rank").over(by.rangeBetween(-window, 0)) - F.col("rank")
+    return snapshots.select("path", "at", "rank", "score", moved.alias("movement"), F.signum(F.col("score") - F.lag("score").over(by)).alias("direction"))
+
+
 def histogram_moves(old: DataFrame, new: DataFrame, bin: str = "bin") -> DataFrame:
     """(bin, files) to add to a histogram so that it goes from ``old(path, bin)`` to ``new(path, bin)``."""
     signed = new.select(bin, F.lit(1).alias("n")).unionByName(old.select(bin, F.lit(-1).alias("n")))

@@ -3,16 +3,16 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import depth, metrics
+from plumbline.operators import depth, metrics, scoring
 from plumbline.sources import files, protocol
 from plumbline.streaming import changes
 
 
 def test_source_files(spark):
-    paths = ["a/b.go", "a/b_test.go", "A/Vendor/x.go", "src/main/resources/T.java", "src/main/T.java", "x/y.d.ts", "x/y.spec.tsx", "z.MTS", "n.py", "dist"]
+    paths = ["a/b.go", "a/b_test.go", "A/Vendor/x.go", "src/main/resources/T.java", "src/main/T.java", "x/y.d.ts", "x/y.spec.tsx", "z.MTS", "n.py", "dist", "tests/a.go", "src/__tests__/x.ts"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {(r.path, r.language) for r in files.source_files(df).collect()} == {("a/b.go", "go"), ("src/main/T.java", "java"), ("z.MTS", "typescript")}
-    assert {r.path for r in files.source_files(df, tests=True).collect()} >= {"a/b_test.go", "x/y.spec.tsx"}
+    assert {r.path for r in files.source_files(df, tests=True).collect()} >= {"a/b_test.go", "x/y.spec.tsx", "tests/a.go", "src/__tests__/x.ts"}
     assert files.missing_languages(files.source_files(df), ["go", "rust"]) == ["rust"]
 
 
@@ -44,8 +44,8 @@ def test_depth(spark):
 
 
 def test_metrics(spark):
-    nodes = spark.createDataFrame([("p", "f", 1, "if", 1, None, 1), ("p", "f", 2, "return", 0, None, 1), ("p", "f", 3, "return", 0, None, 0), ("p", "g", 1, "case", 0, True, 0), ("p", "g", 2, "case", 0, False, 0), ("p", "g", 3, "if", 0, None, 3)], "path string, fn string, node_id int, kind string, operators int, is_default boolean, if_depth int")
-    assert {r.fn: r.cyclomatic for r in metrics.cyclomatic(nodes).collect()} == {"f": 3, "g": 3}
+    nodes = spark.createDataFrame([("p", "f", 1, "if", 1, None, 1), ("p", "f", 2, "return", 0, None, 1), ("p", "f", 3, "return", 0, None, 0), ("p", "g", 1, "case", 0, True, 0), ("p", "g", 2, "case", 0, False, 0), ("p", "g", 3, "if", 0, None, 3), ("p", "h", 1, "panic", 1, None, 0), ("p", "h", 2, "case", 2, False, 0)], "path string, fn string, node_id int, kind string, operators int, is_default boolean, if_depth int")
+    assert {r.fn: r.cyclomatic for r in metrics.cyclomatic(nodes).collect()} == {"f": 3, "g": 3, "h": 5}
     assert [tuple(r) for r in metrics.deeply_nested(nodes).collect()] == [("p", "g", 3)]
     names = spark.createDataFrame([("Service", "Run"), ("Service", "Service"), (None, "main")], "r string, n string")
     assert [r[0] for r in names.select(metrics.routine_name(F.col("r"), F.col("n"))).collect()] == ["Service.Run", "Service.<init>", "main"]
@@ -71,8 +71,11 @@ def test_depth_faults_and_files(spark):
     rows = [("a", (1, 1, 1, 0, 0, 0, 0), ["f"], [["x"]], good), (" ", (1, 1, -1, 0, 0, 0, 0), ["f", "f"], [], {}), ("c", (0, 0, 0, 0, 0, 0, 0), ["f"], [["y"]], {"x": "Q"})]
     df = spark.createDataFrame(rows, "boundary string, b struct<O:long,T:long,A:long,E:long,P:long,S:long,L:long>, families array<string>, alternatives array<array<string>>, categories map<string,string>")
     assert {tuple(r) for r in depth.faults(df).collect()} == {(" ", "identity"), (" ", "negative_burden"), (" ", "repeated_family"), (" ", "no_alternative"), ("c", "unknown_obligation"), ("c", "unknown_category")}
-    b = spark.createDataFrame([("a", ["p", "q"], "measured", 40), ("b", ["p"], "partial", None), ("c", ["r"], "not_applicable", None)], "boundary string, files array<string>, state string, value long")
-    assert {r.path: (r.state, r.value) for r in depth.per_file(b).collect()} == {"p": ("partial", 40), "q": ("measured", 40), "r": ("not_applicable", None)}
+    b = spark.createDataFrame([("a", ["p", "q"], "measured", 40), ("b", ["p"], "partial", None), ("c", ["r"], "not_applicable", 9), ("d", ["s", "p"], "unavailable", 90), ("e", ["t"], "estimated", 7), ("f", ["u"], "measured", None), ("g", ["v"], "measured", 5)], "boundary string, files array<string>, state string, value long")
+    contracts = spark.createDataFrame([("v",), ("w",)], "path string")
+    assert {r.path: (r.state, r.value) for r in depth.per_file(b, contracts).collect()} == {"p": ("unavailable", 40), "q": ("measured", 40), "r": ("not_applicable", None), "s": ("unavailable", None), "t": ("partial", 7), "u": ("unavailable", None), "v": ("measured", 0), "w": ("measured", 0)}
+    m = spark.createDataFrame([("a", "measured", 1, ""), ("a", "partial", 9, "x"), ("b", "measured", None, ""), ("c", "measured", 1, "x"), ("c", "measured", 1, "y"), ("d", "not_applicable", 3, None), ("e", "measured", 1, None), ("e", "measured", 2, None)], "boundary string, state string, score long, fingerprint string")
+    assert {r.boundary: (r.state, r.score) for r in scoring.merge_boundaries(m).collect()} == {"a": ("partial", 1), "b": ("measured", None), "c": ("unavailable", None), "d": ("not_applicable", None), "e": ("unavailable", None)}
     inv = spark.createDataFrame([(["b", "a", "a"], ["o"], []), (["a", "b"], ["o"], []), (["a"], ["o"], [])], "f array<string>, o array<string>, c array<string>")
     h = [r[0] for r in inv.select(depth.inventory_fingerprint(F.col("f"), F.col("o"), F.col("c"))).collect()]
     assert h[0] == h[1] != h[2]
