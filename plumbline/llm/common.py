@@ -121,6 +121,19 @@ def join_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", t
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(keyed.where(F.col(n) <= most), key))
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
+    """Within it a shuffle has a partition for each ``each`` of ``rows`` narrow rows, but never more than the
+    session's own number, which is put back behind it.  Only for what is run within."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(before), -(-rows // each)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -40,16 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         made = [path]
-        # large star
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = _with_least(both, 2 * now[0], made).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star
-        step = common.scratch_path(spark, "step")
-        e.write.parquet(step)
-        e = _with_least(spark.read.schema(schema).parquet(step), now[0], made).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        path = common.scratch_path(spark, "edges")
-        e.write.parquet(path)
-        for old in [*made, step]:
+        with common.sized_shuffles(spark, 2 * now[0]):
+            # large star
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            e = _with_least(both, 2 * now[0], made).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            made.append(common.scratch_path(spark, "step"))
+            e.write.parquet(made[-1])
+            # small star
+            e = _with_least(spark.read.schema(schema).parquet(made[-1]), now[0], made)
+            e = e.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
+            path = common.scratch_path(spark, "edges")
+            e.write.parquet(path)
+        for old in made:
             common.drop_path(spark, old)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -281,14 +281,16 @@ def linked_components(members: DataFrame, payload: DataFrame, compare, block: in
 
     # members of large keys that the links don't join with most of their key
     root = components(linked(one.unionByName(tied.select(*one.columns))))
-    inside = common.join_by_hot_key(members.select("key", "doc_id"), large.select("key", "n", "s"), "key")
-    inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", F.coalesce("root", "doc_id").alias("root"))
-    inside = common.materialize(inside, "inside")
-    most = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("joined"))
-    most = common.materialize(most.where("roots > 1").select("key", "n", "main", F.ceil((F.col("n") - F.col("joined")) / block).cast("int").alias("t")), "open")
-    if most.isEmpty():
-        return root
-    opened = common.materialize(common.join_by_hot_key(inside, most, "key").select("key", "doc_id", "root", "s", "main", "t", chunk.alias("c")), "opened")
+    total = large.agg(F.sum("n")).first()[0]
+    with common.sized_shuffles(members.sparkSession, total):
+        inside = common.join_by_hot_key(members.select("key", "doc_id"), large.select("key", "n", "s"), "key", total=total)
+        inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", F.coalesce("root", "doc_id").alias("root"))
+        inside = common.materialize(inside, "inside")
+        most = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("joined"))
+        most = common.materialize(most.where("roots > 1").select("key", "n", "main", F.ceil((F.col("n") - F.col("joined")) / block).cast("int").alias("t")), "open")
+        if most.isEmpty():
+            return root
+        opened = common.materialize(common.join_by_hot_key(inside, most, "key").select("key", "doc_id", "root", "s", "main", "t", chunk.alias("c")), "opened")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("t")).cast("int")
     left = opened.where("root <> main").select("key", "doc_id", "root", F.explode(F.sequence(zero, F.col("s") - 1)).alias("i"), part.alias("j"), zero.alias("side"))
     right = opened.select("key", "doc_id", "root", F.col("c").alias("i"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("j"), F.lit(1).alias("side"))
