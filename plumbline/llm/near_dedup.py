@@ -245,16 +245,17 @@ def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
 
-def linked_components(members: DataFrame, payload: DataFrame, compare, block: int, weight: int) -> DataFrame:
+def linked_components(members: DataFrame, payload: DataFrame, comparer, block: int, weight: int) -> DataFrame:
     """(node, root): the components of the links within each key of ``members(key, doc_id, w)``.
 
-    ``payload(doc_id, ...)`` has what ``compare(block, side, root)`` needs to find a spanning forest of the
-    links in a block of rows.  A key of m rows has as many blocks as keep each near ``block`` rows and
+    ``payload(doc_id, ...)`` has what a comparison needs: ``comparer()`` is called once a task and gives a function
+    ``(block, side, root)`` that finds a spanning forest of the links in a block of rows.  A key of m rows has as many blocks as keep each near ``block`` rows and
     a ``weight`` of the sum of ``w``.  No partner is dropped: two linked members are compared with
     each other unless links found before join them already.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compare = comparer()
         for g in _groups(batches, ["key", "i", "j"]):
             edges = compare(g, g["side"].to_numpy(), g["root"].to_numpy())
             if edges:
@@ -307,24 +308,24 @@ def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
     """(node, root) of the classes in groups that may hold links, from
     ``reps(doc_id, keys, sketch)``."""
 
-    def compare(g: pd.DataFrame, side: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
-        sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        return _sketch_forest(sketches, side, root, limit)
+    def comparer():
+        sketches = lambda g: np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        return lambda g, side, root: _sketch_forest(sketches(g), side, root, limit)
 
     members = reps.select(F.explode("keys").alias("key"), "doc_id", F.lit(1).alias("w"))
-    return linked_components(members, reps.select("doc_id", "sketch"), compare, block, 1 << 62)
+    return linked_components(members, reps.select("doc_id", "sketch"), comparer, block, 1 << 62)
 
 
 def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = SHINGLES) -> DataFrame:
     """(node, root): the components of the true links within each of ``groups(node, root, n_shingles)``."""
 
-    def compare(g: pd.DataFrame, side: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    def comparer():
         known = _WordHash()
-        return _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near)
+        return lambda g, side, root: _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near)
 
     members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("w"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return linked_components(members, texts, compare, block, weight)
+    return linked_components(members, texts, comparer, block, weight)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
