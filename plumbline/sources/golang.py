@@ -87,6 +87,7 @@ class Reader:
         self.fields: set[str] = set()
         self.foreign: set[tuple[str, str]] = set()
         self.types: set[str] = set()
+        self.named: list[str] = []
 
     # tokens
 
@@ -192,13 +193,14 @@ class Reader:
         if self.text == "[":
             self.parameters("[", "]")
         n, results = self.signature()
-        body, has = [], False
+        inputs, body, has, first = self.named, [], False, self.i
         if self.text == "{":
             body, has = self.block(), True
         stop = self.tokens[self.i - 1]
+        used = {t[1] for t, before in zip(self.tokens[first + 1 : self.i], self.tokens[first : self.i]) if t[0] == "id" and before[1] != "."}
         return {
             "name": name, "receiver": owner, "parameters": n, "results": results, "line": at[2], "column": at[3], "end_line": stop[2], "end_column": stop[3] + len(stop[1]),
-            "body": body if has else None, "fields": sorted(self.fields), "foreign_fields": sorted(".".join(x) for x in self.foreign), "refers": sorted(self.types - BUILTIN - {owner}),
+            "body": body if has else None, "unused": [x for x in inputs if has and x != "_" and x not in used], "fields": sorted(self.fields), "foreign_fields": sorted(".".join(x) for x in self.foreign), "refers": sorted(self.types - BUILTIN - {owner}),
         }
 
     def receiver_type(self) -> str:
@@ -215,33 +217,42 @@ class Reader:
         return owner
 
     def signature(self) -> tuple[int, int]:
-        n = self.parameters("(", ")")
+        n, names = self.parameters("(", ")"), self.named
         if self.text == "(":
-            return n, self.parameters("(", ")")
+            results = self.parameters("(", ")")
+            self.named = names
+            return n, results
         if self.kind == "id" or self.text in ("*", "[", "map", "chan", "func", "struct", "interface", "<-"):
             self.type()
+            self.named = names
             return n, 1
         return n, 0
 
     def parameters(self, opens: str, closes: str) -> int:
-        """How many parameters a list has: names where there are any, else types."""
+        """How many parameters a list has: names where there are any, else types.  The names are in ``named``."""
         self.take(opens)
         n = named = 0
+        firsts: list[str] = []
+        before = set(self.types)
         while self.text != closes:
             self.got("...")
             first = self.i
+            firsts.append(self.tokens[first][1])
             self.type()
             n += 1
             if self.text not in (",", closes):  # what looked like a type was a name
-                if self.i == first + 1:
-                    self.types.discard(self.tokens[first][1])
                 named = n
                 self.got("...")
+                meant = set(self.types)
                 self.type()
+                before |= self.types - meant
             if not self.got(","):
                 break
         self.take(closes)
-        return max(n, named)
+        self.named = firsts if named else []
+        if named:  # names were read as types
+            self.types -= set(firsts) - before
+        return n
 
     # types
 
@@ -605,7 +616,7 @@ def read(source: str) -> dict:
 
 
 _ROWS = """path string, what string, type string, name string, kind string, line int, column int, end_line int, end_column int, parameters int, results int, methods int,
-fields array<string>, foreign_fields array<string>, refers array<string>, body string, failure string"""
+unused array<string>, fields array<string>, foreign_fields array<string>, refers array<string>, body string, failure string"""
 _NAMES = [x.split()[0] for x in _ROWS.replace("\n", " ").split(", ")]
 
 
@@ -645,7 +656,7 @@ def facts(files: DataFrame) -> DataFrame:
 def routines(found: DataFrame) -> DataFrame:
     """(path, fn, receiver, name, body, ...) as the metrics of syntax trees read them."""
     fn = F.when(F.col("type") == "", F.col("name")).otherwise(F.concat_ws(".", "type", "name"))
-    return found.where("what = 'routine'").select("path", fn.alias("fn"), F.col("type").alias("receiver"), "name", "line", "column", "end_line", "end_column", "parameters", "results", "fields", "foreign_fields", "refers", "body")
+    return found.where("what = 'routine'").select("path", fn.alias("fn"), F.col("type").alias("receiver"), "name", "line", "column", "end_line", "end_column", "parameters", "results", "unused", "fields", "foreign_fields", "refers", "body")
 
 
 def types(found: DataFrame) -> DataFrame:
@@ -656,6 +667,13 @@ def failures(found: DataFrame) -> DataFrame:
     return found.where("what = 'failure'").select("path", "failure")
 
 
+def unused_inputs(routines_: DataFrame, adverse: float = 0.25) -> DataFrame:
+    """(path, kind, operation, parameter, adverse): the parameters of exported routines that their bodies never name, as findings
+    for ``shape.finding_penalty``."""
+    r = routines_.where(F.col("name").rlike("^[A-Z]"))
+    return r.select("path", F.lit("unused_input").alias("kind"), F.col("fn").alias("operation"), F.explode("unused").alias("parameter"), F.lit(adverse).alias("adverse"))
+
+
 def coverage(files: DataFrame, failed: DataFrame, components: list[str], by_package: list[str]) -> DataFrame:
     """(path, component, state) of ``files(path)``: ``failed`` for each component of an unreadable file; for the
     components ``by_package``, which need all files of a directory, ``unavailable`` where one of them failed; else

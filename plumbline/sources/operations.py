@@ -129,13 +129,47 @@ def _evidence(tokens: list[tuple], shape: str, first: int, last: int) -> list[st
     return sorted(found)
 
 
+def _chain(shape: str, tokens: list[tuple]) -> str:
+    """The shape with double colons as points: both lead from an owner to its name."""
+    return "".join("." if t[1] == "::" else c for c, t in zip(shape, tokens))
+
+
+def _calls(chain: str, first: int, last: int) -> list[tuple[int, int]]:
+    """(first, behind the last) of the tokens of each called name between two tokens."""
+    return [(first + c.start(), first + c.end()) for c in re.finditer(r"(?<![.F])(?:i\.)*i(?=\()", chain[first:last])]
+
+
+def call_spans(source: bytes, language: str, most_tokens: int | None = 20_000, most: int | None = 512) -> list[tuple[int, str, int, list[tuple[int, int]]]]:
+    """(ordinal of the operation, called name, its byte offset, (first, last) bytes of each argument) of the calls in the
+    operations of a source, in order.  A call whose bracket isn't closed has none."""
+    tokens = lex(source, most_tokens)[0]
+    shape = _shape(tokens)
+    pair, chain, out = _partners(shape), _chain(shape, tokens), []
+    byte = lambda i: (tokens[i][3], tokens[i][3] + len((tokens[i][2] or tokens[i][1]).encode("utf-8", "surrogateescape")))
+    for ordinal, _, _, _, _, begin, end, _, _ in find(source, language, most_tokens, most)[0]:
+        for first, behind in _calls(chain, begin + 1, end):
+            close = pair.get(behind)
+            if close is None:
+                continue
+            cuts, i = [behind], behind + 1
+            while i < close:
+                if shape[i] in _PAIRS:
+                    i = pair.get(i, i)
+                elif shape[i] == ",":
+                    cuts.append(i)
+                i += 1
+            spans = [(byte(a + 1)[0], byte(b - 1)[1]) for a, b in zip(cuts, [*cuts[1:], close]) if b > a + 1]
+            out.append((ordinal, "".join(t[1] for t in tokens[first:behind]), tokens[first][3], spans))
+    return out
+
+
 def find(source: bytes, language: str, most_tokens: int | None = 20_000, most: int | None = 512) -> tuple[list[tuple], bool, bool]:
     """(ordinal, name, owner, params, exposed, first, last, evidence, calls) of each operation, and
     whether the source is lexically valid and was cut at a bound (None: no bound)."""
     tokens, valid, limited = lex(source, most_tokens)
     shape = _shape(tokens)
     pair = _partners(shape)
-    types = _owners(shape, tokens, pair)
+    types, chain = _owners(shape, tokens, pair), _chain(shape, tokens)
     out, free = [], 0
     for start, name, at in _candidates(shape, language, pair):
         if start < free:
@@ -165,8 +199,7 @@ def find(source: bytes, language: str, most_tokens: int | None = 20_000, most: i
         else:
             exposed = "V" not in modifiers and ("P" in modifiers or (language == "typescript" and public))
         params = _arguments(shape, at + 1, close, pair) if close > at else int(shape[at] == "i")
-        calls = [c for c in re.finditer(r"(?<![.F])(?:i\.)*i(?=\()", shape[begin + 1 : end])]
-        names = sorted({"".join(t[1] for t in tokens[begin + 1 + c.start() : begin + 1 + c.end()]) for c in calls})
+        names = sorted({"".join(t[1] for t in tokens[first:last]) for first, last in _calls(chain, begin + 1, end)})
         out.append((len(out), tokens[name][1], owner, params, exposed, begin, end, _evidence(tokens, shape, begin + 1, end), names))
         free = end
     return out, valid, limited
@@ -184,3 +217,14 @@ def operations(files: DataFrame, most_tokens: int | None = 20_000, most: int | N
                 yield pd.DataFrame([(path, language, *o, valid, limited) for o in found], columns=names)
 
     return files.select(F.col("path").cast("string").alias("path"), "language", F.col("content").cast("binary").alias("content")).mapInPandas(run, SCHEMA)
+
+
+def calls(files: DataFrame, most_tokens: int | None = 20_000, most: int | None = 512) -> DataFrame:
+    """(path, caller, name, at, arguments) of the calls in the operations of ``files(path, language, content)``, with places in bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *c[:3], [{"first": x, "last": y} for x, y in c[3]]) for p, k, t in zip(b["path"], b["language"], b["content"]) for c in call_spans(t or b"", k or "", most_tokens, most)]
+            yield pd.DataFrame(rows, columns=["path", "caller", "name", "at", "arguments"])
+
+    return files.select(F.col("path").cast("string").alias("path"), "language", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, caller int, name string, at int, arguments array<struct<first: int, last: int>>")

@@ -76,3 +76,35 @@ def test_estimate(spark):
     # c: f0 to f3 lie within four calls
     assert got["c.go"] == (1.0, 8.0, 1.0)
     assert set(got) == {"a.go", "b.go", "c.go"}
+
+
+def test_calls_across_files(spark):
+    """Rust: the one operation of another file by owner and name; two candidates are none."""
+    rows = [
+        ("a.rs", "rust", b"pub fn top() { Store::put(1); Both::go(); near(); }\nfn near() { }"),
+        ("b.rs", "rust", b"impl Store { pub fn put(&self, n: i32) { x = n * 7; } }\nimpl Both { fn go(&self) { } }"),
+        ("c.rs", "rust", b"impl Both { fn go(&self) { } }"),
+        ("d.go", "go", b"func Top() { Store.put(1) }"),
+    ]
+    ops = operations.operations(spark.createDataFrame([(p, x, bytearray(c)) for p, x, c in rows], "path string, language string, content binary"))
+    name = {(r.path, r.ordinal): r.name for r in ops.collect()}
+    got = {(r.path, name[r.path, r.caller], r.callee_path, name[r.callee_path, r.callee]) for r in estimate.call_edges(ops).collect()}
+    assert got == {("a.rs", "top", "a.rs", "near"), ("a.rs", "top", "b.rs", "put")}
+    assert {r.path: r.hidden for r in estimate.estimate(ops).collect()}["a.rs"] == 2.0
+
+
+def test_a_root_has_so_many_calls(spark):
+    wide = b"func Top() { " + b"".join(b"f%02d(); " % i for i in range(70)) + b"}\n" + b"".join(b"func f%02d() { x := y * 2 }\n" % i for i in range(70))
+    ops = operations.operations(spark.createDataFrame([("w.go", "go", bytearray(wide))], "path string, language string, content binary"))
+    row = estimate.estimate(ops).first()
+    assert (row.burden, row.uncertain, row.hidden) == (1.0, 1.0, 128.0)
+    assert estimate.estimate(ops, most=100).first().hidden == 140.0
+
+
+def test_spans_of_arguments(spark):
+    text = b'func A(x int) { f("\xc3\xa4, b", g(x, []int{1, 2}), ) ; s.h() }\nfunc B() { A(1 }'
+    got = operations.call_spans(text, "go")
+    assert [(o, n, [text[a:b].decode() for a, b in spans]) for o, n, _, spans in got] == [(0, "f", ['"ä, b"', "g(x, []int{1, 2})"]), (0, "g", ["x", "[]int{1, 2}"]), (0, "s.h", [])]
+    assert all(text[at:].startswith(n.encode()) for _, n, at, _ in got)
+    df = spark.createDataFrame([("a.go", "go", bytearray(text)), ("b.go", "go", None)], "path string, language string, content binary")
+    assert [(r.name, len(r.arguments)) for r in operations.calls(df).collect()] == [("f", 2), ("g", 2), ("s.h", 0)]

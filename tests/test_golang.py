@@ -84,3 +84,10 @@ def test_failures_stay_alone(spark):
 def test_what_is_no_go(text):
     with pytest.raises(golang.Unreadable):
         golang.read(text)
+
+
+def test_unused_inputs(spark):
+    src = "package p\nfunc Run(a, b int, c func(d string) error, _ bool, e ...T) (f int) { x.a = b; g := func(b int) { _ = c }; g(1); return }\nfunc hidden(z int) {}\nfunc Types(int, string) {}\nfunc Extern(q int)\n"
+    found = golang.routines(golang.facts(spark.createDataFrame([("a.go", src)], "path string, content string")))
+    assert [(r.operation, r.parameter, r.adverse) for r in golang.unused_inputs(found).orderBy("parameter").collect()] == [("Run", "a", 0.25), ("Run", "e", 0.25)]
+    assert {r.fn: r.parameters for r in found.collect()} == {"Run": 5, "hidden": 1, "Types": 2, "Extern": 1}
