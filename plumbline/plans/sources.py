@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import syntax
 from ..scratch import cut
-from ..sources import golang
+from ..sources import curly, golang
 from .catalog import _t, query
 
 
@@ -29,6 +29,16 @@ def source_metrics(spark, sf_dir):
     return syntax.measure(golang.routines(golang.facts(_files(spark, sf_dir)))).select("path", "fn", "cyclomatic", "cognitive")
 
 
+@query("""SELECT l_orderkey || '.java' AS path, (1 + count(*) FILTER (l_returnflag = 'R') + 4 * count(*) FILTER (l_returnflag = 'A'))::BIGINT AS cyclomatic,
+(count(*) FILTER (l_returnflag = 'R') + 4 * count(*) FILTER (l_returnflag = 'A'))::BIGINT AS cognitive FROM lineitem GROUP BY l_orderkey""")
+def java_metrics(spark, sf_dir):
+    """The same statements as a Java method."""
+    one = F.when(F.col("l_returnflag") == "R", "if (a) { }").when(F.col("l_returnflag") == "A", "for (X i : b) { if (c && d) continue; }").otherwise("x.n++;")
+    text = F.concat(F.lit("class T { void f() { "), F.array_join(F.collect_list(one), "\n"), F.lit(" } }"))
+    g = _t(spark, sf_dir, "lineitem").groupBy(F.concat(F.col("l_orderkey").cast("string"), F.lit(".java")).alias("path")).agg(text.alias("content"))
+    return syntax.measure(curly.routines(g.withColumn("language", F.lit("java")))).select("path", "cyclomatic", "cognitive")
+
+
 @query(f"""WITH f AS (SELECT DISTINCT l_orderkey AS k, {_PATH} AS path FROM lineitem), b AS (SELECT DISTINCT k // 100 AS d FROM f WHERE k % 17 = 0)
 SELECT path, component, CASE WHEN k % 17 = 0 THEN 'failed' WHEN component = 'god_class' AND d IS NOT NULL THEN 'unavailable' ELSE 'complete' END AS state FROM f CROSS JOIN (VALUES ('cognitive_complexity'), ('god_class')) c(component) LEFT JOIN b ON d = k // 100""")
 def source_coverage(spark, sf_dir):
