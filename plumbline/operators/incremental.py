@@ -13,6 +13,11 @@ def replace_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def common_paths(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
+    """The paths that both sides have, each once."""
+    return left.select(path).join(right.select(path), path, "left_semi").distinct()
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, as an aggregate."""
     rest = [c for c in rows.columns if c not in keys]

@@ -34,3 +34,20 @@ def tcc(methods: DataFrame) -> DataFrame:
     n = methods.groupBy("type").agg(F.countDistinct("method").alias("n"))
     share = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("c", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2))
     return n.join(pairs.groupBy("type").agg(F.count("*").alias("c")), "type", "left").select("type", share.alias("tcc"))
+
+
+def wmc(types: DataFrame, methods: DataFrame) -> DataFrame:
+    """(type, wmc): the complexity of the methods of a type, ``methods(type, cyclomatic)``, and one for each method that
+    ``types(type, interface_methods)`` only declares."""
+    own = methods.groupBy("type").agg(F.sum("cyclomatic").alias("own"))
+    j = types.select("type", "interface_methods").join(own, "type", "left")
+    return j.select("type", (F.coalesce("interface_methods", F.lit(0)) + F.coalesce("own", F.lit(0))).cast("double").alias("wmc"))
+
+
+def coupling(uses: DataFrame, unavailable: DataFrame | None = None) -> DataFrame:
+    """(type, cbo): how many distinct types, by names that aren't empty, each type of ``uses(type, foreign)`` names; types in
+    ``unavailable(type)`` are left out."""
+    rows = uses.select("type", "foreign")
+    if unavailable is not None:
+        rows = rows.join(unavailable.select("type").distinct(), "type", "left_anti")
+    return rows.groupBy("type").agg(F.countDistinct(F.when(F.col("foreign").cast("string") != "", F.col("foreign"))).alias("cbo"))

@@ -67,6 +67,20 @@ def retry_units(stored: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return stored.join(diagnostics.where("transient").select("unit").distinct(), "unit", "left_anti")
 
 
+def overlay(plan: dict[str, DataFrame], changed: dict[str, DataFrame], removed: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a ``plan``, each by ``unit``, with those of ``changed`` in place of the units that it has and without the
+    units ``removed(unit)``.  Nothing changes until the result is committed: see :meth:`Generations.commit`."""
+    touched = removed.select("unit")
+    for df in changed.values():
+        touched = touched.unionByName(df.select("unit"))
+    touched = touched.distinct()
+    out = {}
+    for name, df in plan.items():
+        kept = df.join(touched, "unit", "left_anti")
+        out[name] = kept.unionByName(changed[name]) if name in changed else kept
+    return out
+
+
 def by_owner(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """``rows(path, ...)`` of a batch of units with the ``unit`` of ``owners(path, unit)``; paths of no unit go."""
     return rows.join(owners.select("path", "unit").distinct(), "path")

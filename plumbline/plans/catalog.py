@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..operators import depth, metrics, shape
+from ..operators import depth, metrics, shape, store
 from ..operators import incremental as inc
 from ..operators import scoring as sc
 from ..streaming import changes, ranks
@@ -90,14 +90,6 @@ def type_residual(spark, sf_dir):
     return sc.residual(types, charges).select("owner", F.round("residual", 6).alias("residual"))
 
 
-@query(f"""WITH {_SIGNALS} SELECT path, round(coalesce(sum(value) FILTER (axis = 'F'), 0), 6) AS axis_f, round(coalesce(sum(value) FILTER (axis = 'O'), 0), 6) AS axis_o, round(sum(value), 6) AS total FROM (SELECT path, grp, axis, max(value) AS value FROM sig WHERE value <> 0 GROUP BY ALL) GROUP BY path""")
-def axis_rollup(spark, sf_dir):
-    s = _signals(_t(spark, sf_dir, "lineitem"))
-    best = sc.grouped_max(s.withColumn("grp", F.struct("axis", "grp"))).withColumn("axis", F.col("grp.axis"))
-    of = lambda a: F.round(F.sum(F.when(F.col("axis") == a, F.col("contribution")).otherwise(0.0)), 6)
-    return best.groupBy("path").agg(of("F").alias("axis_f"), of("O").alias("axis_o"), F.round(F.sum("contribution"), 6).alias("total"))
-
-
 @query("""SELECT l_orderkey AS path, round(sum(CASE l_returnflag WHEN 'A' THEN l_quantity * 2 WHEN 'N' THEN 0 ELSE l_quantity END), 4)::DOUBLE AS score FROM lineitem GROUP BY l_orderkey""")
 def policy_reweight(spark, sf_dir):
     q = F.col("l_quantity")
@@ -113,13 +105,6 @@ def coverage_gate(spark, sf_dir):
     return d.select("doc_id", complete.alias("complete"), sc.gate(F.coalesce("n_chars", F.lit(0)) / 100, complete, 20).alias("passed"))
 
 
-@query("""SELECT count(*)::BIGINT AS files_analyzed, count(l.doc_id)::BIGINT AS complete_files, (count(*) - count(l.doc_id))::BIGINT AS failed_files, bool_and(l.doc_id IS NOT NULL) AS passed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
-def doc_summary(spark, sf_dir):
-    c = coverage_gate(spark, sf_dir)
-    n = F.sum(F.col("complete").cast("long"))
-    return c.agg(F.count("*").alias("files_analyzed"), n.alias("complete_files"), (F.count("*") - n).alias("failed_files"), F.every("complete").alias("passed"))
-
-
 @query("SELECT least(20, floor(greatest(0, o_totalprice / 4000) / 5))::INTEGER AS bin, count(*)::BIGINT AS files FROM orders GROUP BY 1")
 def histogram(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(sc.bucket(F.col("o_totalprice") / 4000).alias("bin")).agg(F.count("*").alias("files"))
@@ -145,23 +130,12 @@ def view_sort_missing_last(spark, sf_dir):
     return sc.places(m, F.col("metric").desc_nulls_last(), F.col("c_custkey"))
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog.')")
-def path_search(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", "url").where(F.lower("url").contains("blog."))
-
-
 @query("""SELECT regexp_extract(url, '\\.([a-z]+)(?:/|$)', 1) AS suffix, count(*)::BIGINT AS files, count(*) FILTER (url LIKE '%/en/%')::BIGINT AS english FROM pages WHERE NOT regexp_matches(url, '#top$') GROUP BY 1""")
 def language_map(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").where(~F.col("url").rlike("#top$"))
     return p.groupBy(F.regexp_extract("url", r"\.([a-z]+)(?:/|$)", 1).alias("suffix")).agg(F.count("*").alias("files"), F.sum(F.col("url").contains("/en/").cast("long")).alias("english"))
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS key, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
-def dedupe_precedence(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-    return d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-
-
 @query("""WITH r AS (SELECT user_id, event_id AS lo, lead(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events),
 p AS (SELECT user_id, event_id FROM events WHERE event_type = 'click'),
 j AS (SELECT p.*, lo, row_number() OVER (PARTITION BY p.user_id, event_id ORDER BY lo DESC, hi) AS nth FROM p JOIN r ON p.user_id = r.user_id AND lo <= event_id AND event_id <= hi)
@@ -172,15 +146,6 @@ def nested_routine_join(spark, sf_dir):
     return inc.innermost(e.where("event_type = 'click'").select("user_id", "event_id"), r, "user_id", "event_id", "lo", "hi").select("user_id", "event_id", "lo")
 
 
-@query("""WITH u AS (SELECT n_regionkey, min(n_nationkey) AS only_ FROM nation GROUP BY n_regionkey HAVING count(*) = 1)
-SELECT s_suppkey, coalesce(n.n_nationkey, u.only_) AS owner FROM supplier LEFT JOIN nation n ON n.n_nationkey = s_nationkey LEFT JOIN u ON u.n_regionkey = s_nationkey""")
-def owner_fallback(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    only = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("only_"), F.count("*").alias("c")).where("c = 1")
-    s = _t(spark, sf_dir, "supplier").join(n.select("n_nationkey", F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left").join(only.select(F.col("n_regionkey").alias("s_nationkey"), "only_"), "s_nationkey", "left")
-    return s.select("s_suppkey", F.coalesce("n_nationkey", "only_").alias("owner"))
-
-
 @query("""WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber AS m, l_suppkey % 5 AS f FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT m) AS n FROM m GROUP BY 1),
 p AS (SELECT a.l_orderkey, count(DISTINCT (a.m, b.m)) AS c FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.f = b.f AND a.m < b.m GROUP BY 1)
 SELECT l_orderkey, CASE WHEN n < 2 THEN 0.0 ELSE round(coalesce(c, 0) / (n * (n - 1) / 2.0), 6) END::DOUBLE AS tcc FROM n LEFT JOIN p USING (l_orderkey)""")
@@ -191,14 +156,16 @@ def tcc_pairs(spark, sf_dir):
 
 @query("SELECT l_suppkey, count(DISTINCT l_partkey)::BIGINT AS cbo FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY l_suppkey")
 def cbo_distinct(spark, sf_dir):
-    off = _t(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
-    return _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(off, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("cbo"))
+    off = _t(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("type"))
+    uses = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("type"), F.col("l_partkey").alias("foreign"))
+    return metrics.coupling(uses, off).withColumnRenamed("type", "l_suppkey")
 
 
 @query("SELECT o_orderkey, (count(l_orderkey) + coalesce(sum(l_quantity), 0))::DOUBLE AS wmc FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def wmc_sum(spark, sf_dir):
-    w = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") + F.sum("l_quantity")).alias("w"))
-    return _t(spark, sf_dir, "orders").select("o_orderkey").join(w, "o_orderkey", "left").select("o_orderkey", F.coalesce("w", F.lit(0.0)).cast("double").alias("wmc"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("type"), (1 + F.col("l_quantity")).alias("cyclomatic"))
+    types = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("type"), F.lit(0).alias("interface_methods"))
+    return metrics.wmc(types, li).withColumnRenamed("type", "o_orderkey")
 
 
 @query("""WITH a AS (SELECT l_suppkey, sum(greatest(1, l_linenumber)) AS f, count(*) + sum(greatest(1, l_linenumber % 3)) AS c, count(*) FILTER (l_returnflag = 'R') AS x FROM lineitem GROUP BY 1)
@@ -279,7 +246,9 @@ def fingerprint(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def misses(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    planned = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.lit("").alias("language"), F.col("doc_id").alias("key"))
+    stored = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("unit"), F.lit("").alias("language"), F.col("doc_id").alias("key"))
+    return store.lookup(planned, stored).where("NOT hit").select(F.col("unit").alias("doc_id"))
 
 
 @query("""WITH m AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+', 0) AS module FROM pages WHERE page_id % 2 = 0)
@@ -316,17 +285,3 @@ def min_hidden(spark, sf_dir):
     sets = o.groupBy("l_orderkey", "l_returnflag").agg(F.collect_set("id").alias("ids"), F.collect_set(F.struct("id", "category")).alias("of"))
     g = sets.groupBy("l_orderkey").agg(F.collect_list("ids").alias("alternatives"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("of")))).alias("categories"))
     return g.select("l_orderkey", depth.hidden(F.col("alternatives"), F.col("categories")).cast("long").alias("hidden"))
-
-
-@query("""WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)
-SELECT b.o_custkey, b.n AS before_n, c.n AS now_n, c.n <= b.n + 1 AS passed FROM y b JOIN y c ON b.o_custkey = c.o_custkey AND b.y = 1995 AND c.y = 1996""")
-def goal_verify(spark, sf_dir):
-    y = _t(spark, sf_dir, "orders").where("year(o_orderdate) IN (1995, 1996)").groupBy("o_custkey").agg(*[F.sum((F.year("o_orderdate") == v).cast("long")).alias(n) for v, n in ((1995, "before_n"), (1996, "now_n"))])
-    return y.where("before_n > 0 AND now_n > 0").withColumn("passed", F.col("now_n") <= F.col("before_n") + 1)
-
-
-@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z_0-9]*'))::BIGINT AS identifiers, len(regexp_extract_all(coalesce(text, ''), '[0-9]+'))::BIGINT AS numbers, len(regexp_extract_all(coalesce(text, ''), '[-+*/%=<>!&|]+'))::BIGINT AS operators FROM documents""")
-def token_counts(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    return _t(spark, sf_dir, "documents").select("doc_id", n("[A-Za-z_][A-Za-z_0-9]*").alias("identifiers"), n("[0-9]+").alias("numbers"), n("[-+*/%=<>!&|]+").alias("operators"))

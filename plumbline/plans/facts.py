@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..operators import depth, graph, shape
 from ..operators import incremental as inc
 from ..operators import scoring as sc
 from ..operators import syntax
-from ..sources import ignore, lexer, report
+from ..sources import files, ignore, lexer, report
 from .catalog import _t, query
 
 
@@ -161,55 +162,30 @@ def boundary_conflicts(spark, sf_dir):
     return sc.merge_boundaries(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("boundary"), state.alias("state"), score.alias("score"), fp.alias("fingerprint")))
 
 
-@query("""WITH r AS (SELECT o_custkey AS path, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY ALL), k AS (SELECT o_custkey AS path, o_orderpriority AS routine, count(*) AS n FROM orders GROUP BY ALL)
-SELECT path, round(sum(5 * log2(1 + n)), 6) AS contribution, count(*)::BIGINT AS routines FROM k GROUP BY path""")
-def nested_counts(spark, sf_dir):
-    """Findings counted in each routine, charged there, then summed over the file."""
-    per = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path"), "o_orderpriority").agg(F.count("*").alias("n"))
-    return per.groupBy("path").agg(F.round(F.sum(5 * F.log2(1 + F.col("n"))), 6).alias("contribution"), F.count("*").alias("routines"))
-
-
-@query("""SELECT lang AS language, count(DISTINCT source)::BIGINT AS paths, array_to_string(list_sort(list(DISTINCT source)), ',') AS files FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang""")
+@query("SELECT lang AS language, count(DISTINCT source)::BIGINT AS files FROM documents GROUP BY lang")
 def files_by_language(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("lang", "source").distinct()
-    return d.groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("paths"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("files"))
+    return files.by_language(_t(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("source").alias("path")))
 
 
 @query("""SELECT event_id, length(user_id::VARCHAR) || ':' || user_id || length(event_type) || ':' || event_type AS identity, event_type || '@' || (event_id % 9 + 1) || ':' || (user_id % 5 + 1) || '-' || (event_id % 9 + 3) || ':' || 1 AS subject FROM events""")
 def subject_keys(spark, sf_dir):
-    part = lambda c: F.concat(F.char_length(c).cast("string"), F.lit(":"), c)
-    e = _t(spark, sf_dir, "events").withColumn("u", F.col("user_id").cast("string"))
-    subject = F.format_string("%s@%d:%d-%d:%d", "event_type", F.col("event_id") % 9 + 1, F.col("user_id") % 5 + 1, F.col("event_id") % 9 + 3, F.lit(1))
-    return e.select("event_id", F.concat(part(F.col("u")), part(F.col("event_type"))).alias("identity"), subject.alias("subject"))
-
-
-@query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END::INTEGER AS attention, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END DESC, o_orderkey) AS place
-FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0) AND contains(lower(o_orderpriority), 'h')""")
-def job_view(spark, sf_dir):
-    """Every such job with its place."""
-    o = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0)").where(F.lower("o_orderpriority").contains("h"))
-    a = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    return sc.places(o.select(F.col("o_orderkey").alias("id"), a.alias("attention")), F.desc("attention"), F.col("id"))
+    e = _t(spark, sf_dir, "events")
+    one = F.lit(1)
+    subject = keys.subject(F.when(F.col("event_id") % 2 == 0, F.col("event_type")), F.col("event_type"), F.col("event_id") % 9 + 1, F.col("user_id") % 5 + 1, F.col("event_id") % 9 + 3, one)
+    return e.select("event_id", keys.identity(F.col("user_id"), F.col("event_type")).alias("identity"), subject.alias("subject"))
 
 
 @query("SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def path_intersection(spark, sf_dir):
-    r = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
-    return r.join(_t(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").distinct()
+    r = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return inc.common_paths(r, _t(spark, sf_dir, "orders").where("o_orderstatus = 'O'").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
 
 
 @query("SELECT count(DISTINCT (event_type, user_id % 3)) AS kinds, count(*)::BIGINT AS records FROM events")
 def metadata_dedupe(spark, sf_dir):
     """Records that are equal as canonical JSON are one."""
-    e = _t(spark, sf_dir, "events").select(F.sha2(F.to_json(F.struct("event_type", (F.col("user_id") % 3).alias("u"))).cast("binary"), 256).alias("k"))
-    return e.agg(F.countDistinct("k").alias("kinds"), F.count("*").alias("records"))
-
-
-@query("""SELECT o_custkey AS path, bool_or(o_orderstatus = 'O') AS available, greatest(0, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice - 100000 END)) AS most, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0), 2) AS total FROM orders GROUP BY 1""")
-def dashboard_metrics(spark, sf_dir):
-    """Availability, the largest subject (0 at least) and the sum over subjects."""
-    live = F.col("o_orderstatus") == "O"
-    return _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.bool_or(live).alias("available"), F.greatest(F.lit(0.0), F.max(F.when(live, F.col("o_totalprice") - 100000))).alias("most"), F.round(F.coalesce(F.sum(F.when(live, F.col("o_totalprice"))), F.lit(0.0)), 2).alias("total"))
+    e = _t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("u"))
+    return keys.distinct_records(e, "event_type", "u").agg(F.count("*").alias("kinds"), F.sum("n").cast("long").alias("records"))
 
 
 @query("""WITH e AS (SELECT event_id // 4 AS k, user_id % 60 AS lo, user_id % 60 + 1 + event_id * 13 % 29 AS hi FROM events),

@@ -145,6 +145,15 @@ def context_sources(spark, sf_dir):
     return graph.context_sources(edges, sources)
 
 
+@query("""SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 2 = 0)""")
+def job_view(spark, sf_dir):
+    """Jobs that aren't discarded or finished, in the order of attention."""
+    phase = F.when(F.col("o_orderstatus") == "P", "discarded").when((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 2 == 0), "completed").otherwise("running")
+    attention = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    j = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), phase.alias("phase"), attention.alias("attention"), *[F.lit(None).cast("string").alias(c) for c in ("state", "agent", "goal", "target", "activity")], F.lit(0).alias("time"))
+    return views.jobs(j)
+
+
 @query("""SELECT o_orderkey AS id, row_number() OVER (ORDER BY lower(o_orderpriority) DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O' AND contains(lower(concat_ws(chr(10), o_orderkey, o_orderpriority, 'clerk' || o_custkey % 10)), '1')""")
 def job_list(spark, sf_dir):
     """Open jobs that match a text, by state in reverse; ties stay in the order of ids."""

@@ -171,3 +171,42 @@ def test_cells_and_durations(spark):
     assert [r[0] for r in c.select(views.cell(F.col("v"), F.col("a"), F.col("f"))).collect()] == ["1.0", "-", "-", "X"]
     s = spark.createDataFrame([(["a", "b"], ["a"], True, False), (["a"], [], True, False), (["b", "c", "a"], [], True, False), (["a", "b"], [], False, False), (["a", "b"], [], True, True)], "e array<string>, p array<string>, k boolean, d boolean")
     assert [r[0] for r in s.select(findings.missing_cases(*[F.col(x) for x in "epkd"])).collect()] == [["b"], None, ["a", "b", "c"], None, None]
+
+
+def test_overlay(spark):
+    t = lambda *rows: spark.createDataFrame(rows, "unit string, path string")
+    plan = {"units": t(("u", "1"), ("v", "1"), ("w", "1")), "sources": t(("u", "a"), ("v", "b"), ("w", "c"))}
+    out = store.overlay(plan, {"units": t(("u", "2")), "sources": t(("x", "d"))}, spark.createDataFrame([("w",)], "unit string"))
+    assert {k: sorted(map(tuple, d.collect())) for k, d in out.items()} == {"units": [("u", "2"), ("v", "1")], "sources": [("v", "b"), ("x", "d")]}
+
+
+def test_an_analyzer_of_its_own(spark):
+    import sys
+
+    from plumbline.sources import process
+
+    script = """
+import json, sys
+rows = [json.loads(x) for x in sys.stdin]
+if any("crash" in r["content"] for r in rows): sys.exit(3)
+for r in rows:
+    base = {"protocol_version": 1, "invocation_id": r["invocation_id"], "path": r["path"], "component_id": "lines"}
+    print(json.dumps({"type": "measurement", "value": len(r["content"]), **base}))
+    print(json.dumps({"type": "coverage", "state": "complete", **base}))
+if not any("open" in r["content"] for r in rows): print(json.dumps({"type": "terminal"}))
+"""
+    files = spark.createDataFrame([("a", "xyz"), ("b", "crash"), ("c", None), ("d", "open")], "path string, content string")
+    got = process.tables(process.analyze(files, [sys.executable, "-c", script], "i", each=1))
+    assert {r.path: r.number for r in got["measurement"].collect()} == {"a": 3.0, "c": 0.0}
+    assert {r.path: (r.state, r.reason) for r in got["coverage"].collect()} == {"a": ("complete", None), "b": ("failed", "CalledProcessError"), "c": ("complete", None), "d": ("failed", "ValueError")}
+    missing = process.analyze(files, ["/no/such/program"], "i")
+    assert missing.where("failure IS NOT NULL").count() == 4
+
+
+def test_subjects(spark):
+    from plumbline.functions import keys
+
+    d = spark.createDataFrame([("s", "n", 1), ("", "n", 2), (None, None, 3)], "s string, n string, l int")
+    c = lambda x: F.lit(x)
+    assert [r[0] for r in d.select(keys.subject(F.col("s"), F.col("n"), F.col("l"), c(1), c(9), c(2))).collect()] == ["s@1:1-9:2", "n@2:1-9:2", "3:1-9:2"]
+    assert d.select(keys.identity(F.col("s"), F.col("n"))).distinct().count() == 3
