@@ -65,14 +65,33 @@ def targets(root: str, wanted: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _underscored(spark: SparkSession, places: list[str]) -> list[str]:
+    """Directories below ``places`` whose names start with an underscore: Spark's file source passes them over unless it
+    is given them.  A walk over directories on the driver, no files are opened."""
+    out, todo = [], list(places)
+    while todo:
+        p = spark._jvm.org.apache.hadoop.fs.Path(todo.pop())
+        for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p):
+            name = s.getPath().getName()
+            if s.isDirectory() and not name.startswith(".") and name.lower() not in IGNORED_DIRECTORIES:
+                todo.append(s.getPath().toString())
+                if name.startswith("_"):
+                    out.append(s.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, tests: bool = False, wanted: list[str] | None = None) -> DataFrame:
     """(path, content, language) of the sources under ``root``, or of the ``wanted`` targets there; paths
     are relative to it.  A file that several targets hold comes once.  Links are followed as the
-    file system does; a directory that holds itself by a link is an error there."""
+    file system does; a directory that holds itself by a link is an error there.  Directories whose names start with an
+    underscore are looked into only with ``tests``."""
     places = targets(root, wanted) if wanted else [root]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).dropDuplicates(["path"] if len(places) > 1 else None)
-    base = F.lit(root.split(":", 1)[-1].rstrip("/") + "/")
-    return source_files(files.select(F.substring_index(F.col("path"), base, -1).alias("path"), "content"), tests)
+    places += _underscored(spark, places) if tests else []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places)
+    files = files.dropDuplicates(["path"]) if len(places) > 1 else files
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), base) + F.lit(len(base)))
+    return source_files(files.select(relative.alias("path"), "content"), tests)
 
 
 def require_languages(files: DataFrame, requested: list[str]) -> DataFrame:
