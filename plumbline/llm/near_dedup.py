@@ -142,10 +142,16 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows with equal ``keys`` in a sorted stream of batches."""
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], pairs: bool) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """The groups of two or more rows with equal ``keys`` in a sorted stream of batches.  With ``pairs`` most of those
+    of two rows come together, one behind the other, in a frame that is marked as such."""
     held: list[pd.DataFrame] = []
     last = None
+
+    def whole() -> Iterator[tuple[bool, pd.DataFrame]]:
+        if sum(map(len, held)) > 1:
+            yield False, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
     for batch in batches:
         if batch.empty:
             continue
@@ -153,18 +159,22 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         change = np.zeros(len(batch), bool)
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
-        change[0] = last is not None and tuple(c[0] for c in cols) != last
-        cuts = np.flatnonzero(change)
-        last, at = tuple(c[-1] for c in cols), 0
-        for cut in cuts:
-            if cut > at:
-                held.append(batch.iloc[at:cut])
-            if held:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-            held, at = [], cut
-        held.append(batch.iloc[at:])
-    if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        change[0] = last is None or tuple(c[0] for c in cols) != last
+        last, starts = tuple(c[-1] for c in cols), np.flatnonzero(change)
+        if not len(starts):
+            held.append(batch)
+            continue
+        if starts[0]:
+            held.append(batch.iloc[: starts[0]])
+        yield from whole()
+        size = np.diff(starts)
+        if pairs and (size == 2).any():
+            at = starts[:-1][size == 2]
+            yield True, batch.iloc[np.stack([at, at + 1], axis=1).ravel()]
+        for k in np.flatnonzero(size > 2 if pairs else size > 1):
+            yield False, batch.iloc[starts[k] : starts[k + 1]]
+        held = [batch.iloc[starts[-1] :]]
+    yield from whole()
 
 
 def _sketch_forest(sketches: np.ndarray, side: np.ndarray, root: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -249,17 +259,24 @@ def linked_components(members: DataFrame, payload: DataFrame, comparer, block: i
     """(node, root): the components of the links within each key of ``members(key, doc_id, w)``.
 
     ``payload(doc_id, ...)`` has what a comparison needs: ``comparer()`` is called once a task and gives a function
-    ``(block, side, root)`` that finds a spanning forest of the links in a block of rows.  A key of m rows has as many blocks as keep each near ``block`` rows and
+    ``(block, side, root)`` that finds a spanning forest of the links in a block of rows, and, or None, one that finds
+    which of many blocks of two rows, one behind the other, are links.  A key of m rows has as many blocks as keep each near ``block`` rows and
     a ``weight`` of the sum of ``w``.  No partner is dropped: two linked members are compared with
     each other unless links found before join them already.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compare = comparer()
-        for g in _groups(batches, ["key", "i", "j"]):
-            edges = compare(g, g["side"].to_numpy(), g["root"].to_numpy())
-            if edges:
-                yield _edges(g["doc_id"].to_numpy(), edges)
+        compare, pairs = comparer()
+        for two, g in _groups(batches, ["key", "i", "j"], pairs is not None):
+            ids, side, root = (g[c].to_numpy() for c in ("doc_id", "side", "root"))
+            if two:
+                # both on the first side are a block of one side; both on the other aren't compared
+                open_ = (ids[::2] != ids[1::2]) & np.where(side[::2] == side[1::2], side[::2] == 0, root[::2] != root[1::2])
+                x = 2 * np.flatnonzero(open_ & pairs(g))
+                if len(x):
+                    yield pd.DataFrame({"a": ids[x], "b": ids[x + 1]})
+            elif edges := compare(g, side, root):
+                yield _edges(ids, edges)
         common.release_memory()
 
     def linked(rows: DataFrame) -> DataFrame:
@@ -267,12 +284,12 @@ def linked_components(members: DataFrame, payload: DataFrame, comparer, block: i
         return dealt.mapInPandas(run, _LINK)
 
     hashed = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
-    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("n > 1")
+    keys = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("lo <> hi")
     s = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / weight)).cast("int")
     keys = common.materialize(keys.select("key", "n", s.alias("s"), F.col("lo.doc_id").alias("lo"), F.col("hi.doc_id").alias("hi")), "keys")
     chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("s")).cast("int")
     zero = F.lit(0)
-    dealt = common.join_by_hot_key(members.select("key", "doc_id"), keys.select("key", "n", "s"), "key").select("key", "doc_id", "s", chunk.alias("i"))
+    dealt = common.join_by_hot_key(members.select("key", "doc_id"), keys.select("key", "n", "s"), "key").select("key", "doc_id", "s", chunk.alias("i")).distinct()
     large = keys.where("s > 1")
     one = dealt.select("key", "doc_id", "i").join(payload, "doc_id").withColumns({"j": zero, "side": zero, "root": F.col("doc_id")})
     if large.isEmpty():
@@ -310,7 +327,12 @@ def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
 
     def comparer():
         sketches = lambda g: np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        return lambda g, side, root: _sketch_forest(sketches(g), side, root, limit)
+
+        def pairs(g: pd.DataFrame) -> np.ndarray:
+            x = sketches(g)
+            return np.bitwise_count(x[::2] ^ x[1::2]).sum(axis=1) <= limit
+
+        return lambda g, side, root: _sketch_forest(sketches(g), side, root, limit), pairs
 
     members = reps.select(F.explode("keys").alias("key"), "doc_id", F.lit(1).alias("w"))
     return linked_components(members, reps.select("doc_id", "sketch"), comparer, block, 1 << 62)
@@ -321,7 +343,7 @@ def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block:
 
     def comparer():
         known = _WordHash()
-        return lambda g, side, root: _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near)
+        return lambda g, side, root: _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near), None
 
     members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("w"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
