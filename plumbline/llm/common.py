@@ -189,9 +189,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def release_memory() -> None:
     """At the end of a Python task: give back what its batches took, as the worker stays."""
+    import ctypes
     import gc
 
     import pyarrow
 
     gc.collect()
     pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

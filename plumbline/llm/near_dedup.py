@@ -43,7 +43,7 @@ BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
 #: Documents on either side of a block.
 BLOCK = 1024
 #: Shingles in a block of full sets.
-SHINGLES = 4_000_000
+SHINGLES = 1_000_000
 _WORDS_KEPT = 300_000
 
 
