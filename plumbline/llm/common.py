@@ -159,6 +159,22 @@ def drop_positions(parts: Column, gone: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(parts, start(k) + 1, F.greatest(F.lit(0), end(k) - start(k)))))
 
 
+def numbered(df: DataFrame, *order: Column | str) -> tuple[DataFrame, int]:
+    """``df`` with its ``place`` from 1 on in ``order``, and how many rows there are.  Rows are sorted by ranges, written,
+    and numbered within each; the driver adds up one count for each range."""
+    (at,) = spare(df, "at")
+    rows = materialize(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):
+        before.append((p, total))
+        total += n
+    (key, first) = spare(rows, "part", "first")
+    offsets = df.sparkSession.createDataFrame(before, f"{key} long, {first} long")
+    out = rows.withColumn(key, part).join(F.broadcast(offsets), key)
+    return out.select(*[f"`{c}`" for c in df.columns], (F.col(first) + within + 1).alias("place")), total
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
