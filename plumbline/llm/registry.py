@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, importance, language_id, line_dedup, near_dedup, packing, quality, records, token_counts, topk
+from . import chat, collocations, decontamination, importance, language_id, line_dedup, near_dedup, packing, quality, records, token_counts, topk
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_collocations": collocations.op11_collocations,
     "op12_importance_resampling": importance.op12_importance_resampling,
     "language_id_pages": language_id.language_id_pages,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op8_exact_topk": topk.OP8_SQL,
     "op9_minhash_near_dedup": near_dedup.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_importance_resampling": importance.OP12_SQL,
 }
