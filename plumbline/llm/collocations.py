@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bytewords import Words, as_array, byte_classes, closed, crc32, slices, words
+from .bytewords import Words, as_array, as_bytes, byte_classes, closed, crc32, slices, words
 
 MIN_COUNT, LONGEST, TOP, COVER = 30, 4, 2000, 80
 LISTED, LISTED_BYTES = 1_000_000, 32 << 20
@@ -131,13 +131,6 @@ def fragments(docs: DataFrame, table: pa.Table, others: int, longest: int, split
     return docs.mapInArrow(run, "k long, salt long, lang string, fragment string, at int, n long, part boolean")
 
 
-def as_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(data, start, end) of a string array."""
-    _, offsets, data = strings.buffers()
-    at = np.frombuffer(offsets, np.int32, len(strings) + 1, strings.offset * 4).astype(np.int64)
-    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at[:-1], at[1:]
-
-
 def mine_chunk(rows: pa.Table, min_count: int, longest: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, words, n, part): the phrases that the pivots of ``rows`` own, all fragments of a pivot being there;
     the frequent ones, and of pivots that were dealt to several tasks all."""

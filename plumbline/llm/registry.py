@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, decontamination, importance, language_id, line_dedup, near_dedup, packing, quality, records, token_counts, topk
+from . import brown, chat, collocations, decontamination, importance, language_id, line_dedup, near_dedup, packing, quality, records, token_counts, topk
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_collocations": collocations.op11_collocations,
     "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_brown_lm": brown.op13_brown_lm,
     "language_id_pages": language_id.language_id_pages,
 }
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bytewords, collocations, common, importance
+from plumbline.llm import brown, bytewords, collocations, common, importance
 
 DOCS = "doc_id long, text string, lang string, source string, n_words long, weight double, rank string, k long"
 
@@ -163,3 +163,98 @@ def test_resampling_of_nothing(spark):
     none, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], "text string")
     assert importance.resample(none, bench).count() == 0 and importance.draw_documents(none, bench).columns == none.columns
     assert [(r.n_features, r["rank"]) for r in importance.resample(spark.createDataFrame([(1, "one two", None, None, None, None, None, None)], DOCS), bench).collect()] == [(2, None)]
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text)) + [brown.END]
+
+
+def brute_score(model, counts, text):
+    """Log10 probability of a text, word by word, from the model's tables."""
+    u, total, before = model.units, 0.0, 0
+    listed = {w: i + 1 for i, w in enumerate(u.listed.to_pylist())} | {brown.END: 0}
+    for t in tokens(text):
+        unit = listed.get(t)
+        if unit is None:
+            form = zlib.crc32(t.encode()[-3:]) % len(u.types)
+            unit = u.first_form + form
+            total += math.log10((counts[t] + 0.1) / (u.n[unit] + 0.1 * (u.types[form] + 1)))
+        total += model.emission[unit] + model.transition[model.classes[before], model.classes[unit]]
+        before = unit
+    return total
+
+
+@pytest.mark.parametrize("min_count, share, hot", [(3, 1e-6, False), (1, 0.02, True), (10**9, 1e-6, False)])
+def test_brown_scores(spark, monkeypatch, min_count, share, hot):
+    """Most words are units, some, or none."""
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = odd_rows(11)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = brown.train(docs.where(brown.learned_from(F.col("doc_id"))), classes=6, rounds=3, share=share, min_count=min_count, n_forms=8)
+    counts = collections.Counter(t for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 for t in tokens(r[1]))
+    n, v = sum(counts.values()), len(counts)
+    assert (model.units.total, model.units.known) == (n, v) and model.history == sorted(model.history)
+    got = brown.score(docs.select("doc_id", "text", "weight", F.lit("x").alias("score"), F.lit(1).alias("row")), model)
+    assert got.columns == ["doc_id", "weight", "score", "row", "n_tokens", "n_known", "train_tokens", "base_score", "_score"]
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r._score) for r in got.collect())
+    want = sorted((str(r[0]), len(tokens(r[1])), sum(counts[t] > 0 for t in tokens(r[1])), n, sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r[1])), brute_score(model, counts, r[1])) for r in rows)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-9)
+    # behind every class the probabilities of all words, and of one unknown word a form, add up to one
+    assert np.allclose((10**model.transition).sum(axis=1), 1)
+    assert np.allclose(np.bincount(model.classes, weights=10**model.emission, minlength=6), [1 if (model.classes == c).any() else 0 for c in range(6)])
+    u = model.units
+    for form in range(8):
+        inside = [c for w, c in counts.items() if w != brown.END and w not in set(u.listed.to_pylist()) and zlib.crc32(w.encode()[-3:]) % 8 == form]
+        assert math.isclose(sum(c + 0.1 for c in inside) + 0.1, 10 ** model.spread[form])
+
+
+def test_exchange_gains_are_exact():
+    rng = np.random.default_rng(2)
+    of = rng.integers(0, 7, 40)
+
+    def table(of):
+        out = np.zeros((7, 7))
+        np.add.at(out, (of[:, None], of[None]), pairs)
+        return out
+
+    walk = rng.integers(0, 40, 5000)
+    walk[-1] = walk[0]
+    pairs = np.zeros((40, 40))
+    np.add.at(pairs, (walk[:-1], walk[1:]), 1)
+    for unit in range(40):
+        after, before = np.bincount(of, weights=pairs[unit], minlength=7), np.bincount(of, weights=pairs[:, unit], minlength=7)
+        gain = brown.move_gains(table(of), int(of[unit]), after, before, pairs[unit, unit])
+        for k in range(7):
+            moved = of.copy()
+            moved[unit] = k
+            assert math.isclose(gain[k], brown.likelihood(table(moved)) - brown.likelihood(table(of)), abs_tol=1e-6)
+
+
+def test_exchange_finds_classes(spark):
+    """Words of two kinds that take turns, and texts of two languages: classes tell them apart, and held-out texts gain."""
+    rng = random.Random(6)
+
+    def text(tongue):
+        return " ".join(f"{tongue}{'ab'[i % 2]}{rng.randrange(12)}" for i in range(40))
+
+    rows = [(i, text("xy"[i % 2])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = brown.train(docs.where(brown.learned_from(F.col("doc_id"))), classes=8, rounds=6)
+    kind = collections.defaultdict(set)
+    for word, c in zip(model.units.listed.to_pylist(), model.classes[1:], strict=False):
+        kind[int(c)].add(word[:2])
+    assert all(len(k) == 1 for k in kind.values()) and len(model.history) > 1
+    held = brown.score(docs.where(~brown.learned_from(F.col("doc_id"))), model).collect()
+    assert held and all(r.score > 0.75 * r.base_score for r in held)
+
+
+def test_brown_of_nothing(spark):
+    none = spark.createDataFrame([], DOCS)
+    model = brown.train(none, classes=4)
+    assert brown.score(none, model).count() == 0
+    got = brown.score(spark.createDataFrame([(1, "a b", None), (2, None, None)], "doc_id long, text string, row string"), model).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in sorted(got)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    assert all(np.isfinite(r.score) for r in got)
