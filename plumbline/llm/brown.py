@@ -158,7 +158,9 @@ def move_gains(pairs: np.ndarray, a: int, after: np.ndarray, before: np.ndarray,
     # a class' own cell takes both sides at once
     gain += _phi(d + r + s + self_) + _phi(d) - _phi(d + r) - _phi(d + s)
     n = after.sum()
-    for margin in (m.sum(axis=1), m.sum(axis=0)):
+    for axis in (1, 0):
+        margin = pairs.sum(axis=axis)
+        margin[a] -= n
         gain -= _phi(margin + n) - _phi(margin)
     return gain - gain[a]
 
@@ -202,7 +204,7 @@ def exchange(pairs: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds: in
     now = np.full(len(n), classes - 1, np.int64)
     first = np.argsort(-n, kind="stable")[: classes - 1]
     now[first] = np.arange(len(first))
-    kept, history, parts = None, [], 2
+    kept, history, parts, still = None, [], 2, 0
     for turn in range(rounds + 1):
         made: list[str] = []
         known = spark.createDataFrame(pd.DataFrame({"other": np.arange(len(n), dtype=np.int32), "class": now.astype(np.int32)}))
@@ -217,10 +219,10 @@ def exchange(pairs: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds: in
         if kept is None or value > kept[0]:
             if kept:
                 common.drop_path(spark, kept[4])
-            small = kept is not None and value - kept[0] < 1e-4 * abs(value)
+            still = still + 1 if kept is not None and value - kept[0] < 1e-4 * abs(value) else 0
             kept = (value, now, table, vectors, made[0])
             history.append(value)
-            if small:
+            if still == parts:  # every part has had its turn and gained little
                 break
         else:
             common.drop_path(spark, made[0])
