@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORD, GAP, BREAK = 0, 1, 2
 #: Bytes of text that are taken apart at once; a longer text is taken whole.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Words of more bytes than this are few; the library's CRC takes them one at a time.
 LONG_WORD = 256
 

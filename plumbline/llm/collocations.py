@@ -36,7 +36,7 @@ LISTED, LISTED_BYTES = 1_000_000, 32 << 20
 #: Occurrences of a pivot, about, that one task gets.
 SPLIT = 1_000_000
 #: Fragments of whole pivots that are mined together.
-CHUNK = 200_000
+CHUNK = 100_000
 
 #: Pieces end at marks and line ends; words within them are divided by spaces and tabs.
 PIECES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -59,6 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 codes, word, lang = _distinct(words(part["text"], PIECES), part["lang"])
                 yield pa.RecordBatch.from_arrays([lang, word, pa.array(np.bincount(codes, minlength=len(word)))], ["lang", "word", "n"])
+        common.release_memory()
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -127,6 +128,7 @@ def fragments(docs: DataFrame, table: pa.Table, others: int, longest: int, split
                     [pa.array(rank[pivot]), pa.array(salt), tongue.dictionary.take(pa.array(met % several)), text_of, pa.array(left[first], pa.int32()), pa.array(count, pa.int64()), pa.array(parts > 1)],
                     ["k", "salt", "lang", "fragment", "at", "n", "part"],
                 )
+        common.release_memory()
 
     return docs.mapInArrow(run, "k long, salt long, lang string, fragment string, at int, n long, part boolean")
 
@@ -189,6 +191,7 @@ def mine(dealt: DataFrame, min_count: int, longest: int, chunk: int = CHUNK) ->
             rows, last = rows + len(batch), (k[-1], salt[-1])
         if held:
             yield from mine_chunk(pa.Table.from_batches(held), min_count, longest)
+        common.release_memory()
 
     return dealt.repartition("k", "salt").sortWithinPartitions("k", "salt").mapInArrow(run, "lang string, phrase string, words int, n long, part boolean")
 
@@ -234,7 +237,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     several = phrases.where("words > 1").withColumnRenamed("n", "a")
     cuts = several.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", join(F.lit(1), F.col("k")).alias("head"), join(F.col("k") + 1, F.col("words") - F.col("k")).alias("tail"))
-    known = phrases.select("lang", "phrase", "n")
+    cuts, known = common.materialize(cuts, "cuts"), phrases.select("lang", "phrase", "n")
     cuts = _with_counts(_with_counts(cuts, known, "head", "l"), known, "tail", "r")
     exact = F.expr("CAST(a AS decimal(20,0)) * 2000000 DIV (CAST(l AS decimal(20,0)) + r)")
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(exact.cast("long").alias("score"), "k", "l", "r")).alias("cut"))
