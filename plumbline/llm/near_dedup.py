@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ from .components import components
 BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
 #: Documents on either side of a block.
 BLOCK = 1024
-#: Shingles in a block of full sets.
-SHINGLES = 1_000_000
+#: Bytes of the texts in a block of full sets; a block of two rounds has up to twice as many, or two texts.
+TEXT_BYTES = 4 << 20
 _WORDS_KEPT = 300_000
 
 
@@ -113,7 +114,7 @@ def sketch_limit(bands: int, rows: int, bits: int, threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys, sketch) of ``docs(doc_id, text)``."""
+    """(doc_id, n_shingles, n_bytes, digest, keys, sketch) of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, known = _constants(bands * rows), _WordHash()
@@ -134,12 +135,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = RO
                 digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 sketches.append(_odd_sketch(samples, bits).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "keys", "sketch"],
+                [batch["doc_id"], pa.array(n, pa.int64()), pc.binary_length(batch["text"]).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "n_bytes", "digest", "keys", "sketch"],
             )
         common.release_memory()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, n_bytes long, digest binary, keys array<long>, sketch binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str], pairs: bool) -> Iterator[tuple[bool, pd.DataFrame]]:
@@ -261,7 +262,7 @@ def linked_components(members: DataFrame, payload: DataFrame, comparer, block: i
     ``payload(doc_id, ...)`` has what a comparison needs: ``comparer()`` is called once a task and gives a function
     ``(block, side, root)`` that finds a spanning forest of the links in a block of rows, and, or None, one that finds
     which of many blocks of two rows, one behind the other, are links.  A key of m rows has as many blocks as keep each near ``block`` rows and
-    a ``weight`` of the sum of ``w``.  No partner is dropped: two linked members are compared with
+    a ``weight`` of the sum of ``w``; in the second round on either side.  No partner is dropped: two linked members are compared with
     each other unless links found before join them already.
     """
 
@@ -301,11 +302,13 @@ def linked_components(members: DataFrame, payload: DataFrame, comparer, block: i
     root = components(linked(one.unionByName(tied.select(*one.columns))))
     total = large.agg(F.sum("n")).first()[0]
     with common.sized_shuffles(members.sparkSession, total):
-        inside = common.join_by_hot_key(members.select("key", "doc_id"), large.select("key", "n", "s"), "key", total=total)
-        inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", F.coalesce("root", "doc_id").alias("root"))
+        inside = common.join_by_hot_key(members.select("key", "doc_id", "w"), large.select("key", "n", "s"), "key", total=total)
+        inside = inside.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "w", "s", F.coalesce("root", "doc_id").alias("root"))
         inside = common.materialize(inside, "inside")
-        most = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("joined"))
-        most = common.materialize(most.where("roots > 1").select("key", "n", "main", F.ceil((F.col("n") - F.col("joined")) / block).cast("int").alias("t")), "open")
+        most = inside.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+        most = most.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "root", "w")).alias("main"), F.count("*").alias("roots"))
+        t = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / block), F.ceil((F.col("w") - F.col("main.w")) / weight)).cast("int")
+        most = common.materialize(most.where("roots > 1").select("key", "n", F.col("main.root").alias("main"), t.alias("t")), "open")
         if most.isEmpty():
             return root
         opened = common.materialize(common.join_by_hot_key(inside, most, "key").select("key", "doc_id", "root", "s", "main", "t", chunk.alias("c")), "opened")
@@ -338,14 +341,17 @@ def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
     return linked_components(members, reps.select("doc_id", "sketch"), comparer, block, 1 << 62)
 
 
-def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = SHINGLES) -> DataFrame:
-    """(node, root): the components of the true links within each of ``groups(node, root, n_shingles)``."""
+def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = TEXT_BYTES) -> DataFrame:
+    """(node, root): the components of the true links within each of ``groups(node, root)``; ``n_bytes`` of their texts is
+    counted unless ``groups`` has it."""
+    if "n_bytes" not in groups.columns:
+        groups = groups.join(docs.groupBy(F.col("doc_id").alias("node")).agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes")), "node")
 
     def comparer():
         known = _WordHash()
         return lambda g, side, root: _forest(side, root, _Sets([shingle_set(split_words(t), shingle, known) for t in g["text"]], percent).near), None
 
-    members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("w"))
+    members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_bytes").alias("w"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     return linked_components(members, texts, comparer, block, weight)
 
@@ -365,11 +371,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sig = common.materialize(signatures(docs, shingle, bands, rows, bits), "signatures")
     named = sig.where("doc_id IS NOT NULL")
     # copies: a class of equal words is its smallest id (texts without words are told apart)
-    classes = named.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("rep"))
+    classes = named.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("rep"))
     classes = common.materialize(classes, "classes")
     reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "rep.keys", "rep.sketch")
     groups = candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100))
-    sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.sum("n_bytes").alias("n_bytes"))
     groups = common.materialize(groups.join(sizes, "node"), "groups")
     found = links(docs.where("doc_id IS NOT NULL"), groups, shingle, percent)
     # an id with several texts ties their classes together
