@@ -79,22 +79,24 @@ def _dyadic(lo: Column, hi: Column, levels: int) -> Column:
 
 def innermost(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
     """The innermost range of ``ranges`` that holds each point (integers): the one that starts last and
-    ends first.
+    ends first.  Points that repeat are kept, each with its range; those in none go.
 
-    A range is cut into blocks whose sizes are powers of two, and a point is in one block of each size,
-    so the join on key and block meets just the ranges that hold a point; a key with many of both is
-    spread over its blocks, and no others are paired.
+    A range is cut into blocks whose sizes are powers of two, and a place is in one block of each size,
+    so the join on key and block meets just the ranges that hold a place; a key with many of both is
+    spread over its blocks, and no others are paired.  Only sizes that some range has are looked up, and a place
+    that many points share is looked up once.
     """
     widest = ranges.agg(F.max(F.col(hi) - F.col(lo) + 1)).first()[0] or 1
     levels = max(1, int(widest).bit_length())
     inside = ranges.where(F.col(lo) <= F.col(hi))
     blocks = inside.select(*inside.columns, F.explode(_dyadic(F.col(lo), F.col(hi), levels)).alias("_block"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("k"), F.floor(F.col(point) / F.call_function("shiftleft", F.lit(1).cast("long"), k)).cast("long").alias("b")))
-    spread = points.select(*points.columns, F.explode(at).alias("_block"))
+    sizes = sorted(r[0] for r in blocks.select("_block.k").distinct().collect())  # at most 64
+    at = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(point) / (1 << k)).cast("long").alias("b")) for k in sizes or [0]])
+    spread = points.select(key, point).distinct().select(key, point, F.explode(at).alias("_block"))
     rest = [c for c in ranges.columns if c != key]
     best = F.min(F.struct((-F.col(lo)).alias("_l"), F.col(hi).alias("_h"), *rest))
-    found = spread.join(blocks, [key, "_block"]).groupBy(*points.columns).agg(best.alias("_r"))
-    return found.select(*points.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    found = spread.join(blocks, [key, "_block"]).groupBy(key, point).agg(best.alias("_r"))
+    return points.join(found, [key, point]).select(*points.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def resolve(calls: DataFrame, targets: DataFrame, scopes: list[list[str]], id: str, to: str) -> DataFrame:
@@ -133,6 +135,27 @@ def enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: st
     return innermost(points, ranges.join(unusable_ranges(ranges, key, lo, hi), key, "left_anti"), key, point, lo, hi)
 
 
+def associate(found: DataFrame, routines: DataFrame) -> DataFrame:
+    """``found(path, at, symbol, ...)`` with the ``routine`` of ``routines(path, routine, symbol, lo, hi)`` that each belongs to; null
+    if there is none.
+
+    A finding that names a symbol belongs to the innermost routine of that symbol that holds it, and to no other;
+    one that names none (null or empty) to the innermost of all.  Where ranges of those looked up cross, repeat
+    or are empty, nothing is associated.  Findings that repeat are all kept.
+    """
+    named = F.coalesce(F.col("symbol"), F.lit("")) != ""
+    key = lambda symbol: F.struct("path", symbol.alias("symbol"))
+    looked = F.when(named, F.col("symbol"))
+    places = found.select(key(looked).alias("_key"), F.col("at").alias("_at")).distinct()
+    own = routines.where(named).select(key(F.col("symbol")).alias("_key"), "lo", "hi", "routine")
+    all_ = routines.select(key(F.lit(None).cast("string")).alias("_key"), "lo", "hi", "routine")
+    # keys are compared as text, as a struct with a null meets no other
+    text = lambda df: df.withColumn("_key", F.to_json("_key"))
+    best = enclosing(text(places), text(own.unionByName(all_)), "_key", "_at", "lo", "hi").select("_key", "_at", "routine")
+    keyed = text(found.select(*found.columns, key(looked).alias("_key")))
+    return keyed.join(best, (keyed["_key"] == best["_key"]) & (keyed["at"] == best["_at"]), "left").select(*[keyed[c] for c in found.columns], "routine")
+
+
 def link_methods(types: DataFrame, functions: DataFrame) -> DataFrame:
     """(path, type, location, fn): routines of ``functions(path, location, fn)`` by the locations that
     ``types(path, type, locations)`` names; a location of two routines is an error."""

@@ -137,13 +137,29 @@ def language_map(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT user_id, event_id AS lo, lead(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events),
-p AS (SELECT user_id, event_id FROM events WHERE event_type = 'click'),
-j AS (SELECT p.*, lo, row_number() OVER (PARTITION BY p.user_id, event_id ORDER BY lo DESC, hi) AS nth FROM p JOIN r ON p.user_id = r.user_id AND lo <= event_id AND event_id <= hi)
+p AS (SELECT user_id, event_id, unnest(range(1 + event_id % 2)) AS copy FROM events WHERE event_type = 'click'),
+j AS (SELECT p.*, lo, row_number() OVER (PARTITION BY p.user_id, event_id, copy ORDER BY lo DESC, hi) AS nth FROM p JOIN r ON p.user_id = r.user_id AND lo <= event_id AND event_id <= hi)
 SELECT user_id, event_id, lo FROM j WHERE nth = 1""")
 def nested_routine_join(spark, sf_dir):
+    """The innermost range of each click; every other click comes twice."""
     e = _t(spark, sf_dir, "events")
     r = e.select("user_id", F.col("event_id").alias("lo"), F.lead("event_id", 3).over(Window.partitionBy("user_id").orderBy("event_id")).alias("hi"))
-    return inc.innermost(e.where("event_type = 'click'").select("user_id", "event_id"), r, "user_id", "event_id", "lo", "hi").select("user_id", "event_id", "lo")
+    clicks = e.where("event_type = 'click'").select("user_id", "event_id", F.explode(F.sequence(F.lit(0), F.col("event_id") % 2)).alias("copy")).drop("copy")
+    return inc.innermost(clicks, r, "user_id", "event_id", "lo", "hi").select("user_id", "event_id", "lo")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS path, l_linenumber AS routine, 's' || l_suppkey % 3 AS symbol, 100 - 10 * l_linenumber AS lo, 100 + 10 * l_linenumber AS hi FROM lineitem),
+f AS (SELECT l_orderkey AS path, (100 + l_partkey % 70)::BIGINT AS pos, CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_partkey % 4 END AS symbol FROM lineitem),
+b AS (SELECT path, symbol FROM r GROUP BY path, symbol, routine HAVING count(*) > 1), a AS (SELECT path FROM r GROUP BY path, routine HAVING count(*) > 1)
+SELECT path, pos, symbol, CASE WHEN CASE WHEN symbol IS NULL THEN path NOT IN (SELECT path FROM a) ELSE (path, symbol) NOT IN (SELECT (path, symbol) FROM b) END
+  THEN (SELECT min(routine) FROM r WHERE r.path = f.path AND (f.symbol IS NULL OR r.symbol = f.symbol) AND lo <= f.pos AND f.pos <= hi) END AS routine FROM f""")
+def associated_routines(spark, sf_dir):
+    """The routine that each finding belongs to: among those of its symbol if it names one, else of all."""
+    li, n = _t(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    symbol = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    r = li.select(F.col("l_orderkey").alias("path"), n.alias("routine"), symbol(F.col("l_suppkey") % 3).alias("symbol"), (100 - 10 * n).alias("lo"), (100 + 10 * n).alias("hi"))
+    f = li.select(F.col("l_orderkey").alias("path"), (100 + F.col("l_partkey") % 70).cast("long").alias("at"), F.when(F.col("l_suppkey") % 2 == 0, symbol(F.col("l_partkey") % 4)).alias("symbol"))
+    return inc.associate(f, r).withColumnRenamed("at", "pos")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber AS m, l_suppkey % 5 AS f FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT m) AS n FROM m GROUP BY 1),

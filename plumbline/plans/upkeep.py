@@ -240,15 +240,15 @@ def crossed_alternatives(spark, sf_dir):
     return g.select("l_orderkey", F.array_join(F.array_sort(F.transform(out, lambda s: F.array_join(s, ""))), ",").alias("alternatives"))
 
 
-@query("""WITH b AS (SELECT l_partkey % 100 AS b, l_suppkey AS path, CASE l_partkey % 100 % 5 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'partial' WHEN 2 THEN 'estimated' WHEN 3 THEN 'not_applicable' ELSE 'measured' END AS state, CASE WHEN l_partkey % 100 % 3 > 0 THEN l_partkey % 100 END AS v FROM lineitem WHERE l_linenumber = 7)
-, g AS (SELECT path, max(CASE state WHEN 'unavailable' THEN 3 WHEN 'partial' THEN 2 WHEN 'estimated' THEN 2 WHEN 'measured' THEN 1 ELSE 0 END) AS r, max(v) FILTER (state NOT IN ('unavailable', 'not_applicable')) AS value FROM b GROUP BY 1)
-SELECT path, CASE WHEN path % 17 = 0 THEN 'measured' WHEN r = 3 THEN 'unavailable' WHEN r = 2 THEN 'partial' WHEN r = 1 AND value IS NULL THEN 'unavailable' WHEN r = 1 THEN 'measured' ELSE 'not_applicable' END AS state, CASE WHEN path % 17 = 0 THEN 0 ELSE value END::BIGINT AS value FROM g""")
+@query("""WITH b AS (SELECT l_orderkey AS path, CASE l_partkey % 5 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'partial' WHEN 2 THEN 'estimated' WHEN 3 THEN 'not_applicable' ELSE 'measured' END AS state, CASE WHEN l_partkey % 3 > 0 THEN l_partkey END AS v FROM lineitem)
+, g AS (SELECT path, max(CASE state WHEN 'unavailable' THEN 3 WHEN 'partial' THEN 2 WHEN 'estimated' THEN 2 WHEN 'measured' THEN 1 ELSE 0 END) AS r, max(v) FILTER (state NOT IN ('unavailable', 'not_applicable')) AS value FROM b GROUP BY 1), z AS (SELECT o_orderkey AS path FROM orders WHERE o_orderpriority = '5-LOW')
+SELECT path, CASE WHEN z.path IS NOT NULL THEN 'measured' WHEN r = 3 THEN 'unavailable' WHEN r = 2 THEN 'partial' WHEN r = 1 AND value IS NULL THEN 'unavailable' WHEN r = 1 THEN 'measured' ELSE 'not_applicable' END AS state, CASE WHEN z.path IS NOT NULL THEN 0 ELSE value END::BIGINT AS value FROM g FULL JOIN z USING (path)""")
 def file_depths(spark, sf_dir):
     """The depth of each file from its boundaries; files of contracts alone are 0."""
-    k = F.col("l_partkey") % 100
+    k = F.col("l_partkey")
     state = F.when(k % 5 == 0, "unavailable").when(k % 5 == 1, "partial").when(k % 5 == 2, "estimated").when(k % 5 == 3, "not_applicable").otherwise("measured")
-    b = _t(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(k.alias("boundary"), F.array("l_suppkey").alias("files"), state.alias("state"), F.when(k % 3 > 0, k).alias("value"))
-    return depth.per_file(b, _t(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_suppkey % 17 = 0").select(F.col("l_suppkey").alias("path")))
+    b = _t(spark, sf_dir, "lineitem").select(k.alias("boundary"), F.array("l_orderkey").alias("files"), state.alias("state"), F.when(k % 3 > 0, k).alias("value"))
+    return depth.per_file(b, _t(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("path")))
 
 
 @query("""WITH v AS (SELECT l_orderkey AS k, sqrt(sum(l_extendedprice)) AS v FROM lineitem GROUP BY 1)
@@ -282,12 +282,12 @@ def ignored_directories(spark, sf_dir):
     return p.select("page_id", files.is_ignored(F.col("path")).alias("ignored"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS path, count(*) AS n FROM lineitem WHERE l_suppkey % 9 <> 0 AND l_linenumber = 1 AND l_orderkey % 50 = l_suppkey % 50 GROUP BY 1), d AS (SELECT s_suppkey AS path FROM supplier WHERE s_suppkey % 4 <> 0)
+@query("""WITH r AS (SELECT o_custkey AS path, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT c_custkey AS path FROM customer WHERE c_acctbal >= 0)
 SELECT path, CASE WHEN n IS NULL THEN 'missing' WHEN d.path IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem FROM r FULL JOIN d USING (path) WHERE n IS NULL OR d.path IS NULL OR n > 1""")
 def inventory_problems(spark, sf_dir):
     """Paths that an analysis returned twice, lost or made up."""
-    r = _t(spark, sf_dir, "lineitem").where("l_suppkey % 9 <> 0 AND l_linenumber = 1 AND l_orderkey % 50 = l_suppkey % 50").select(F.col("l_suppkey").alias("path"))
-    return files.check_inventory(r, _t(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("path")))
+    r = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"))
+    return files.check_inventory(r, _t(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("path")))
 
 
 @query("""SELECT event_id, 3600.0::DOUBLE * (event_id % 3) + 60.0 * (user_id % 60) + 1.5 AS seconds FROM events""")

@@ -388,15 +388,21 @@ def body(tokens: list[tuple], first: int, last: int, language: str) -> list[dict
     return out
 
 
-def routines(files: DataFrame, most_tokens: int | None = 20_000, most: int | None = 512) -> DataFrame:
+def routines(files: DataFrame, most_tokens: int | None = None, most: int | None = None) -> DataFrame:
     """(path, fn, ordinal, body, failure) of the operations of ``files(path, language, content)`` in Java, Rust and
-    TypeScript; ``body`` is what ``syntax.measure`` reads, null where it is a failure.  No shuffle."""
+    TypeScript; ``body`` is what ``syntax.measure`` reads, null where it is a failure.  No shuffle.
+
+    Files are read whole.  With a bound on tokens or operations a file that goes beyond it also has a failure of its own,
+    without ``fn``, so nothing is lost unseen."""
 
     def one(path: str, language: str, content: bytes) -> Iterator[tuple]:
         if language not in ("java", "rust", "typescript"):
             return
         tokens = lex(content, most_tokens)[0]
-        for ordinal, name, owner, _, _, first, last, _, _ in operations.find(content, language, most_tokens, most)[0]:
+        found, _, limited = operations.find(content, language, most_tokens, most)
+        if limited:
+            yield path, None, None, None, f"read up to {most_tokens} tokens and {most} operations only"
+        for ordinal, name, owner, _, _, first, last, _, _ in found:
             fn = f"{owner}.{'<init>' if name in (owner, 'constructor') else name}" if owner else name
             try:
                 yield path, fn, ordinal, json.dumps(body(tokens, first, last, language)), None
@@ -406,6 +412,11 @@ def routines(files: DataFrame, most_tokens: int | None = 20_000, most: int | Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [r for p, k, t in zip(b["path"], b["language"], b["content"]) for r in one(p, k or "", t or b"")]
-            yield pd.DataFrame(rows, columns=["path", "fn", "ordinal", "body", "failure"])
+            yield pd.DataFrame(rows, columns=["path", "fn", "ordinal", "body", "failure"]).astype({"ordinal": "Int32"})
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """(path, failure) of the files of which not all was read."""
+    return found.where("failure IS NOT NULL").select("path", "failure")
 
     return files.select(F.col("path").cast("string").alias("path"), "language", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, fn string, ordinal int, body string, failure string")

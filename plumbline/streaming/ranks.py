@@ -74,9 +74,10 @@ def histogram_moves(old: DataFrame, new: DataFrame, bin: str = "bin") -> DataFra
 
 
 def current(rows: DataFrame) -> DataFrame:
-    """Rows of the last ``generation`` of each scope; late answers of earlier ones go."""
-    w = Window.partitionBy("scope")
-    return rows.withColumn("_last", F.max("generation").over(w)).where("generation = _last").drop("_last")
+    """Rows of the last ``generation`` of each scope; late answers of earlier ones go.  The last generations are one row a
+    scope, summed up in each task; rows of no scope belong together."""
+    last = rows.groupBy(F.col("scope").alias("_scope")).agg(F.max("generation").alias("_last"))
+    return rows.join(last, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("generation") == F.col("_last"))).select(*rows.columns)
 
 
 def freshness(events: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Trees of Java, Rust and TypeScript routines: complexity that was worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import syntax
-from plumbline.sources import curly, operations
+from plumbline.sources import curly, golang, operations
 from plumbline.sources.lexer import lex
 
 
@@ -53,3 +54,18 @@ def test_rows_and_failures(spark):
     assert {(r.path, r.fn): r.failure is None for r in found.collect()} == {("a.java", "T.<init>"): True, ("a.java", "T.f"): True, ("b.rs", "S.go"): True, ("b.rs", "bad"): False}
     got = {(r.path, r.fn): r.cyclomatic for r in syntax.measure(found.where("failure IS NULL")).collect()}
     assert got == {("a.java", "T.<init>"): 2, ("a.java", "T.f"): 1, ("b.rs", "S.go"): 2}
+
+
+def test_files_are_read_whole(spark):
+    """600 methods, and 20 of which each is long; with bounds the loss is a failure."""
+    many = "class T {" + "".join(f" int f{i}(int a) {{ return a; }}" for i in range(600)) + "}"
+    long = "class T {" + "".join(f" int f{i}(int a) {{ {'a = a + 1; ' * 500} return a; }}" for i in range(20)) + "}"
+    files = spark.createDataFrame([("many", "java", many), ("long", "java", long), ("empty", "java", None)], "path string, language string, content string")
+    got = curly.routines(files)
+    assert {r.path: r.n for r in got.groupBy("path").agg(F.count("body").alias("n")).collect()} == {"many": 600, "long": 20}
+    assert curly.failures(got).count() == 0
+    cut = curly.routines(files, 20_000, 512)
+    assert sorted(r.path for r in curly.failures(cut).collect()) == ["long", "many"]
+    assert {r.path: r.n for r in cut.groupBy("path").agg(F.count("fn").alias("n")).collect()}["many"] == 512
+    state = golang.coverage(files, curly.failures(cut), ["cyclomatic"], [])
+    assert {r.path: r.state for r in state.collect()} == {"many": "failed", "long": "failed", "empty": "complete"}
