@@ -121,6 +121,14 @@ def join_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", t
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(keyed.where(F.col(n) <= most), key))
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key) for keys of which some may have a large share of the rows: these
+    are counted first, each task adding up its own, and then joined by :func:`join_by_hot_key`."""
+    (n,) = spare(rows.join(keyed.limit(0), key), "n")
+    counted = materialize(keyed.join(rows.groupBy(key).agg(F.count("*").alias(n)), key), "counted")
+    return join_by_hot_key(rows, counted, key, n).drop(n)
+
+
 @contextmanager
 def sized_shuffles(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
     """Within it a shuffle has a partition for each ``each`` of ``rows`` narrow rows, but never more than the

@@ -93,19 +93,23 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 13, max_broadcast: int
         counts = text.groupBy("key").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").alias("copies"), F.lit(False).alias("suspect"))
         return counts, docs.sparkSession.createDataFrame([], "key struct<doc_id: bigint, rid: bigint>, at int, size int, wid long"), holders
     limit = common.BROADCAST_BYTES if max_broadcast is None else max_broadcast
-    hint = F.broadcast if stats["bytes"] <= limit else (lambda d: d.hint("merge"))
+    small = stats["bytes"] <= limit
     counts = common.materialize(_suspects(text, w, sizes, max_broadcast), "counts")
 
     def again(keys: DataFrame) -> DataFrame:
         return text.join(common.broadcast_if_small(keys, max_broadcast), "key", "left_semi")
 
     spots = again(counts.where("suspect").select("key")).select("key", F.explode(F.concat(*[_spots(F.col("w"), s) for s in sizes])).alias("p")).select("key", "p.*")
-    met = common.materialize(spots.join(hint(w.select("hash", "size", "wid")), ["hash", "size"]).select("key", "at", "size", "wid").distinct(), "met")
+    spots = spots.select("key", "at", F.struct("hash", "size").alias("gram"))
+    known = w.groupBy(F.struct("hash", "size").alias("gram")).agg(F.collect_list("wid").alias("wids"))
+    met = spots.join(F.broadcast(known), "gram") if small else common.join_counted(spots, known, "gram")
+    met = common.materialize(met.select("key", "at", "gram.size", F.explode("wids").alias("wid")).distinct(), "met")
     # the words of a hit; a document has as many hits as words times sizes at most
     of = met.groupBy("key").agg(F.collect_list(F.struct("at", "size", "wid")).alias("hits"))
     cut = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), h["wid"].alias("wid"), F.slice("w", h["at"] + 1, h["size"]).alias("gram")))
     found = again(common.materialize(met.select("key").distinct(), "hit-keys")).join(of, "key").select("key", F.explode(cut).alias("h")).select("key", "h.*")
-    hits = found.join(hint(w.select("wid", "window")), "wid").where(F.col("gram") == F.col("window"))
+    grams = w.select("wid", "window")
+    hits = (found.join(F.broadcast(grams), "wid") if small else common.join_counted(found, grams, "wid")).where(F.col("gram") == F.col("window"))
     return counts, hits.select("key", "at", "size", "wid").distinct(), holders
 
 
@@ -120,7 +124,10 @@ def covered(hits: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, bench: DataFrame, n: int, percent: int, max_broadcast: int | None) -> DataFrame:
     counts, hits, holders = find_hits(docs, bench, n, max_broadcast)
     hits = common.materialize(hits, "hits")
-    pairs = hits.select("key", "wid").distinct().join(common.broadcast_if_small(holders, max_broadcast), "wid")
+    pairs = hits.select("key", "wid").distinct()
+    items = holders.groupBy("wid").agg(F.collect_set("item").alias("item"))
+    small = common.size_in_bytes(holders) <= (common.BROADCAST_BYTES if max_broadcast is None else max_broadcast)
+    pairs = (pairs.join(F.broadcast(items), "wid") if small else common.join_counted(pairs, items, "wid")).select("key", F.explode_outer("item").alias("item"))
     items = pairs.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = covered(hits).join(items, "key", "left")
     none = F.array().cast("array<string>")

@@ -13,6 +13,10 @@ For each document four pieces of evidence are multiplied:
 A document is rejected (language ``und``) if it has no letters, or if no language reaches
 ``min_posterior`` or the background is likelier than all languages.  Where no row declares a
 language there is no model: every language is ``und``, and nothing is rejected (``accepted`` is null).
+
+A language has a model if more than ``LANGUAGE_SHARE`` of all rows that declare one declare it, and ``LANGUAGE_ROWS`` or more, so
+at most 1 / ``LANGUAGE_SHARE`` languages have one, whatever strings are declared.  A document that declares any other is
+never rejected for its text: it has the language that the model accepts, else ``und`` with ``accepted`` null.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from . import common
 
 #: Documents of each declared language that its n-gram model is counted on, about: by a hash.
 TRAIN_ROWS = 20_000
+#: Share of the rows with a declaration, and rows, that a language needs for a model.
+LANGUAGE_SHARE, LANGUAGE_ROWS = 1e-3, 3
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
 #: Pseudo-counts: of an n-gram bucket, of the suffix in a host, of the corpus in a suffix.
@@ -88,13 +94,15 @@ class TextModel:
 
 
 def train_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    """Count n-grams of ``docs(id, text, declared)`` for every declared language, on all its
+    """Count n-grams of ``docs(id, text, declared)`` for every language that is declared often enough, on all its
     documents or about ``rows`` of them.  What reaches the driver is bounded by buckets times
-    languages."""
+    languages, of which there are at most 1 / ``LANGUAGE_SHARE``."""
     spark = docs.sparkSession
     common.small_batches(spark)
     known = docs.where("declared IS NOT NULL AND declared <> '' AND text IS NOT NULL").select("id", "declared", "text")
-    sizes = sorted(tuple(r) for r in known.groupBy("declared").count().collect())
+    declared = common.materialize(known.groupBy("declared").agg(F.count("*").alias("n")), "declared")
+    least = max(LANGUAGE_ROWS, int(LANGUAGE_SHARE * (declared.agg(F.sum("n")).first()[0] or 0)) + 1)
+    sizes = sorted(tuple(r) for r in declared.where(F.col("n") >= least).collect())
     names = tuple(name for name, _ in sizes)
     of = spark.createDataFrame([(name, i, n) for i, (name, n) in enumerate(sizes)], "declared string, language int, size long")
     # a hash in [0, 1) under the share asked for; a language of at most that many rows is whole
@@ -156,13 +164,15 @@ def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> D
     for r in tally().collect():
         corpus[r.best] += r.n
     corpus /= corpus.sum()
-    # how each language is declared: at most a row for each two names
-    said, at = np.full((k, k), 0.5), {name: i for i, name in enumerate(names)}
-    for r in tally("declared").where(F.col("declared").isin(*names)).collect():
-        said[at[r.declared], r.best] += r.n
-    said = np.log(said / said.sum(axis=0))
-    declared = e.sparkSession.createDataFrame([(name, said[i].tolist()) for i, name in enumerate(names)], "declared string, say array<double>")
-    e = e.join(F.broadcast(declared), "declared", "left")
+    # how each language is declared: what is never met has one value for each language, the rest is sparse
+    spark, said, sums = e.sparkSession, {name: {} for name in names}, np.full(k, 0.5 * k)
+    modelled = spark.createDataFrame([(name,) for name in names], "declared string")
+    for r in tally("declared").join(F.broadcast(modelled), "declared").collect():
+        said[r.declared][r.best] = r.n
+        sums[r.best] += r.n
+    unsaid = F.array(*[F.lit(float(x)) for x in np.log(0.5 / sums)])
+    rows = [(name, {i: float(np.log((n + 0.5) / sums[i])) for i, n in met.items()}) for name, met in said.items()]
+    e = e.join(F.broadcast(spark.createDataFrame(rows, "declared string, say map<int, double>")), "declared", "left")
 
     for c in ("suffix", "host"):
         seen = common.materialize(tally(c).where(F.col(c) != ""), c)
@@ -174,17 +184,20 @@ def identify(docs: DataFrame, model: TextModel, min_posterior: float = 0.5) -> D
     def log(i: Column) -> Column:
         by_suffix = (or_0(F.try_element_at("suffix_n", i)) + SUFFIX_WEIGHT * F.get(prior, i)) / (or_0(F.col("suffix_all")) + SUFFIX_WEIGHT)
         by_host = (or_0(F.try_element_at("host_n", i)) + HOST_WEIGHT * by_suffix) / (or_0(F.col("host_all")) + HOST_WEIGHT)
-        return F.get("loglik", i) + F.log(by_host) + or_0(F.get("say", i))
+        say = F.when(F.col("say").isNotNull(), F.coalesce(F.try_element_at("say", i), F.get(unsaid, i))).otherwise(0.0)
+        return F.get("loglik", i) + F.log(by_host) + say
 
     # background: as likely as one document in a thousand, and blind to declarations
     logs = F.concat(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), log), F.array(F.get("loglik", F.lit(k)) + F.lit(float(np.log(1e-3)))))
-    e = e.select("id", "n_words", logs.alias("logs"))
+    foreign = (F.col("declared") != "") & F.col("say").isNull()
+    e = e.select("id", "n_words", foreign.alias("foreign"), logs.alias("logs"))
     e = e.withColumn("top", F.array_max("logs"))
     mass = F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda s, v: s + v)
-    e = e.select("id", "n_words", (F.array_position("logs", F.col("top")).cast("int") - 1).alias("at"), F.round(1 / mass, 6).alias("posterior"))
+    e = e.select("id", "n_words", "foreign", (F.array_position("logs", F.col("top")).cast("int") - 1).alias("at"), F.round(1 / mass, 6).alias("posterior"))
     accepted = (F.col("n_words") > 0) & (F.col("at") < k) & (F.col("posterior") >= min_posterior)
     language = F.when(accepted, F.element_at(F.array(*[F.lit(x) for x in names]), F.least(F.col("at") + 1, F.lit(k)))).otherwise("und")
-    return e.select("id", language.alias("language"), "posterior", "n_words", accepted.alias("accepted"))
+    unsure = F.when(~(F.col("foreign") & (F.col("n_words") > 0)) | accepted, accepted)
+    return e.select("id", language.alias("language"), "posterior", "n_words", unsure.alias("accepted"))
 
 
 def from_documents(docs: DataFrame) -> DataFrame:

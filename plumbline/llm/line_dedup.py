@@ -100,8 +100,11 @@ def near_lines(docs: DataFrame, classes: DataFrame, near_chars: int) -> DataFram
     survivors = halves.join(shared, "half").groupBy("h1", "h2").agg(F.max("head").alias("head"), F.min("head").alias("only"))
     survivors = common.materialize(survivors.select("h1", "h2", "head", (~F.col("only")).alias("tail")), "survivors")
     # their texts, by another look at the documents
-    texts = lines(docs, near_chars).select("h1", "h2", "line").join(common.broadcast_if_small(survivors), ["h1", "h2"])
-    texts = texts.groupBy("h1", "h2").agg(*[F.min(x).alias(x) for x in ("line", "head", "tail")])
+    texts = lines(docs, near_chars).select("h1", "h2", "line")
+    if common.size_in_bytes(survivors) <= common.BROADCAST_BYTES:
+        texts = texts.join(F.broadcast(survivors), ["h1", "h2"]).groupBy("h1", "h2").agg(*[F.min(x).alias(x) for x in ("line", "head", "tail")])
+    else:  # a line that very many documents have is one row a task before it is shuffled
+        texts = texts.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(survivors.hint("merge"), ["h1", "h2"])
     texts = common.materialize(texts.join(classes.select("h1", "h2", "at"), ["h1", "h2"]).select("h1", "h2", "at", "line", "head", "tail"), "near-lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +150,12 @@ def _dropped(docs: DataFrame, min_chars: int, near_chars: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = common.materialize(distinct_lines(docs, min_chars), "lines")
     near = common.materialize(near_lines(docs, classes, max(min_chars, near_chars)), "near")
-    bad = classes.select("h1", "h2", "at", "n").join(common.broadcast_if_small(near.withColumn("near", F.lit(True))), ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    bad = classes.select("h1", "h2", "at", "n").join(common.broadcast_if_small(near.withColumn("near", F.lit(True))), ["h1", "h2"], "left").where("n > 1 OR near").select(F.struct("h1", "h2").alias("line"), F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "n")
     bad = common.materialize(bad, "repeated")
-    dropped = lines(docs, min_chars).select("h1", "h2", "at").join(common.broadcast_if_small(bad), ["h1", "h2"]).where(F.col("near") | (F.col("at") != F.col("first")))
+    found = lines(docs, min_chars).select(F.struct("h1", "h2").alias("line"), "at")
+    # a menu line or a brace may be a large share of all lines
+    small = common.size_in_bytes(bad) <= common.BROADCAST_BYTES
+    dropped = (found.join(F.broadcast(bad), "line") if small else common.join_by_hot_key(found, bad, "line")).where(F.col("near") | (F.col("at") != F.col("first")))
     return dropped.groupBy(F.struct("at.doc_id", "at.rid").alias("key")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
 
 

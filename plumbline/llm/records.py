@@ -157,7 +157,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                 filesystem.move(f"{target}/{mine}.{kind}", f"{target}/{name}.{kind}")
             yield pd.DataFrame({"part": [part], "name": [name], "n_docs": [docs_], "n_tokens": [tokens]})
 
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that very many rows repeat is cut between texts that begin in another way
+    ordered = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return sorted((r.part, r.name, r.n_docs, r.n_tokens) for r in ordered.mapInPandas(write, _WRITTEN).collect())
 
 
