@@ -35,6 +35,8 @@ from .bytewords import WHITE, Words, as_array, as_bytes, closed, crc32, slices,
 
 CLASSES, FORMS, ROUNDS = 64, 256, 8
 SHARE, MIN_COUNT = 1e-6, 3
+#: Pairs, about, that a task adds up before it gives them on.
+PAIRS = 2_000_000
 #: What is added to each count of a word.
 ADDED = 0.1
 #: The end of a text among the words; no word holds it.
@@ -123,13 +125,24 @@ def unit_pairs(texts: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = bc.value
         several = np.int64(len(units.n))
+        held: list[np.ndarray] = []
+
+        def added() -> pa.RecordBatch:
+            ids, met = pd.factorize(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(met // several, pa.int32()), pa.array(met % several, pa.int32()), pa.array(np.bincount(ids, minlength=len(met)), pa.int64())], ["a", "b", "n"])
+
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part["text"], WHITE)
                 coded = as_array(w, kind=pa.string()).dictionary_encode()
                 token, _ = _with_ends(w, units.of(coded.dictionary)[coded.indices.to_numpy()], 0)
-                ids, met = pd.factorize(np.r_[0, token[:-1]] * several + token)
-                yield pa.RecordBatch.from_arrays([pa.array(met // several, pa.int32()), pa.array(met % several, pa.int32()), pa.array(np.bincount(ids, minlength=len(met)), pa.int64())], ["a", "b", "n"])
+                held.append(np.r_[0, token[:-1]] * several + token)
+                if sum(map(len, held)) >= PAIRS:
+                    yield added()
+                    held = []
+        if held:
+            yield added()
+        common.release_memory()
 
     return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -187,20 +200,27 @@ def _moves(vectors: DataFrame, pairs: np.ndarray, classes: np.ndarray) -> DataFr
     return vectors.mapInArrow(run, "unit int, class int")
 
 
-def exchange(pairs: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """The class of each unit, the counts of class pairs, and the likelihood of each round that was kept.
+def contexts(pairs: DataFrame) -> DataFrame:
+    """(unit, other, side, n) of ``pairs(a, b, n)``: what stands behind (0) and before (1) each unit, and how often itself (2).
 
-    At first the most frequent units have a class each, but for the last class, which has all others.
-    """
-    spark = pairs.sparkSession
+    A unit's rows lie in few places, so that a task adds most of them up before the shuffle of a round; a common one is dealt
+    by its neighbours."""
     both = F.array(
         F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.lit(0).alias("side")),
         F.struct(F.col("b").alias("unit"), F.col("a").alias("other"), F.lit(1).alias("side")),
         F.when(F.col("a") == F.col("b"), F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.lit(2).alias("side"))),
     )
-    context = pairs.select(F.explode(F.array_compact(both)).alias("x"), "n").select("x.*", "n")
-    # units lie together, so a task adds most of a unit up before the shuffle of each round
-    context = common.materialize(context.repartitionByRange("unit", "other").sortWithinPartitions("unit", "side"), "context")
+    rows = pairs.select(F.explode(F.array_compact(both)).alias("x"), "n").select("x.*", "n")
+    return rows.repartition("unit", F.shiftright("other", 12)).sortWithinPartitions("unit")
+
+
+def exchange(context: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The class of each unit, the counts of class pairs, and the likelihood of each round that was kept, from a written table of
+    :func:`contexts`.
+
+    At first the most frequent units have a class each, but for the last class, which has all others.
+    """
+    spark = context.sparkSession
     now = np.full(len(n), classes - 1, np.int64)
     first = np.argsort(-n, kind="stable")[: classes - 1]
     now[first] = np.arange(len(first))
@@ -272,8 +292,11 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share:
     texts = docs.select(closed(F.col("text")).alias("text"))
     counts = common.materialize(token_counts(texts, n_forms), "tokens")
     units, rest = choose_units(counts, share, min_count, n_forms)
-    pairs = common.materialize(unit_pairs(texts, units), "pairs")
-    of, table, history = exchange(pairs, units.n, classes, rounds)
+    made: list[str] = []
+    pairs = common.materialize(unit_pairs(texts, units), "pairs", made)
+    context = common.materialize(contexts(pairs), "context")
+    common.drop_path(docs.sparkSession, made[0])
+    of, table, history = exchange(context, units.n, classes, rounds)
     return Model(units, of, *smoothed(units, of, table), common.materialize(rest, "rest"), history)
 
 
