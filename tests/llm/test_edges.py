@@ -251,3 +251,61 @@ def test_scratch_is_deleted(spark, tmp_path):
     assert a.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(gone[0])
+
+
+def test_junk_declarations(spark):
+    """Thousands of strings that are declared once or twice get no model, and reject nothing; odd rows have a stated result."""
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "nopqrstu"}
+    write = lambda name: " ".join("".join(rng.choice(letters[name]) for _ in range(5)) for _ in range(30))
+    rows = [(i, write("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb", "h", i) for i in range(200)]
+    rows += [(1000 + i, write("aa"), f"junk{i}", "h", i) for i in range(5000)] + [(6000 + i, "日本 語", f"odd{i}", "h", i) for i in range(200)]
+    rows += [(9001, None, "junk1", "h", 0), (9002, "", None, None, None), (9003, " 12 \n", "aa", "h", 0), (None, write("bb"), None, None, None), (9004, "abc " * 50_000, "", "h", 0), (9004, "abc " * 50_000, "", "h", 0)]
+    docs = spark.createDataFrame(rows, ROWS)
+    e = language_id.from_documents(docs)
+    model = language_id.train_text_model(e)
+    assert model.languages == ("aa", "bb")
+    got = {(r.id, r.language, r.accepted) for r in language_id.identify(e, model).collect()}
+    assert {(i, "aa" if i % 2 else "bb", True) for i in range(200)} <= got and {(1000 + i, "aa", True) for i in range(5000)} <= got
+    assert len(got) == len(rows) - 1 and all(a is not False for i, _, a in got if i is None or i < 9000)
+    assert {x for x in got if x[0] is None or x[0] > 9000} == {(9001, "und", False), (9002, "und", False), (9003, "und", False), (None, "bb", True), (9004, "aa", True)}
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 3 and kept.where("doc_id IN (9001, 9002, 9003)").count() == 0
+
+
+def test_line_in_most_documents(spark, way):
+    """One menu line that most documents have, and a near one: all but the first go, broadcast or shuffled with hot keys."""
+    menu = "Home | About us | Contact | Imprint"
+    rng = random.Random(2)
+    own = ["".join(rng.choices("abcdefgh", k=40)) for _ in range(300)]
+    rows = [(i, f"{menu}\n{own[i]}\n}}") for i in range(300)] + [(300 + i, menu + "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: rows[0][1]} | {i: own[i] for i in range(1, 300)} | {300 + i: "" for i in range(40)}
+
+
+def test_window_in_most_documents(spark):
+    """A benchmark passage that most documents hold, in the shuffled way too."""
+    words = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "short one"), (None, " ".join(words[::-1]))], "item_id long, text string")
+    rows = [(i, f"start{i} " + " ".join(words[:15]) + f" end{i}") for i in range(400)] + [(400, "nothing here"), (401, None), (402, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (None, -1):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.contamination(docs, bench, max_broadcast=most).collect()}
+        assert all(got[i] == (15, 1, True) for i in range(400)) and got[400] == (0, 0, False) and got[401] == (0, 0, False) and got[402] == (20, 0, True)
+
+
+def test_records_of_one_id(spark, tmp_path):
+    """Rows that repeat one id are cut between files, in the order of id and text."""
+    from plumbline.llm import records
+
+    rows = [(7, f"{chr(97 + i % 26)} text {i}") for i in range(200)] + [(3, "x"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = records.write_records(docs, f"file://{tmp_path}/r", "word_bpe_49k.json", partitions=4)
+    assert len(files) > 1 and max(f[2] for f in files) < 150
+    back = sorted(records.read_records(spark, f"file://{tmp_path}/r", files).collect(), key=lambda r: r.start)
+    from plumbline.llm import tokenizing
+
+    encode = tokenizing.json_encoder(tokenizing.tokenizer_path("word_bpe_49k.json")).encode
+    want = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    assert [(r.doc_id, r.n_tokens) for r in back] == [(d, len(encode(t or "")) // 4 + 1) for d, t in want]
