@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flow
+from ..operators import flow, method_sets
 from .catalog import _t, query
 
 # A routine is an order, its blocks are the lines; each leads to the next, and some to another one.
@@ -61,3 +61,21 @@ def released_resources(spark, sf_dir):
     events = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("routine"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("pos"), (F.col("l_suppkey") % 3).alias("resource"), kind.alias("kind"))
     out = flow.held_at_exits(edges, entries, events)
     return out.withColumn("exits_held", F.array_join("exits_held", ","))
+
+
+@query("""WITH RECURSIVE t AS (SELECT c_custkey AS type FROM customer), e AS (SELECT c_custkey AS type, c_custkey // 2 AS embedded FROM customer WHERE c_custkey > 1 UNION ALL SELECT o_custkey, o_custkey // 3 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey > 2 GROUP BY 1, 2),
+m AS (SELECT DISTINCT o_custkey AS type, o_orderkey % 20 AS name, 'method' AS kind FROM orders UNION ALL SELECT c_custkey, 10 + c_nationkey, 'field' FROM customer),
+w AS (SELECT type, type AS holder, 0 AS depth FROM t UNION ALL SELECT w.type, e.embedded, depth + 1 FROM w JOIN e ON e.type = w.holder),
+l AS (SELECT w.type, name, depth, count(*) AS n, min(holder) AS origin, min(kind) AS kind FROM w JOIN m ON m.type = w.holder GROUP BY 1, 2, 3),
+f AS (SELECT type, name, min(depth) AS depth FROM l GROUP BY 1, 2)
+SELECT type, name, origin, depth FROM l JOIN f USING (type, name, depth) WHERE n = 1 AND kind = 'method'""")
+def promoted_methods(spark, sf_dir):
+    """Methods of every type through the types it embeds; customers are types that embed others of smaller numbers."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    types = c.select(F.col("c_custkey").alias("type"))
+    up = lambda key, by: F.floor(F.col(key) / by).cast("long").alias("embedded")
+    urgent = o.where("o_orderpriority = '1-URGENT' AND o_custkey > 2").select(F.col("o_custkey").alias("type"), up("o_custkey", 3)).distinct()
+    embeds = c.where("c_custkey > 1").select(F.col("c_custkey").alias("type"), up("c_custkey", 2)).unionByName(urgent)
+    methods = o.select(F.col("o_custkey").alias("type"), (F.col("o_orderkey") % 20).cast("long").alias("name"), F.lit("method").alias("kind"))
+    fields = c.select(F.col("c_custkey").alias("type"), (10 + F.col("c_nationkey")).cast("long").alias("name"), F.lit("field").alias("kind"))
+    return method_sets.method_sets(types, methods.unionByName(fields), embeds)
