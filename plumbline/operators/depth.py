@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ BURDEN_WEIGHTS = {"O": 8, "T": 4, "A": 2, "E": 1, "P": 8, "S": 8, "L": 16}
 
 
 def burden(parts: Column) -> Column:
-    """Eighths of burden of a struct with the parts O, T, A, E, P, S and L."""
-    terms = [parts[p] * w for p, w in BURDEN_WEIGHTS.items()]
-    return sum(terms[1:], terms[0]).cast("long")
+    """Eighths of burden of a struct with the parts O, T, A, E, P, S and L; null if a part is null or negative, or the sum beyond 64 bits."""
+    part = lambda p: F.when(parts[p] >= 0, parts[p]).cast("long")
+    terms = [F.try_multiply(part(p), F.lit(w).cast("long")) for p, w in BURDEN_WEIGHTS.items()]
+    return reduce(F.try_add, terms)
 
 
 def hidden(alternatives: Column, categories: Column) -> Column:

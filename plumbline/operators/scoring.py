@@ -95,16 +95,17 @@ def merge_boundaries(rows: DataFrame) -> DataFrame:
 
     The worst state counts.  Measured scores that differ, or inventories with different fingerprints,
     withhold the score and make the boundary unavailable; a boundary that is unavailable or not
-    applicable has none.
+    applicable has none.  With a column ``estimated``, one row that says so makes a measured boundary partial.
     """
+    guess = F.coalesce(F.bool_or("estimated"), F.lit(False)) if "estimated" in rows.columns else F.lit(False)
     measured = F.when(F.col("state") == "measured", F.col("score"))
     known = F.when(F.coalesce("fingerprint", F.lit("")) != "", F.col("fingerprint"))
     g = rows.groupBy("boundary").agg(
         F.max_by("state", state_rank(F.col("state"))).alias("worst"), F.min(measured).alias("lo"), F.max(measured).alias("hi"),
-        F.min(known).alias("first"), F.max(known).alias("last"), F.min("score").alias("some"),
+        F.min(known).alias("first"), F.max(known).alias("last"), F.min("score").alias("some"), guess.alias("guess"),
     )
     conflict = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) | F.coalesce(F.col("first") != F.col("last"), F.lit(False))
-    state = F.when(conflict, "unavailable").otherwise(F.col("worst"))
+    state = F.when(conflict, "unavailable").when(F.col("guess") & (F.col("worst") == "measured"), "partial").otherwise(F.col("worst"))
     return g.select("boundary", state.alias("state"), F.when(~state.isin("unavailable", "not_applicable"), F.coalesce("lo", "some")).alias("score"))
 
 

@@ -69,8 +69,16 @@ def cell(value: Column, available: Column, failed: Column) -> Column:
     return F.when(failed, "X").when(~available | value.isNull(), "-").otherwise(F.format_string("%.1f", value.cast("double")))
 
 
+# Units of durations, in seconds.
+_UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+
+
 def seconds(text: Column) -> Column:
-    """Seconds of a duration such as ``1h30m``, ``10m``, ``1.5s`` or ``250ms``; null if it isn't one."""
-    n = lambda unit: F.coalesce(F.regexp_extract(text, rf"(?:^|[a-z])(\d+(?:\.\d+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
-    fine = text.rlike(r"^(\d+(\.\d+)?h)?(\d+(\.\d+)?m)?(\d+(\.\d+)?s)?(\d+(\.\d+)?ms)?$") & (F.char_length(text) > 0)
-    return F.when(fine, 3600 * n("h") + 60 * n("m") + n("s") + n("ms") / 1000)
+    """Seconds of a duration such as ``1h30m``, ``5m2h``, ``.5s``, ``100us``, ``-1.5ms`` or ``0``: numbers with units in any order; null if it
+    isn't one."""
+    part = rf"(\d+\.?\d*|\.\d+)({'|'.join(_UNITS)})"
+    units = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair])
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(part), 1), F.regexp_extract_all(text, F.lit(part), 2), lambda n, u: n.cast("double") * F.element_at(units, u))
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    whole = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
+    return F.when(text.rlike(rf"^[-+]?({part})+$"), sign * whole).when(text.rlike(r"^[-+]?0$"), 0.0)

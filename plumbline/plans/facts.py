@@ -162,6 +162,15 @@ def boundary_conflicts(spark, sf_dir):
     return sc.merge_boundaries(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("boundary"), state.alias("state"), score.alias("score"), fp.alias("fingerprint")))
 
 
+@query("""WITH r AS (SELECT l_orderkey AS boundary, CASE WHEN l_quantity < 2 THEN 'unavailable' ELSE 'measured' END AS state, l_orderkey % 9 AS score, l_discount > 0.09 AS estimated FROM lineitem)
+SELECT boundary, CASE WHEN bool_or(state = 'unavailable') THEN 'unavailable' WHEN bool_or(estimated) THEN 'partial' ELSE 'measured' END AS state, CASE WHEN NOT bool_or(state = 'unavailable') THEN min(score) END::BIGINT AS score FROM r GROUP BY 1""")
+def estimated_boundaries(spark, sf_dir):
+    """One row a boundary; what is estimated makes a measured one partial."""
+    state = F.when(F.col("l_quantity") < 2, "unavailable").otherwise("measured")
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("boundary"), state.alias("state"), (F.col("l_orderkey") % 9).cast("long").alias("score"), F.lit(None).cast("string").alias("fingerprint"), (F.col("l_discount") > 0.09).alias("estimated"))
+    return sc.merge_boundaries(rows)
+
+
 @query("SELECT lang AS language, count(DISTINCT source)::BIGINT AS files FROM documents GROUP BY lang")
 def files_by_language(spark, sf_dir):
     return files.by_language(_t(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("source").alias("path")))

@@ -290,14 +290,33 @@ def inventory_problems(spark, sf_dir):
     return files.check_inventory(r, _t(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("path")))
 
 
-@query("""SELECT event_id, 3600.0::DOUBLE * (event_id % 3) + 60.0 * (user_id % 60) + 1.5 AS seconds FROM events""")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 0.0 WHEN 1 THEN (user_id % 60) * 60 + 7200.0 WHEN 2 THEN 0.5 + (user_id % 60) WHEN 3 THEN (user_id % 60) * 1e-3 WHEN 4 THEN -60.0 * (user_id % 60) WHEN 5 THEN 3600.0 * (event_id % 3) + 60.0 * (user_id % 60) + 1.5 END::DOUBLE AS seconds FROM events""")
 def durations(spark, sf_dir):
-    """Seconds of durations such as 2h5m1.5s."""
-    h, m = F.col("event_id") % 3, F.col("user_id") % 60
-    text = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), m.cast("string"), F.lit("m1s500ms"))
+    """Seconds of durations such as 2h5m1.5s, with units in any order, without a number before the point, and of what is none."""
+    k, m = F.col("event_id") % 7, (F.col("user_id") % 60).cast("string")
+    t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = F.when(k == 0, "0").when(k == 1, t(m, "m2h")).when(k == 2, t(".5s", m, "s")).when(k == 3, t(m, "ms")).when(k == 4, t("-", m, "m")).when(k == 5, t((F.col("event_id") % 3).cast("string"), "h", m, "m1s500ms")).otherwise(t(m, "x", m))
     return _t(spark, sf_dir, "events").select("event_id", views.seconds(text).alias("seconds"))
 
 
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 7.0 / l_quantity AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN abs(v) >= 4503 THEN v ELSE sign(v) * floor(abs(v) * 1e12 + 0.5) / 1e12 END::DOUBLE AS exact FROM s""")
+def exact_severities(spark, sf_dir):
+    """Severities at the twelfth place, not rounded any further."""
+    v = F.col("l_extendedprice") / 7.0 / F.col("l_quantity")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sev.exact(v).alias("exact"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey::HUGEINT * 1000000000000000 AS o, l_suppkey::HUGEINT * 4000000000000 AS l, l_linenumber AS n FROM lineitem), b AS (SELECT *, 8 * o + 4 * n + 2 * n + n + 8 * n + 8 * n + 16 * l AS b8 FROM p)
+SELECT l_orderkey, l_linenumber, CASE WHEN b8 <= 9223372036854775807 THEN b8 END::VARCHAR AS b8 FROM b""")
+def burden_overflow(spark, sf_dir):
+    """Burdens near the end of 64 bits; those beyond are null."""
+    big = lambda c, by: F.try_multiply(F.col(c), F.lit(by))
+    n = F.col("l_linenumber")
+    parts = F.struct(big("l_partkey", 10**15).alias("O"), n.alias("T"), n.alias("A"), n.alias("E"), n.alias("P"), n.alias("S"), big("l_suppkey", 4 * 10**12).alias("L"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", depth.burden(parts).cast("string").alias("b8"))
+
+
 @query("""SELECT doc_id, (len(regexp_extract_all(t, '[A-Za-z_][A-Za-z_0-9]*')))::BIGINT AS identifiers, len(regexp_extract_all(regexp_replace(t, '[A-Za-z_][A-Za-z_0-9]*', ' ', 'g'), '[0-9]+'))::BIGINT AS numbers
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z_0-9 \n]', ' ', 'g') AS t FROM documents)""")
 def lexed_words(spark, sf_dir):
