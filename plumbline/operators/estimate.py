@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, rounds
 from ..sources.operations import WEIGHTS
 from . import incremental as inc
 from . import shape
@@ -53,6 +53,7 @@ def reached(ops: DataFrame, edges: DataFrame, depth: int = 4, most: int = 64) ->
     return out.groupBy("path", "root", "op").agg(F.bool_or("cut").alias("cut")).select("path", "root", F.col("op.path").alias("at"), "op.ordinal", "cut")
 
 
+@rounds
 def estimate(ops: DataFrame, depth: int = 4, most: int = 64) -> DataFrame:
     """(path, burden, hidden, uncertain, ratio, penalty) of files with exposed operations.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, drop
+from ..scratch import cut, rounds
 
 #: Bits of a word of a bit set.
 BITS = 62
@@ -18,7 +18,7 @@ BITS = 62
 WITNESSES = 32
 
 
-def _tree(edges: DataFrame, entries: DataFrame, made: list[str]) -> DataFrame:
+def _tree(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(routine, node, dom): the nodes on one shortest way from the entry to each reachable node, itself included."""
     spark, paths = edges.sparkSession, []
     fresh = entries.select("routine", F.col("entry").alias("node"), F.col("entry").alias("dom")).distinct()
@@ -29,15 +29,15 @@ def _tree(edges: DataFrame, entries: DataFrame, made: list[str]) -> DataFrame:
         reached = known.select("routine", "node").distinct()
         step = fresh.select("routine", F.col("node").alias("src")).distinct().join(edges, ["routine", "src"])
         first = step.groupBy("routine", "dst").agg(F.min("src").alias("src"))
-        first = cut(first.join(reached.withColumnRenamed("node", "dst"), ["routine", "dst"], "left_anti"), made)
+        first = cut(first.join(reached.withColumnRenamed("node", "dst"), ["routine", "dst"], "left_anti"))
         if first.isEmpty():
             break
         way = first.join(fresh.withColumnRenamed("node", "src"), ["routine", "src"]).select("routine", F.col("dst").alias("node"), "dom")
         fresh = cut(way.unionByName(first.select("routine", F.col("dst").alias("node"), F.col("dst").alias("dom"))), paths)
-    made += paths
     return known
 
 
+@rounds
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(routine, node, dom) of ``edges(routine, src, dst)`` and ``entries(routine, entry)``: every node that lies on all ways from
     the entry to ``node``, which is one of them.
@@ -45,30 +45,27 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     The nodes of a shortest way are a first guess that holds all dominators; a node keeps of it what is kept by all
     nodes before it, until nothing more goes.
     """
-    made: list[str] = []
-    edges = cut(edges.select("routine", "src", "dst").distinct(), made)
-    dom = _tree(edges, entries, made)
+    edges = cut(edges.select("routine", "src", "dst").distinct())
+    dom = _tree(edges, entries)
     inside = dom.select("routine", F.col("node").alias("src")).distinct()
     own = entries.select("routine", F.col("entry").alias("dst"))
     # the entry has no dominators but itself, whatever leads back to it
-    live = cut(edges.join(inside, ["routine", "src"]).join(own, ["routine", "dst"], "left_anti"), made)
+    live = cut(edges.join(inside, ["routine", "src"]).join(own, ["routine", "dst"], "left_anti"))
     degree = live.groupBy("routine", F.col("dst").alias("node")).agg(F.count("*").alias("n_before"))
     open_, results = dom, []
     while True:
         before = live.join(open_.withColumnRenamed("node", "src"), ["routine", "src"]).groupBy("routine", F.col("dst").alias("node"), "dom").agg(F.count("*").alias("n"))
         kept = before.join(degree, ["routine", "node"]).where("n = n_before").select("routine", "node", "dom")
         nodes = open_.select("routine", "node").distinct()
-        now = cut(kept.where("node <> dom").unionByName(nodes.select("routine", "node", F.col("node").alias("dom"))), made)
+        now = cut(kept.where("node <> dom").unionByName(nodes.select("routine", "node", F.col("node").alias("dom"))))
         # routines in which nothing went are done
         size = lambda d, c: d.groupBy("routine").agg(F.count("*").alias(c))
-        moving = cut(size(open_, "a").join(size(now, "b"), "routine").where("a <> b").select("routine"), made)
+        moving = cut(size(open_, "a").join(size(now, "b"), "routine").where("a <> b").select("routine"))
         settled = cut(now.join(moving, "routine", "left_anti"), results)
         if moving.isEmpty():
             break
-        open_ = cut(now.join(moving, "routine", "left_semi"), made)
-    done = edges.sparkSession.read.schema(settled.schema).parquet(*results)
-    drop(edges.sparkSession, made)
-    return done
+        open_ = cut(now.join(moving, "routine", "left_semi"))
+    return edges.sparkSession.read.schema(settled.schema).parquet(*results)
 
 
 def immediate(dom: DataFrame) -> DataFrame:
@@ -80,12 +77,13 @@ def immediate(dom: DataFrame) -> DataFrame:
     return depth.join(near, ["routine", "node"], "left").select("routine", "node", "idom", "depth")
 
 
+@rounds
 def loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """(routine, header, node): the natural loop of each header, which dominates the start of an edge that leads back to it."""
-    spark, made, paths = edges.sparkSession, [], []
-    edges = cut(edges.select("routine", "src", "dst").distinct(), made)
+    spark, paths = edges.sparkSession, []
+    edges = cut(edges.select("routine", "src", "dst").distinct())
     inside = dom.select("routine", F.col("node").alias("src")).distinct()
-    edges = cut(edges.join(inside, ["routine", "src"]), made)
+    edges = cut(edges.join(inside, ["routine", "src"]))
     back = edges.join(dom.select("routine", F.col("node").alias("src"), F.col("dom").alias("dst")), ["routine", "src", "dst"])
     body = F.explode(F.array_distinct(F.array("dst", "src")))
     fresh = cut(back.select("routine", F.col("dst").alias("header"), body.alias("node")).distinct(), paths)
@@ -94,7 +92,6 @@ def loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
         known = spark.read.schema(schema).parquet(*paths)
         step = fresh.where("node <> header").withColumnRenamed("node", "dst").join(edges, ["routine", "dst"])
         fresh = cut(step.select("routine", "header", F.col("src").alias("node")).distinct().join(known, ["routine", "header", "node"], "left_anti"), paths)
-    drop(spark, made)
     return spark.read.schema(schema).parquet(*paths)
 
 
@@ -107,6 +104,7 @@ def nesting(dom: DataFrame, loop: DataFrame) -> DataFrame:
     return out.select("routine", "node", F.coalesce("loops", F.lit(0)).alias("loops"), F.col("near.header").alias("header"))
 
 
+@rounds
 def held_at_exits(edges: DataFrame, entries: DataFrame, events: DataFrame) -> DataFrame:
     """(routine, resource, acquired, exits, held, exits_held, released): for each resource of ``events(routine, node, pos, resource, kind)``
     that is acquired at a reachable node, whether some way leads from an acquisition to an exit without a release.
@@ -116,19 +114,19 @@ def held_at_exits(edges: DataFrame, entries: DataFrame, events: DataFrame) -> Da
     still be held, ``held`` counts all of them, and ``released`` is true if there is none and some exit is reached at all.
     Resources are bits of words by their rank in the routine, and nodes pass words on until nothing is added.
     """
-    spark, made, paths = edges.sparkSession, [], []
-    edges = cut(edges.select("routine", "src", "dst").distinct(), made)
-    nodes = _reach(edges, entries, made)
+    spark, paths = edges.sparkSession, []
+    edges = cut(edges.select("routine", "src", "dst").distinct())
+    nodes = _reach(edges, entries)
     last = events.groupBy("routine", "node", "resource").agg(F.max_by("kind", "pos").alias("kind"))
     last = last.join(nodes, ["routine", "node"], "left_semi")
     taken = events.where("kind = 'acquire'").join(nodes, ["routine", "node"], "left_semi")
     ranks = taken.groupBy("routine", "resource").agg(F.count("*").alias("acquired"))
     # the rank of a resource among those of its routine, from one sorted list of names a routine
     listed = ranks.groupBy("routine").agg(F.array_sort(F.collect_list("resource")).alias("all"))
-    place = cut(listed.select("routine", F.posexplode("all").alias("rank", "resource")).join(ranks, ["routine", "resource"]), made)
+    place = cut(listed.select("routine", F.posexplode("all").alias("rank", "resource")).join(ranks, ["routine", "resource"]))
     word, bit = F.floor(F.col("rank") / BITS).cast("int"), F.expr(f"shiftleft(1L, CAST(rank % {BITS} AS INT))")
     ones = lambda kind: F.bit_or(F.when(F.col("kind") == kind, F.col("bit")).otherwise(F.lit(0).cast("long")))
-    effect = cut(last.join(place.select("routine", "resource", word.alias("word"), bit.alias("bit")), ["routine", "resource"]).groupBy("routine", "node", "word").agg(ones("acquire").alias("gen"), ones("release").alias("kill")), made)
+    effect = cut(last.join(place.select("routine", "resource", word.alias("word"), bit.alias("bit")), ["routine", "resource"]).groupBy("routine", "node", "word").agg(ones("acquire").alias("gen"), ones("release").alias("kill")))
     # what a node leaves, as far as it is new
     fresh = cut(effect.where("gen <> 0").select("routine", "node", "word", F.col("gen").alias("bits")), paths)
     schema = fresh.schema
@@ -139,8 +137,7 @@ def held_at_exits(edges: DataFrame, entries: DataFrame, events: DataFrame) -> Da
         out = into.join(effect.select("routine", "node", "word", "kill"), ["routine", "node", "word"], "left").join(known, ["routine", "node", "word"], "left")
         left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("kill", none))).bitwiseAND(F.bitwise_not(F.coalesce("old", none)))
         fresh = cut(out.select("routine", "node", "word", left.alias("bits")).where("bits <> 0"), paths)
-    made += paths
-    exits = cut(nodes.join(edges.select("routine", F.col("src").alias("node")), ["routine", "node"], "left_anti"), made)
+    exits = cut(nodes.join(edges.select("routine", F.col("src").alias("node")), ["routine", "node"], "left_anti"))
     state = spark.read.schema(schema).parquet(*paths).join(exits, ["routine", "node"], "left_semi").groupBy("routine", "node", "word").agg(F.bit_or("bits").alias("bits"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     open_ = state.select("routine", "node", F.explode(F.transform(bits, lambda i: (F.col("word") * BITS + i).cast("int"))).alias("rank"))
@@ -152,13 +149,10 @@ def held_at_exits(edges: DataFrame, entries: DataFrame, events: DataFrame) -> Da
         "routine", "resource", "acquired", F.coalesce("exits", F.lit(0)).alias("exits"), F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("exits_held", F.array().cast(found.schema["exits_held"].dataType)).alias("exits_held"),
         (F.col("held").isNull() & F.col("exits").isNotNull()).alias("released"),
     )
-    kept: list[str] = []
-    out = cut(out, kept)
-    drop(spark, made)
     return out
 
 
-def _reach(edges: DataFrame, entries: DataFrame, made: list[str]) -> DataFrame:
+def _reach(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(routine, node) of the nodes that an entry leads to."""
     spark, paths = edges.sparkSession, []
     fresh = cut(entries.select("routine", F.col("entry").alias("node")).distinct(), paths)
@@ -167,5 +161,4 @@ def _reach(edges: DataFrame, entries: DataFrame, made: list[str]) -> DataFrame:
         known = spark.read.schema(schema).parquet(*paths)
         step = fresh.withColumnRenamed("node", "src").join(edges, ["routine", "src"]).select("routine", F.col("dst").alias("node")).distinct()
         fresh = cut(step.join(known, ["routine", "node"], "left_anti"), paths)
-    made += paths
     return spark.read.schema(schema).parquet(*paths)

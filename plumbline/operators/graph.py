@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, rounds
 from .incremental import closure
 
 
@@ -29,6 +29,7 @@ def _spread(nodes: DataFrame, edges: DataFrame, color: str) -> DataFrame:
             return now
 
 
+@rounds
 def components(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of ``units(id)``: the component is the least id of the units that reach each
     other.  Units that nothing in question depends on, or that depend on nothing, are peeled off first;
@@ -56,6 +57,7 @@ def components(units: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+@rounds
 def fingerprints(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, fingerprint) of ``units(id, key)``: SHA-256 over the keys of the component's units
     and the fingerprints of the components it depends on, so that a change reaches all that depend on it.

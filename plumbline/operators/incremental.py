@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, rounds
 
 
 def replace_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -25,6 +25,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+@rounds
 def closure(spark: SparkSession, edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) reachable from ``start(node)`` over ``edges(src, dst)``, by rounds of a semi-join
     on the new nodes until none is new, however many that takes.  Each round is a written table."""

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, drop
+from ..scratch import cut, rounds
 
 
-def embedded(types: DataFrame, embeds: DataFrame, made: list[str]) -> DataFrame:
+def embedded(types: DataFrame, embeds: DataFrame) -> DataFrame:
     """(type, holder, depth, ways) of each of ``types(type)`` and every type that ``embeds(type, embedded)`` lead to, at the least depth
     at which it is met; ``ways`` is 2 if there are several of that depth.  A round goes one level down in all types at once;
     types that embed themselves are met once."""
     spark, paths = types.sparkSession, []
-    links = cut(embeds.select(F.col("type").alias("holder"), F.col("embedded").alias("next")).where("next IS NOT NULL"), made)
+    links = cut(embeds.select(F.col("type").alias("holder"), F.col("embedded").alias("next")).where("next IS NOT NULL"))
     few = lambda c: F.least(F.lit(2), F.sum(c)).cast("int").alias("ways")
     fresh = cut(types.select("type", F.col("type").alias("holder"), F.lit(0).alias("depth"), F.lit(1).alias("ways")).where("type IS NOT NULL").distinct(), paths)
     schema, depth = fresh.schema, 0
@@ -22,10 +22,10 @@ def embedded(types: DataFrame, embeds: DataFrame, made: list[str]) -> DataFrame:
         seen = spark.read.schema(schema).parquet(*paths).select("type", F.col("holder").alias("next"))
         down = fresh.select("type", "holder", "ways").join(links, "holder").groupBy("type", "next").agg(few("ways")).join(seen, ["type", "next"], "left_anti")
         fresh = cut(down.select("type", F.col("next").alias("holder"), F.lit(depth).alias("depth"), "ways"), paths)
-    made += paths
     return spark.read.schema(schema).parquet(*paths)
 
 
+@rounds
 def method_sets(types: DataFrame, members: DataFrame, embeds: DataFrame) -> DataFrame:
     """(type, name, origin, depth): the methods of each of ``types(type)``, with the type they come from.
 
@@ -33,16 +33,12 @@ def method_sets(types: DataFrame, members: DataFrame, embeds: DataFrame) -> Data
     counts; a field hides methods that lie deeper, and two of one depth cancel each other and hide what lies
     deeper, as does one that is reached in two ways.  Null types and names take no part.
     """
-    made: list[str] = []
-    at = embedded(types, embeds, made)
+    at = embedded(types, embeds)
     m = members.where("name IS NOT NULL").select(F.col("type").alias("holder"), "name", "kind").distinct()
     # a level's members of one name are added up, so a type never meets a list of them
     level = at.join(m, "holder").groupBy("type", "name", "depth").agg(F.sum("ways").alias("ways"), F.min("holder").alias("origin"), F.min("kind").alias("kind"))
     first = level.groupBy("type", "name").agg(F.min(F.struct("depth", "ways", "origin", "kind")).alias("f"))
-    out: list[str] = []
-    found = cut(first.where("f.ways = 1 AND f.kind = 'method'").select("type", "name", "f.origin", "f.depth"), out)
-    drop(types.sparkSession, made)
-    return found
+    return first.where("f.ways = 1 AND f.kind = 'method'").select("type", "name", "f.origin", "f.depth")
 
 
 def surfaces(sets: DataFrame, methods: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, rounds
 
 
 def grouped_max(signals: DataFrame, file: str = "path", group: str = "grp") -> DataFrame:
@@ -109,6 +109,7 @@ def merge_boundaries(rows: DataFrame) -> DataFrame:
     return g.select("boundary", state.alias("state"), F.when(~state.isin("unavailable", "not_applicable"), F.coalesce("lo", "some")).alias("score"))
 
 
+@rounds
 def places_within(df: DataFrame, group: str, *order: Column) -> DataFrame:
     """Every row with its ``place`` in its ``group``, without gathering a group in one task."""
     p = cut(places(df, F.col(group), *order))

@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables of the operators with rounds that are running, by thread.
+_OPEN = threading.local()
 
 
 def root(spark: SparkSession) -> str:
@@ -35,6 +39,8 @@ def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     df.write.parquet(path)
     if made is not None:
         made.append(path)
+    if (of := getattr(_OPEN, "made", None)) is not None:
+        of.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,3 +50,23 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     paths.clear()
+
+
+def rounds(operator):
+    """An operator with rounds: its result is written, and every table that it cut on the way is deleted, also if it fails.  Tables
+    of operators that it calls are its own."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        outer, made = getattr(_OPEN, "made", None), []
+        _OPEN.made = made
+        try:
+            out = operator(*args, **kwargs)
+            _OPEN.made = outer
+            return cut(out)
+        finally:
+            _OPEN.made = outer
+            if made:
+                drop(SparkSession.active(), made)
+
+    return run

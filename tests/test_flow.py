@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import flow, method_sets
 from plumbline.streaming import histograms
@@ -129,3 +130,20 @@ def test_histogram_on_a_stream(spark, tmp_path):
             histograms.fold(spark, folder)
             histograms.add_batch(again, 0, folder)  # what a fold holds counts no more
             assert result() == want
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    """Operators with rounds delete all that they wrote but their result, also within each other and when they fail."""
+    from plumbline import scratch
+    from plumbline.operators import graph as g
+    from plumbline.operators import incremental
+
+    monkeypatch.setattr(scratch, "root", lambda _: f"file://{tmp_path}")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
+    units = spark.createDataFrame([(i, f"k{i}") for i in range(1, 6)], "id long, key string")
+    assert {(r.id, r.component) for r in g.components(units, edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)} and len(list(tmp_path.iterdir())) == 1
+    assert g.fingerprints(units, edges).count() == 5 and len(list(tmp_path.iterdir())) == 2
+    assert incremental.closure(spark, edges, units.where("id = 4").select(F.col("id").alias("node"))).count() == 2 and len(list(tmp_path.iterdir())) == 3
+    with pytest.raises(Exception, match="nothing"):
+        g.components(units, edges.withColumn("src", F.raise_error(F.lit("nothing")).cast("long")))
+    assert len(list(tmp_path.iterdir())) <= 4  # at most the table whose write failed
