@@ -80,18 +80,17 @@ def brute_collocations(rows, min_count, longest, top, cover):
     return sorted(ranked)
 
 
-@pytest.mark.parametrize("listed, split, hot", [(1_000_000, 1_000_000, False), (4, 1_000_000, False), (1_000_000, 20, True), (0, 7, True), (9, 7, False)])
-def test_collocations(spark, monkeypatch, listed, split, hot):
+@pytest.mark.parametrize("listed, split, hot, longest, top, min_count", [(1_000_000, 1_000_000, False, 4, 25, 6), (4, 1_000_000, False, 5, None, 9), (1_000_000, 20, True, 5, None, 6), (0, 7, True, 4, 25, 9), (9, 7, False, 4, None, 6)])
+def test_collocations(spark, monkeypatch, listed, split, hot, longest, top, min_count):
     """All frequent words in the workers' table, few or none; pivots dealt to several tasks; parts joined by broadcast."""
     if hot:
         monkeypatch.setattr(common, "HOT_ROWS", 1)
         monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     rows = odd_rows(3)
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    for longest, top, min_count in ((4, 25, 6), (5, None, 9)):
-        got = collocations.collocations(docs, min_count, longest, top, listed=listed, split=split)
-        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
-        assert sorted(map(tuple, got.collect())) == brute_collocations(rows, min_count, longest, top, 80)
+    got = collocations.collocations(docs, min_count, longest, top, listed=listed, split=split)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, min_count, longest, top, 80)
 
 
 def test_collocations_mine_in_chunks(spark):
