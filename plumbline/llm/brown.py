@@ -37,6 +37,8 @@ CLASSES, FORMS, ROUNDS = 64, 256, 8
 SHARE, MIN_COUNT = 1e-6, 3
 #: Pairs, about, that a task adds up before it gives them on.
 PAIRS = 2_000_000
+#: Rows of neighbours, about, that a task turns into lists at once.
+CONTEXT_ROWS = 500_000
 #: What is added to each count of a word.
 ADDED = 0.1
 #: The end of a text among the words; no word holds it.
@@ -178,40 +180,87 @@ def move_gains(pairs: np.ndarray, a: int, after: np.ndarray, before: np.ndarray,
     return gain - gain[a]
 
 
-def _moves(vectors: DataFrame, pairs: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(unit, class) of the units of ``vectors(unit, slots)`` that have a better class."""
-    bc = vectors.sparkSession.sparkContext.broadcast((pairs.astype(float), classes))
+def contexts(pairs: DataFrame) -> DataFrame:
+    """(unit, self, n_after, other, n), one row for each unit of ``pairs(a, b, n)``: the units behind it, ``n_after`` of them, and then those
+    before it, with how often each comes, and how often it follows itself.  A row has at most twice as many entries as there
+    are units."""
+    both = F.array(
+        F.struct(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("b").alias("other")),
+        F.struct(F.col("b").alias("unit"), F.lit(1).alias("side"), F.col("a").alias("other")),
+    )
+    rows = pairs.select(F.explode(both).alias("x"), "n").select("x.*", "n").repartition("unit").sortWithinPartitions("unit", "side")
+
+    def whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        unit, side, other, n = (t[c].to_numpy() for c in ("unit", "side", "other", "n"))
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        offsets = pa.array(np.r_[starts, len(unit)], pa.int32())
+        total = lambda x: pa.array(np.add.reduceat(x, starts).astype(np.int64))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(other, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(unit[starts], pa.int32()), total(np.where((side == 0) & (other == unit), n, 0)), total(side == 0), *lists], ["unit", "self", "n_after", "other", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            unit = batch["unit"].to_numpy()
+            new = np.flatnonzero(np.r_[bool(held) and unit[0] != held[-1]["unit"][-1].as_py(), unit[1:] != unit[:-1]])
+            if sum(map(len, held)) >= CONTEXT_ROWS and len(new):
+                cut = int(new[-1])
+                yield whole([*held, batch.slice(0, cut)])
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield whole(held)
+        common.release_memory()
+
+    return rows.mapInArrow(run, "unit int, self long, n_after long, other array<int>, n array<long>")
+
+
+def class_vectors(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> np.ndarray:
+    """For each unit of a batch of :func:`contexts` its neighbours by class: ``k`` counts behind it, then ``k`` before it."""
+    other, n = (batch[c].flatten().to_numpy() for c in ("other", "n"))
+    size, after = batch["other"].value_lengths().to_numpy(), batch["n_after"].to_numpy()
+    row = np.repeat(np.arange(len(batch)), size)
+    before = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) >= after[row]
+    return np.bincount((row * 2 + before) * k + classes[other], weights=n, minlength=2 * k * len(batch)).reshape(len(batch), 2 * k)
+
+
+def class_pairs(context: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """How often each class follows each; every task adds up its own, and at most ``k`` squared rows are collected."""
+    bc = context.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, total = bc.value, np.zeros((k, k))
+        for batch in batches:
+            np.add.at(total, classes[batch["unit"].to_numpy()], class_vectors(batch, classes, k)[:, :k])
+        a, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b].astype(np.int64))], ["a", "b", "n"])
+
+    table = np.zeros((k, k), np.int64)
+    for r in context.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        table[r["a"], r["b"]] = r["n"]
+    return table
+
+
+def better_classes(context: DataFrame, pairs: np.ndarray, classes: np.ndarray) -> pd.DataFrame:
+    """(unit, class) of the units of ``context`` that have a better class than their own, with all others where they are."""
+    bc = context.sparkSession.sparkContext.broadcast((pairs.astype(float), classes))
+    k = len(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, classes = bc.value
-        k = len(pairs)
         for batch in batches:
-            out = []
-            for unit, slots in zip(batch["unit"].to_pylist(), batch["slots"], strict=True):
-                x = np.zeros(2 * k + 1)
-                x[slots.values.field("slot").to_numpy()] = slots.values.field("n").to_numpy()
-                gain = move_gains(pairs, int(classes[unit]), x[:k], x[k : 2 * k], x[2 * k])
+            x, self_, out = class_vectors(batch, classes, k), batch["self"].to_numpy(), []
+            for i, unit in enumerate(batch["unit"].to_pylist()):
+                gain = move_gains(pairs, int(classes[unit]), x[i, :k], x[i, k:], float(self_[i]))
                 best = int(np.argmax(gain))
                 if gain[best] > 1e-6:
                     out.append((unit, best))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int32()), pa.array([c for _, c in out], pa.int32())], ["unit", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int32()), pa.array([c for _, c in out], pa.int32())], ["unit", "class"])
 
-    return vectors.mapInArrow(run, "unit int, class int")
-
-
-def contexts(pairs: DataFrame) -> DataFrame:
-    """(unit, other, side, n) of ``pairs(a, b, n)``: what stands behind (0) and before (1) each unit, and how often itself (2).
-
-    A unit's rows lie in few places, so that a task adds most of them up before the shuffle of a round; a common one is dealt
-    by its neighbours."""
-    both = F.array(
-        F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.lit(0).alias("side")),
-        F.struct(F.col("b").alias("unit"), F.col("a").alias("other"), F.lit(1).alias("side")),
-        F.when(F.col("a") == F.col("b"), F.struct(F.col("a").alias("unit"), F.col("b").alias("other"), F.lit(2).alias("side"))),
-    )
-    rows = pairs.select(F.explode(F.array_compact(both)).alias("x"), "n").select("x.*", "n")
-    return rows.repartition("unit", F.shiftright("other", 12)).sortWithinPartitions("unit")
+    return context.mapInArrow(run, "unit int, class int").toPandas()
 
 
 def exchange(context: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -220,42 +269,28 @@ def exchange(context: DataFrame, n: np.ndarray, classes: int = CLASSES, rounds:
 
     At first the most frequent units have a class each, but for the last class, which has all others.
     """
-    spark = context.sparkSession
     now = np.full(len(n), classes - 1, np.int64)
     first = np.argsort(-n, kind="stable")[: classes - 1]
     now[first] = np.arange(len(first))
     kept, history, parts, still = None, [], 2, 0
     for turn in range(rounds + 1):
-        made: list[str] = []
-        known = spark.createDataFrame(pd.DataFrame({"other": np.arange(len(n), dtype=np.int32), "class": now.astype(np.int32)}))
-        slot = F.when(F.col("side") == 2, 2 * classes).otherwise(F.col("side") * classes + F.col("class"))
-        vectors = context.join(F.broadcast(known), "other").groupBy("unit", slot.alias("slot")).agg(F.sum("n").alias("n"))
-        vectors = common.materialize(vectors, "vectors", made)
-        table = np.zeros((classes, classes), np.int64)
-        of = known.select(F.col("other").alias("unit"), "class")
-        for r in vectors.where(F.col("slot") < classes).join(F.broadcast(of), "unit").groupBy("class", "slot").agg(F.sum("n").alias("n")).collect():
-            table[r["class"], r["slot"]] = r["n"]
+        table = class_pairs(context, now, classes)
         value = likelihood(table.astype(float))
         if kept is None or value > kept[0]:
-            if kept:
-                common.drop_path(spark, kept[4])
             still = still + 1 if kept is not None and value - kept[0] < 1e-4 * abs(value) else 0
-            kept = (value, now, table, vectors, made[0])
+            kept = (value, now, table)
             history.append(value)
             if still == parts:  # every part has had its turn and gained little
                 break
         else:
-            common.drop_path(spark, made[0])
             parts *= 2
         if turn == rounds:
             break
-        _, now, table, vectors, _ = kept
-        mine = vectors.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == turn % parts)
-        slots = mine.groupBy("unit").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))  # at most 2 * classes + 1 a unit
-        moved = _moves(slots, table, now).toPandas()
+        _, now, table = kept
+        mine = context.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == turn % parts)
+        moved = better_classes(mine, table, now)
         now = now.copy()
         now[moved["unit"].to_numpy()] = moved["class"].to_numpy()
-    common.drop_path(spark, kept[4])
     return kept[1], kept[2], history
 
 
@@ -294,9 +329,11 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, share:
     units, rest = choose_units(counts, share, min_count, n_forms)
     made: list[str] = []
     pairs = common.materialize(unit_pairs(texts, units), "pairs", made)
-    context = common.materialize(contexts(pairs), "context")
+    with common.wide_batches(docs.sparkSession):
+        context = common.materialize(contexts(pairs), "context", made)
     common.drop_path(docs.sparkSession, made[0])
     of, table, history = exchange(context, units.n, classes, rounds)
+    common.drop_path(docs.sparkSession, made[1])
     return Model(units, of, *smoothed(units, of, table), common.materialize(rest, "rest"), history)
 
 

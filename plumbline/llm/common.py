@@ -142,6 +142,18 @@ def sized_shuffles(spark: SparkSession, rows: int, each: int = 100_000) -> Itera
         spark.conf.set(key, before)
 
 
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 50_000) -> Iterator[None]:
+    """Within it narrow rows go to Python workers by ``rows``; only for what is run within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []
