@@ -368,11 +368,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = common.materialize(signatures(docs, shingle, bands, rows, bits), "signatures")
+    made: list[str] = []
+    sig = common.materialize(signatures(docs, shingle, bands, rows, bits), "signatures", made)
     named = sig.where("doc_id IS NOT NULL")
     # copies: a class of equal words is its smallest id (texts without words are told apart)
     classes = named.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("rep"))
     classes = common.materialize(classes, "classes")
+    # keys and sketches are those of the classes from here on
+    sig = common.materialize(sig.select("doc_id", "n_shingles", "digest"), "ids")
+    common.drop_path(docs.sparkSession, made[0])
+    named = sig.where("doc_id IS NOT NULL")
     reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "rep.keys", "rep.sketch")
     groups = candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100))
     sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.sum("n_bytes").alias("n_bytes"))
