@@ -69,3 +69,11 @@ def test_files_are_read_whole(spark):
     assert {r.path: r.n for r in cut.groupBy("path").agg(F.count("fn").alias("n")).collect()}["many"] == 512
     state = golang.coverage(files, curly.failures(cut), ["cyclomatic"], [])
     assert {r.path: r.state for r in state.collect()} == {"many": "failed", "long": "failed", "empty": "complete"}
+
+
+def test_routines_and_their_failures_are_two_tables(spark):
+    """What ``routines`` gives is a table that ``failures`` reads."""
+    files = spark.createDataFrame([("a.java", "java", b"class T { int f() { return 1; } }"), ("b.rs", "rust", b"fn bad() { let (a, b): (u8, u8) = c; }")], "path string, language string, content binary")
+    found = curly.routines(files)
+    assert found.columns == ["path", "fn", "ordinal", "body", "failure"]
+    assert [r.path for r in curly.failures(found).collect()] == ["b.rs"]
