@@ -26,3 +26,9 @@ def same(spark, tmp_path):
 def test_pages_whose_names_end_in_a_slash(same):
     urls = ["http://a.org/de/2137/", "http://a.org/de/2137", "http://a.org/de/21/", "http://a.org/de/", "http://a.org/de/27/x", "http://a.org/en/7/", "http://blog.a.org/de/7", "http://a.org/de/7.html", "http://a.org/x.html"]
     same("ignored_paths", pages=" UNION ALL ".join(f"SELECT {i}::BIGINT AS page_id, '{u}' AS url" for i, u in enumerate(urls)))
+
+
+def test_events_at_one_place(same):
+    """Two lines of one part: the first of the table decides, whichever it is."""
+    line = "SELECT {0}::BIGINT AS l_orderkey, {1}::INTEGER AS l_linenumber, 3::BIGINT AS l_partkey, 2::BIGINT AS l_suppkey, {2}::DOUBLE AS l_quantity"
+    same("released_resources", lineitem=" UNION ALL ".join(line.format(k, n, q) for k in range(40) for n, q in ((1, 30), (2, 10 if k % 2 else 40), (2, 40 if k % 2 else 10))))
