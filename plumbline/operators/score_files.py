@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..scratch import cut
 from . import scoring as sc
 
 # Component, axis, kind, aggregation, formula, baseline, threshold, weight, enabled, languages.
@@ -60,12 +59,13 @@ def with_policy(components: DataFrame, policy: DataFrame | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scores:
-    """``subjects``, ``components``, ``axes`` and ``files`` of a scored set of files."""
+    """``subjects``, ``components``, ``axes`` and ``files`` of a scored set of files; ``parts`` has the components of a file in one row."""
 
     subjects: DataFrame
     components: DataFrame
     axes: DataFrame
     files: DataFrame
+    parts: DataFrame
 
 
 def _step_sum(values: Column) -> Column:
@@ -73,81 +73,115 @@ def _step_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: sev.exact(s + v))
 
 
-def subjects(measured: DataFrame) -> DataFrame:
-    """(path, component, subject, routine, owner, value, base, nth): the subjects of measured components with
-    their severity.
+def measured(observations: DataFrame, components: DataFrame) -> DataFrame:
+    """(path, component, subject, routine, owner, value, wmc, atfd, tcc): the subjects of ``score``'s observations.
 
-    A count component has one subject, the number of its rows; nested ifs are counted by routine.  Rows are
-    those of ``score``'s observations with the columns of their component.
+    A count component has one subject, the number of its rows; nested ifs are counted by routine.  Components are
+    those of the catalog, whose rows are few.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    counted = measured.where("kind = 'count'")
+    counts = [r[0] for r in components.where("kind = 'count'").select("component").distinct().collect()]
     unassociated = F.concat(F.lit("unassociated:"), blank("subject"))
     key = F.when(F.col("component") != NESTED, F.lit("deduplicated_count")).when(blank("routine") != "", F.col("routine")).otherwise(unassociated)
-    counts = counted.groupBy("path", "component", "formula", "baseline", "threshold", key.alias("subject")).agg(F.count("*").cast("double").alias("value"))
-    counts = counts.select("path", "component", "subject", F.lit("").alias("routine"), F.lit("").alias("owner"), "value", sev.by_formula(F.col("formula"), F.col("value"), F.coalesce("baseline", F.lit(0.0)), F.col("threshold")).alias("base"))
-    single = measured.where("kind <> 'count'")
-    god = sev.god_class(F.col("wmc"), F.col("atfd"), F.col("tcc"))
-    plain = sev.by_formula(F.col("formula"), F.col("value"), F.coalesce("baseline", F.lit(0.0)), F.col("threshold"))
-    base = F.when(F.col("kind") == "compound", god).otherwise(plain)
-    rest = single.select("path", "component", blank("subject").alias("subject"), blank("routine").alias("routine"), blank("owner").alias("owner"), "value", base.alias("base"))
-    return counts.unionByName(rest)
+    none = F.lit(None).cast("double")
+    counted = observations.where(F.col("component").isin(counts)).groupBy("path", "component", key.alias("subject")).agg(F.count("*").cast("double").alias("value"))
+    counted = counted.select("path", "component", "subject", F.lit("").alias("routine"), F.lit("").alias("owner"), "value", none.alias("wmc"), none.alias("atfd"), none.alias("tcc"))
+    rest = observations.where(~F.col("component").isin(counts))
+    rest = rest.select("path", "component", blank("subject").alias("subject"), blank("routine").alias("routine"), blank("owner").alias("owner"), *[F.col(c).cast("double").alias(c) for c in ("value", "wmc", "atfd", "tcc")])
+    return counted.unionByName(rest)
+
+
+def _states(files: DataFrame, coverage: DataFrame, cat: DataFrame) -> DataFrame:
+    """(path, language, wanted, complete): the components of each file, in their order, as structs with axis and state, and the names of
+    the complete ones.  Lists are no longer than the catalog."""
+    on = cat.where("enabled")
+    known = coverage.join(F.broadcast(on.select("component")), "component").groupBy("path").agg(F.collect_set(F.struct("component", "state")).alias("_known"))
+    rules = on.agg(F.array_sort(F.collect_list(F.struct("component", "axis", "languages"))).alias("_rules"))
+    f = files.select("path", "language").distinct().join(known, "path", "left").join(F.broadcast(rules))
+
+    def one(r: Column) -> Column:
+        # of several states any other than complete counts
+        found = F.array_max(F.transform(F.filter("_known", lambda k: k["component"] == r["component"]), lambda k: k["state"]))
+        return F.struct(r["component"].alias("component"), r["axis"].alias("axis"), F.coalesce(found, F.lit("not_requested")).alias("state"))
+
+    wanted = F.transform(F.filter("_rules", lambda r: F.coalesce(F.array_contains(r["languages"], F.col("language")), F.lit(False))), one)
+    f = f.select("path", "language", wanted.alias("wanted"))
+    return f.withColumn("complete", F.transform(F.filter("wanted", lambda w: w["state"] == "complete"), lambda w: w["component"]))
 
 
 def score(files: DataFrame, observations: DataFrame, coverage: DataFrame, components: DataFrame, policy: DataFrame | None = None, most: float | None = None) -> Scores:
-    """Scores of ``files(path, language)``.
+    """Scores of ``files(path, language)``, a row for each path.
 
     ``observations(path, component, subject, routine, owner, value, wmc, atfd, tcc)`` count only where
     ``coverage(path, component, state)`` is ``complete``; a file is complete if that holds for all components
     that are enabled in the catalog and have its language.  With ``most`` a file passes if it is complete and
-    its score isn't above.  Subjects and coverage, which several joins read, are written tables.
+    its score isn't above.
+
+    Observations and states meet by path, and what follows is windows and aggregates within a path: they are shuffled once, nothing
+    is written, and no list is longer than the catalog.
     """
     cat = with_policy(components, policy)
-    wanted = files.select("path", "language").distinct().join(F.broadcast(cat), F.array_contains("languages", F.col("language")) & F.col("enabled"))
-    covered = cut(wanted.join(coverage.select("path", "component", "state"), ["path", "component"], "left").withColumn("state", F.coalesce("state", F.lit("not_requested"))))
-    complete = covered.where("state = 'complete'")
-    measured = observations.join(complete.drop("language", "languages", "state"), ["path", "component"])
-    rules = complete.select("path", "component", "axis", "aggregation", "weight", "weight_now", "enabled_now")
-    s = subjects(measured).join(rules, ["path", "component"])
+    states = _states(files, coverage, cat)
+    rules = cat.select("component", "kind", "formula", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), "threshold", "weight", "weight_now", "enabled_now")
+    s = measured(observations, components).join(states.select("path", "complete"), "path").where(F.array_contains("complete", F.col("component"))).drop("complete")
+    s = s.join(F.broadcast(rules), "component")
+    god = sev.god_class(F.col("wmc"), F.col("atfd"), F.col("tcc"))
+    plain = sev.by_formula(F.col("formula"), F.col("value"), F.col("baseline"), F.col("threshold"))
+    s = s.withColumn("base", F.when(F.col("kind") == "compound", god).otherwise(plain))
     now = F.when(F.col("enabled_now"), sev.exact(F.col("base") * F.col("weight_now"))).otherwise(0.0)
-    s = s.withColumns({"observed": sev.exact(F.col("base") * F.col("weight")), "contribution": now})
     # what a routine's signals are one group by
     group = F.when(F.col("routine") != "", F.col("routine")).when(F.col("subject") != "", F.col("subject")).otherwise(F.concat(F.lit("unassociated:"), "component"))
-    s = cut(s.withColumn("grp", group))
     flow = F.col("component").isin(CONTROL_FLOW)
-
-    best = sc.grouped_max(s.where(flow).select("path", "grp", "component", "subject", F.col("contribution").alias("value")))
-    charged = best.groupBy("path", "component").agg(F.sum("contribution").alias("charged"))
-
-    # types, less what the routines of their methods are charged
-    methods = s.where(F.col("component") == METHODS)
-    owned = methods.where("owner <> ''").select("path", F.col("owner").alias("subject"), "grp").distinct().join(best.select("path", "grp", F.col("contribution").alias("charge")), ["path", "grp"])
-    owned = owned.groupBy("path", "subject").agg(F.sum("charge").alias("charge"))
-    have = methods.select("path").distinct().withColumn("methods", F.lit(True))
-    types = s.where(F.col("component") == TYPES).join(owned, ["path", "subject"], "left").join(have, "path", "left")
-    left = F.when(F.col("methods"), F.greatest(F.lit(0.0), F.col("contribution") - F.coalesce("charge", F.lit(0.0)))).otherwise(F.col("contribution"))
-    types = types.withColumn("contribution", sev.exact(left)).select(*s.columns)
-    s = s.where(F.col("component") != TYPES).unionByName(types)
-
-    total = lambda c: F.when(F.first("aggregation") == "max", F.max(c)).otherwise(F.sum(c))
-    sums = s.groupBy("path", "component").agg(total("observed").alias("observed"), total("contribution").alias("contribution"), F.count("*").alias("subjects"), F.max("value").alias("largest"), F.sum("value").alias("total"))
-    c = covered.select("path", "component", "axis", "state").join(sums, ["path", "component"], "left").join(charged, ["path", "component"], "left")
-    value = F.when(flow, F.coalesce("charged", F.lit(0.0))).otherwise(F.coalesce("contribution", F.lit(0.0)))
-    c = c.select("path", "component", "axis", "state", F.coalesce("subjects", F.lit(0)).alias("subjects"), "largest", "total", sev.exact(F.coalesce("observed", F.lit(0.0))).alias("observed"), sev.exact(value).alias("contribution"))
-
-    parts = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("component", v))), lambda x: x[v])
-    axes = c.groupBy("path", "axis").agg(_step_sum(parts("contribution")).alias("value"), _step_sum(parts("observed")).alias("observed"))
-    scored = axes.groupBy("path").agg(
-        sev.exact(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("axis", "value"))), lambda x: x["value"]), F.lit(0.0), lambda a, v: a + v)).alias("score"),
-        sev.exact(F.sum("observed")).alias("observed_score"),
-    )
-    states = c.groupBy("path").agg(F.every(F.col("state") == "complete").alias("complete"), F.bool_or(F.col("state") == "complete").alias("available"))
-    out = files.select("path", "language").distinct().join(scored, "path", "left").join(states, "path", "left")
+    s = s.select("path", "component", "subject", "routine", "owner", "value", "base", sev.exact(F.col("base") * F.col("weight")).alias("observed"), now.alias("contribution"), group.alias("grp"))
+
+    # a routine is charged for its strongest signal; ties go to the first component, then subject
+    live = F.coalesce(flow & (F.col("contribution") != 0), F.lit(False))
+    strongest = Window.partitionBy("path", "grp").orderBy(F.desc("_live"), F.desc("contribution"), "component", "subject")
+    s = s.withColumn("_live", live).withColumns({"_nth": F.row_number().over(strongest), "_charge": F.first(F.when(F.col("_live"), F.col("contribution"))).over(strongest)})
+    s = s.withColumn("charged", F.when((F.col("_nth") == 1) & F.col("_live"), F.col("contribution")))
+
+    # types, less what the routines of their methods are charged, each once
+    is_type = F.col("component") == TYPES
+    owner = F.when(is_type, F.col("subject")).when((F.col("component") == METHODS) & (F.col("owner") != ""), F.col("owner"))
+    s = s.withColumns({"_owner": owner, "_type": is_type})
+    methods = Window.partitionBy("path", "_owner").orderBy("_type", "grp")
+    first = ~F.col("_type") & F.col("_owner").isNotNull() & ~F.col("grp").eqNullSafe(F.lag("grp").over(methods))
+    s = s.withColumn("_own", F.when(first, F.col("_charge")))
+    owned = F.sum("_own").over(methods.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("_owned", F.when(F.col("_type"), owned))
+    left = F.when(F.col("_owned").isNotNull(), sev.exact(F.greatest(F.lit(0.0), F.col("contribution") - F.col("_owned")))).otherwise(F.col("contribution"))
+    s = s.withColumn("contribution", left)
+    names = ["path", "component", "subject", "routine", "owner", "value", "base", "observed", "contribution", "grp"]
+
+    total = lambda c: (F.max(c).alias(f"_max_{c}"), F.sum(c).alias(f"_sum_{c}"))
+    sums = s.groupBy("path", "component").agg(*total("observed"), *total("contribution"), F.sum("charged").alias("charged"), F.count("*").alias("subjects"), F.max("value").alias("largest"), F.sum("value").alias("total"))
+    sums = sums.join(F.broadcast(cat.select("component", (F.col("aggregation") == "max").alias("_top"))), "component")
+    of = lambda c: F.coalesce(F.when(F.col("_top"), F.col(f"_max_{c}")).otherwise(F.col(f"_sum_{c}")), F.lit(0.0))
+    value = F.when(flow, F.coalesce("charged", F.lit(0.0))).otherwise(of("contribution"))
+    sums = sums.select("path", "component", "subjects", "largest", "total", sev.exact(of("observed")).alias("observed"), sev.exact(value).alias("contribution"))
+    each = sums.groupBy("path").agg(F.collect_list(F.struct("component", "subjects", "largest", "total", "observed", "contribution")).alias("_sums"))
+
+    # sums in the order of the components that are wanted, null where there are none
+    found = F.transform("wanted", lambda w: F.try_element_at(F.filter("_sums", lambda x: x["component"] == w["component"]), F.lit(1)))
+
+    def merged(w: Column, m: Column) -> Column:
+        zero = lambda c, z: F.coalesce(m[c], z).alias(c)
+        return F.struct(w["component"].alias("component"), w["axis"].alias("axis"), w["state"].alias("state"), zero("subjects", F.lit(0).cast("long")), m["largest"].alias("largest"), m["total"].alias("total"), zero("observed", F.lit(0.0)), zero("contribution", F.lit(0.0)))
+
+    by_file = states.select("path", "language", "wanted").join(each, "path", "left").select("path", "language", F.zip_with("wanted", found, merged).alias("parts"))
+    c = by_file.select("path", F.inline("parts"))
+
+    # the components of an axis in their order, and the axes in theirs
+    within = lambda a, v: _step_sum(F.transform(F.filter("parts", lambda x: x["axis"] == a), lambda x: x[v]))
+    axis = lambda a: F.struct(a.alias("axis"), within(a, "contribution").alias("value"), within(a, "observed").alias("observed"))
+    summed = by_file.withColumn("_axes", F.transform(F.array_sort(F.array_distinct(F.transform("parts", lambda x: x["axis"]))), axis))
+    plus = lambda v: sev.exact(F.aggregate(F.transform("_axes", lambda x: x[v]), F.lit(0.0), lambda a, x: a + x))
+    done = lambda x: x["state"] == "complete"
     # a file of no component is complete, and its score nothing
-    out = out.select("path", "language", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("observed_score", F.lit(0.0)).alias("observed_score"), F.coalesce("complete", F.lit(True)).alias("complete"), F.coalesce("available", F.lit(False)).alias("available"))
+    out = summed.select("path", "language", plus("value").alias("score"), plus("observed").alias("observed_score"), F.forall("parts", done).alias("complete"), F.exists("parts", done).alias("available"))
     out = out.withColumn("valid_zero", F.col("complete") & (F.col("score") == 0))
     out = out.withColumn("passed", sc.gate(F.col("score"), F.col("complete"), most) if most is not None else F.lit(None).cast("boolean"))
-    return Scores(s, c, axes, out)
+    return Scores(s.select(*names), c, summed.select("path", F.inline("_axes")), out, by_file)
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -168,11 +202,16 @@ def metrics(scores: Scores) -> DataFrame:
     """(path, metric, value, available): the metrics of a view, 0 at least; available where the component, or one
     of the axis, was measured completely."""
     names = {c: (m, how) for m, (c, how) in METRICS.items() if how != "axis"}
-    look = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])]), F.col("component"))
-    c = scores.components.withColumns({"metric": look(0), "how": look(1)}).where("metric IS NOT NULL")
-    value = F.when(F.col("how") == "largest", F.col("largest")).when(F.col("how") == "total", F.col("total")).otherwise(F.col("contribution"))
-    c = c.select("path", "metric", F.greatest(F.lit(0.0), F.coalesce(value, F.lit(0.0))).alias("value"), (F.col("state") == "complete").alias("available"))
     axis = METRICS["typesafety"][0]
-    done = scores.components.where(F.col("axis") == axis).groupBy("path").agg(F.bool_or(F.col("state") == "complete").alias("available"))
-    a = scores.axes.where(F.col("axis") == axis).join(done, "path").select("path", F.lit("typesafety").alias("metric"), "value", "available")
-    return c.unionByName(a)
+    look = lambda i, c: F.try_element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])]), c)
+    row = lambda metric, value, available: F.struct(metric.alias("metric"), F.greatest(F.lit(0.0), F.coalesce(value, F.lit(0.0))).alias("value"), available.alias("available"))
+
+    def shown(x: Column) -> Column:
+        how = look(1, x["component"])
+        value = F.when(how == "largest", x["largest"]).when(how == "total", x["total"]).otherwise(x["contribution"])
+        return row(look(0, x["component"]), value, x["state"] == "complete")
+
+    own = F.transform(F.filter("parts", lambda x: x["component"].isin(list(names))), shown)
+    of = F.filter("parts", lambda x: x["axis"] == axis)
+    safe = row(F.lit("typesafety"), _step_sum(F.transform(of, lambda x: x["contribution"])), F.exists(of, lambda x: x["state"] == "complete"))
+    return scores.parts.select("path", F.inline(F.concat(own, F.when(F.size(of) > 0, F.array(safe)).otherwise(F.array().cast("array<struct<metric:string,value:double,available:boolean>>")))))

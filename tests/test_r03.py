@@ -32,3 +32,12 @@ def test_events_at_one_place(same):
     """Two lines of one part: the first of the table decides, whichever it is."""
     line = "SELECT {0}::BIGINT AS l_orderkey, {1}::INTEGER AS l_linenumber, 3::BIGINT AS l_partkey, 2::BIGINT AS l_suppkey, {2}::DOUBLE AS l_quantity"
     same("released_resources", lineitem=" UNION ALL ".join(line.format(k, n, q) for k in range(40) for n, q in ((1, 30), (2, 10 if k % 2 else 40), (2, 40 if k % 2 else 10))))
+
+
+def test_scores_write_nothing(spark, monkeypatch):
+    """Subjects and coverage were two written tables."""
+    from plumbline import scratch
+
+    monkeypatch.setattr(scratch, "cut", None)
+    monkeypatch.setattr("plumbline.operators.score_files.cut", None, raising=False)
+    assert catalog.QUERIES["score_summary"](spark, "/root/testdata/sf0.001").count() == 1
