@@ -78,23 +78,67 @@ def _dyadic(lo: Column, hi: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def innermost(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
+#: Rows of a key, points and ranges together, up to which one task walks them.
+WALK_ROWS = 1_000_000
+
+
+def innermost(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str, nested: bool = False) -> DataFrame:
     """The innermost range of ``ranges`` that holds each point (integers): the one that starts last and
     ends first.  Points that repeat are kept, each with its range; those in none go.
 
-    A range is cut into blocks whose sizes are powers of two, and a place is in one block of each size,
+    Points and ranges of a key are walked once in order: the last range to start is the innermost if it still holds the
+    point, and if all that have started are over there is none.  With ``nested`` (ranges of a key are disjoint or
+    nested, and none repeats) so is the first to end, if it has started.  Only points for which nothing of this is so, and keys of more than
+    ``WALK_ROWS`` rows, are looked up by blocks.
+
+    There a range is cut into blocks whose sizes are powers of two, and a place is in one block of each size,
     so the join on key and block meets just the ranges that hold a place; a key with many of both is
     spread over its blocks, and no others are paired.  Only sizes that some range has are looked up, and a place
     that many points share is looked up once.
     """
-    widest = ranges.agg(F.max(F.col(hi) - F.col(lo) + 1)).first()[0] or 1
+    rest = [c for c in ranges.columns if c != key]
+    own = [c for c in points.columns if c not in (key, point)]
+    out = [*points.columns, *[F.col(f"_r.{c}").alias(c) for c in rest]]
+    inside, asked = ranges.where(F.col(lo) <= F.col(hi)), points.where(F.col(point).isNotNull() & F.col(key).isNotNull())
+    rows = inside.select(key).unionAll(asked.select(key)).groupBy(key).agg(F.count("*").alias("_n"))
+    large = cut(rows.where(F.col("_n") > WALK_ROWS).select(key))
+    whole = not large.isEmpty()
+    some = lambda df: df.join(F.broadcast(large), key, "left_anti") if whole else df
+
+    at = F.floor(point).cast("long")
+    carried = F.struct(F.lit(True).alias("_"), *own)
+    kinds = points.select(F.col(point), carried.alias("_p")).schema
+    starts = some(inside).select(
+        key, F.lit(0).alias("_turn"), F.col(lo).cast("long").alias("_from"), F.col(hi).cast("long").alias("_to"), F.struct(*rest).alias("_r"), F.lit(None).cast(kinds[point].dataType).alias(point), F.lit(None).cast(kinds["_p"].dataType).alias("_p")
+    )
+    asks = some(asked).select(key, F.lit(1).alias("_turn"), at.alias("_from"), at.alias("_to"), F.lit(None).cast(ranges.select(F.struct(*rest).alias("_r")).schema["_r"].dataType).alias("_r"), point, carried.alias("_p"))
+    run = (Window.unboundedPreceding, Window.currentRow)
+    forth = Window.partitionBy(key).orderBy("_from", "_turn", F.desc("_to"), F.desc("_r")).rowsBetween(*run)
+    back = Window.partitionBy(key).orderBy(F.desc("_to"), "_turn", "_from").rowsBetween(*run)
+    before = lambda w: F.last("_r", ignorenulls=True).over(w)
+    walk = starts.unionByName(asks).withColumns({"_last": before(forth), "_far": F.max(F.when(F.col("_turn") == 0, F.col("_to"))).over(forth)})
+    near = F.when(F.col(f"_last.{hi}") >= F.col("_to"), F.col("_last"))
+    if nested:
+        walk = walk.withColumn("_first", before(back))
+        near = near.when(F.col(f"_first.{lo}") <= F.col("_from"), F.col("_first"))
+    walk = cut(walk.where("_turn = 1 AND _far >= _from").select(key, point, *[F.col(f"_p.{c}").alias(c) for c in own], near.alias("_r")))
+    found, todo = walk.where("_r IS NOT NULL").select(*out), walk.where("_r IS NULL").select(*points.columns)
+    if whole:
+        todo = todo.unionByName(asked.join(F.broadcast(large), key, "left_semi"))
+    if todo.isEmpty():
+        return found
+    return found.unionByName(_by_blocks(todo, inside.join(todo.select(key).distinct(), key, "left_semi"), key, point, lo, hi))
+
+
+def _by_blocks(points: DataFrame, inside: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
+    """``innermost`` by the blocks of ranges alone, none of which is empty."""
+    widest = inside.agg(F.max(F.col(hi) - F.col(lo) + 1)).first()[0] or 1
     levels = max(1, int(widest).bit_length())
-    inside = ranges.where(F.col(lo) <= F.col(hi))
     blocks = inside.select(*inside.columns, F.explode(_dyadic(F.col(lo), F.col(hi), levels)).alias("_block"))
     sizes = sorted(r[0] for r in blocks.select("_block.k").distinct().collect())  # at most 64
     at = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(point) / (1 << k)).cast("long").alias("b")) for k in sizes or [0]])
     spread = points.select(key, point).distinct().select(key, point, F.explode(at).alias("_block"))
-    rest = [c for c in ranges.columns if c != key]
+    rest = [c for c in inside.columns if c != key]
     best = F.min(F.struct((-F.col(lo)).alias("_l"), F.col(hi).alias("_h"), *rest))
     found = spread.join(blocks, [key, "_block"]).groupBy(key, point).agg(best.alias("_r"))
     return points.join(found, [key, point]).select(*points.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
@@ -133,7 +177,7 @@ def unusable_ranges(ranges: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 
 def enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
     """``innermost`` among the keys whose ranges are disjoint or nested; other points stay without one."""
-    return innermost(points, ranges.join(unusable_ranges(ranges, key, lo, hi), key, "left_anti"), key, point, lo, hi)
+    return innermost(points, ranges.join(unusable_ranges(ranges, key, lo, hi), key, "left_anti"), key, point, lo, hi, nested=True)
 
 
 def associate(found: DataFrame, routines: DataFrame) -> DataFrame:

@@ -53,3 +53,32 @@ def test_kinds_are_those_of_the_tokens(spark):
     for i, text in enumerate(texts):
         want = Counter(t[0] for t in lexer.lex(text or b"", 30)[0])
         assert [got[i][k] for k in lexer.KINDS] == [want[k] for k in lexer.KINDS]
+
+
+@pytest.mark.parametrize("rows,nested", [(1_000_000, False), (1_000_000, True), (20, False)])
+def test_innermost_by_walk_and_by_blocks(spark, monkeypatch, rows, nested):
+    """Against all pairs; a walk finds what blocks find, and few points are left to the blocks."""
+    import random
+
+    from plumbline.operators import incremental as inc
+
+    monkeypatch.setattr(inc, "WALK_ROWS", rows)
+    left, by_blocks = [], inc._by_blocks
+    monkeypatch.setattr(inc, "_by_blocks", lambda points, *rest: left.append(points.count()) or by_blocks(points, *rest))
+    r = random.Random(1)
+    if nested:
+        ranges = [(k, 100 - 10 * n - k, 100 + 10 * n, f"{k}.{n}") for k in range(5) for n in range(1, 8) if r.random() < 0.7]
+    else:
+        ranges = [(r.randrange(3), lo := r.randrange(60), lo + r.randrange(-1, 12), f"n{i}") for i in range(80)]
+    points = [(k, p, i % 2) for k in range(5) for p in range(200) for i in range(2)]
+    a, b = spark.createDataFrame(points, "k long, p long, copy int"), spark.createDataFrame(ranges, "k long, lo long, hi long, name string")
+    got = sorted(tuple(x) for x in inc.innermost(a, b, "k", "p", "lo", "hi", nested).select("k", "p", "copy", "lo", "hi", "name").collect())
+    want = []
+    for k, p, i in points:
+        held = [(-lo, hi, name) for kk, lo, hi, name in ranges if kk == k and lo <= p <= hi]
+        if held:
+            lo, hi, name = min(held)
+            want.append((k, p, i, -lo, hi, name))
+    assert got == sorted(want) and want
+    # none of nested ranges, some of ranges that cross, all of keys that are too large
+    assert not left if nested else left[0] == len(points) if rows == 20 else 0 < left[0] < len(points)
