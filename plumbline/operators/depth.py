@@ -15,10 +15,15 @@ BURDEN_WEIGHTS = {"O": 8, "T": 4, "A": 2, "E": 1, "P": 8, "S": 8, "L": 16}
 
 
 def burden(parts: Column) -> Column:
-    """Eighths of burden of a struct with the parts O, T, A, E, P, S and L; null if a part is null or negative, or the sum beyond 64 bits."""
+    """Eighths of burden of a struct with the parts O, T, A, E, P, S and L; null if a part is null or negative, or the sum beyond 64 bits.
+
+    Halves of 32 bits are added up apart: no sum of theirs can overflow, so no row has to fail and be caught."""
     part = lambda p: F.when(parts[p] >= 0, parts[p]).cast("long")
-    terms = [F.try_multiply(part(p), F.lit(w).cast("long")) for p, w in BURDEN_WEIGHTS.items()]
-    return reduce(F.try_add, terms)
+    low, half = F.lit((1 << 32) - 1), F.lit(1 << 32)
+    high = reduce(lambda a, b: a + b, [F.shiftright(part(p), 32) * F.lit(w).cast("long") for p, w in BURDEN_WEIGHTS.items()])
+    rest = reduce(lambda a, b: a + b, [part(p).bitwiseAND(low) * F.lit(w).cast("long") for p, w in BURDEN_WEIGHTS.items()])
+    high = high + F.shiftright(rest, 32)
+    return F.when(high < F.lit(1 << 31), high * half + rest.bitwiseAND(low))
 
 
 def hidden(alternatives: Column, categories: Column) -> Column:

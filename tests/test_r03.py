@@ -82,3 +82,18 @@ def test_innermost_by_walk_and_by_blocks(spark, monkeypatch, rows, nested):
     assert got == sorted(want) and want
     # none of nested ranges, some of ranges that cross, all of keys that are too large
     assert not left if nested else left[0] == len(points) if rows == 20 else 0 < left[0] < len(points)
+
+
+def test_burdens_at_the_end_of_64_bits(spark):
+    """Without a row that fails on the way: the plan has no multiplication or sum that is tried."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import depth
+
+    names, weights = list(depth.BURDEN_WEIGHTS), list(depth.BURDEN_WEIGHTS.values())
+    most = 2**63 - 1
+    cases = [[most // weights[0], 0, 0, 0, 0, 0, 0], [most // weights[0], 1, 1, 1, 1, 1, 1], [most] * 7, [0] * 7, [-1, 0, 0, 0, 0, 0, 0], [None, 0, 0, 0, 0, 0, 0], [2**32 - 1] * 7, [2**40 + 5] * 7]
+    df = spark.createDataFrame(cases, ", ".join(f"{n} long" for n in names)).select(depth.burden(F.struct(*names)).alias("b"))
+    total = [None if None in c or min(c) < 0 else sum(x * w for x, w in zip(c, weights)) for c in cases]
+    assert [r.b for r in df.collect()] == [t if t is not None and t <= most else None for t in total]
+    assert "try_" not in df._jdf.queryExecution().analyzed().toString()
