@@ -75,10 +75,10 @@ _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0
 
 def seconds(text: Column) -> Column:
     """Seconds of a duration such as ``1h30m``, ``5m2h``, ``.5s``, ``100us``, ``-1.5ms`` or ``0``: numbers with units in any order; null if it
-    isn't one."""
+    isn't one.  Zero has no sign."""
     part = rf"(\d+\.?\d*|\.\d+)({'|'.join(_UNITS)})"
     units = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair])
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(part), 1), F.regexp_extract_all(text, F.lit(part), 2), lambda n, u: n.cast("double") * F.element_at(units, u))
     sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
     whole = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
-    return F.when(text.rlike(rf"^[-+]?({part})+$"), sign * whole).when(text.rlike(r"^[-+]?0$"), 0.0)
+    return F.when(text.rlike(rf"^[-+]?({part})+$"), sign * whole + 0.0).when(text.rlike(r"^[-+]?0$"), 0.0)

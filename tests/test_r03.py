@@ -97,3 +97,10 @@ def test_burdens_at_the_end_of_64_bits(spark):
     total = [None if None in c or min(c) < 0 else sum(x * w for x, w in zip(c, weights)) for c in cases]
     assert [r.b for r in df.collect()] == [t if t is not None and t <= most else None for t in total]
     assert "try_" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_duration_is_minus_zero(spark):
+    from plumbline.operators import views
+
+    df = spark.createDataFrame([("-0m",), ("-0",), ("-1m",)], "t string")
+    assert [str(r.s) for r in df.select(views.seconds(df.t).alias("s")).collect()] == ["0.0", "0.0", "-60.0"]
