@@ -8,21 +8,8 @@ from pyspark.sql import functions as F
 from ..scratch import cut, rounds
 
 
-def embedded(types: DataFrame, embeds: DataFrame) -> DataFrame:
-    """(type, holder, depth, ways) of each of ``types(type)`` and every type that ``embeds(type, embedded)`` lead to, at the least depth
-    at which it is met; ``ways`` is 2 if there are several of that depth.  A round goes one level down in all types at once;
-    types that embed themselves are met once."""
-    spark, paths = types.sparkSession, []
-    links = cut(embeds.select(F.col("type").alias("holder"), F.col("embedded").alias("next")).where("next IS NOT NULL"))
-    few = lambda c: F.least(F.lit(2), F.sum(c)).cast("int").alias("ways")
-    fresh = cut(types.select("type", F.col("type").alias("holder"), F.lit(0).alias("depth"), F.lit(1).alias("ways")).where("type IS NOT NULL").distinct(), paths)
-    schema, depth = fresh.schema, 0
-    while not fresh.isEmpty():
-        depth += 1
-        seen = spark.read.schema(schema).parquet(*paths).select("type", F.col("holder").alias("next"))
-        down = fresh.select("type", "holder", "ways").join(links, "holder").groupBy("type", "next").agg(few("ways")).join(seen, ["type", "next"], "left_anti")
-        fresh = cut(down.select("type", F.col("next").alias("holder"), F.lit(depth).alias("depth"), "ways"), paths)
-    return spark.read.schema(schema).parquet(*paths)
+#: Candidates of a round that are sent to all tasks, at most (two keys each); more are shuffled with all that is known.
+FEW_ROWS = 1_000_000
 
 
 @rounds
@@ -32,13 +19,30 @@ def method_sets(types: DataFrame, members: DataFrame, embeds: DataFrame) -> Data
     ``members(type, name, kind)`` are methods and fields (``kind`` is ``method`` or ``field``), each once a type.  Of a name the one at the least depth
     counts; a field hides methods that lie deeper, and two of one depth cancel each other and hide what lies
     deeper, as does one that is reached in two ways.  Null types and names take no part.
+
+    What a type embeds it gets from the types directly below, name by name: what is first met below them at depth d is met at d + 1, and
+    goes up no further where the name is known.  So a name costs one row for each type that has it and each link above, not one for
+    each type below which it lies.
     """
-    at = embedded(types, embeds)
-    m = members.where("name IS NOT NULL").select(F.col("type").alias("holder"), "name", "kind").distinct()
-    # a level's members of one name are added up, so a type never meets a list of them
-    level = at.join(m, "holder").groupBy("type", "name", "depth").agg(F.sum("ways").alias("ways"), F.min("holder").alias("origin"), F.min("kind").alias("kind"))
-    first = level.groupBy("type", "name").agg(F.min(F.struct("depth", "ways", "origin", "kind")).alias("f"))
-    return first.where("f.ways = 1 AND f.kind = 'method'").select("type", "name", "f.origin", "f.depth")
+    spark, paths = types.sparkSession, []
+    links = cut(embeds.select(F.col("embedded").alias("type"), F.col("type").alias("above")).where("type IS NOT NULL AND above IS NOT NULL"))
+    own = members.where("type IS NOT NULL AND name IS NOT NULL").select("type", "name", "kind").distinct()
+    # no origin: a field, or what is cancelled
+    one = F.when((F.count("*") == 1) & (F.min("kind") == "method"), F.min("type"))
+    fresh, depth = cut(own.groupBy("type", "name").agg(one.alias("origin")).withColumn("depth", F.lit(0)), paths), 0
+    schema = fresh.schema
+    while n := fresh.count():
+        depth += 1
+        up = fresh.select("type", "name", "origin").join(links, "type").groupBy(F.col("above").alias("type"), "name").agg(F.when(F.count("*") == 1, F.min("origin")).alias("origin"))
+        known = spark.read.schema(schema).parquet(*paths).select("type", "name")
+        if n <= FEW_ROWS:
+            up = cut(up)
+            if up.count() <= FEW_ROWS:  # then what is known stays where it is
+                known = F.broadcast(known.join(F.broadcast(up.select("type", "name")), ["type", "name"], "left_semi"))
+        fresh = cut(up.join(known, ["type", "name"], "left_anti").select("type", "name", "origin", F.lit(depth).alias("depth")), paths)
+    wanted = types.select("type").where("type IS NOT NULL").distinct()
+    found = spark.read.schema(schema).parquet(*paths).where("origin IS NOT NULL")
+    return found.join(wanted, "type", "left_semi").select("type", "name", "origin", "depth")
 
 
 def surfaces(sets: DataFrame, methods: DataFrame) -> DataFrame:
