@@ -102,3 +102,13 @@ def test_small_routines_take_no_rounds(spark, monkeypatch, name):
     for module in (flow, scratch):
         monkeypatch.setattr(module, "cut", lambda df, *more, cut=scratch.cut: made.append(1) or cut(df, *more))
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(made) <= 3
+
+
+def test_equal_go_files(spark):
+    """Copies have the same facts under their own paths; large ones, nulls and unreadable ones too."""
+    from plumbline.sources import golang
+
+    texts = {"a": "package p\n\nfunc F() {\n\tx()\n}\n", "b": "package p\n\nfunc {\n", "c": "package p\n\n// " + "x" * 5000 + "\nfunc G() {\n}\n", "d": None}
+    rows = [(f"{k}{i}", t) for k, t in texts.items() for i in range(20)]
+    out = golang.facts(spark.createDataFrame(rows, "path string, content string").coalesce(1)).collect()
+    assert sorted((r.path, r.what, r.name) for r in out) == sorted((p, "failure" if p[0] in "bd" else "routine", {"a": "F", "c": "G"}.get(p[0])) for p, _ in rows)
