@@ -400,14 +400,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, also: DataFra
     that repeat a doc_id stay or go together.
 
     ``also(doc_id, text)`` has further texts of the same documents, such as those they had before lines
-    were cut: documents are linked by any of their texts.
+    were cut: documents are linked by any of their texts.  Both tables are read several times and should be
+    written ones.
     """
     texts = docs.select("doc_id", "text")
     if also is not None:
-        ids = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).distinct(), "ids")
-        more = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        more = more.withColumn("h", F.xxhash64("text")).join(ids, ["doc_id", "h"], "left_anti").drop("h")
-        texts = common.materialize(texts.unionByName(more), "texts")
+        # which further texts are wanted is found from ids and hashes alone; only these are read again and written
+        hashed = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+        ids = common.materialize(hashed(docs).distinct(), "ids")
+        wanted = hashed(also).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").join(ids, ["doc_id", "h"], "left_anti").distinct()
+        wanted = common.broadcast_if_small(common.materialize(wanted, "wanted"))
+        more = also.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+        texts = texts.unionByName(common.materialize(more.join(wanted, ["doc_id", "h"], "left_semi").drop("h"), "texts"))
     dropped = near_duplicates(texts, shingle, percent).where("not kept").select("doc_id").distinct()
     dropped = common.materialize(dropped, "dropped")
     return docs.join(common.broadcast_if_small(dropped), docs["doc_id"] == dropped["doc_id"], "left_anti")

@@ -58,6 +58,33 @@ def test_near_dedup_takes_further_texts(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3, None}
 
 
+def test_further_texts_alone_are_written(spark, way, monkeypatch):
+    """Texts that documents have anyway are neither written again nor shuffled to find out which are further ones."""
+    words = lambda a, n=30: " ".join(f"{a}{i}" for i in range(n))
+    docs = [(1, words("a")), (2, "left over"), (3, words("c")), (4, None), (5, words("e")), (5, "e"), (None, words("a"))]
+    also = [(1, words("a")), (2, words("a") + " end"), (2, words("a") + " end"), (3, words("c")), (4, words("c") + " end"), (5, "e"), (5, words("f")), (6, words("f")), (None, words("g")), (3, None)]
+    docs, also = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (docs, also))
+    tables, write = {}, common.materialize
+
+    def kept(df, name, *made):
+        out = write(df, name, *made)
+        tables.setdefault(name, (df, out))
+        return out
+
+    monkeypatch.setattr(common, "materialize", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((r.doc_id for r in near_dedup.keep_one(docs, also=also).collect()), key=str)
+        plan = tables["texts"][0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([1, 3, 5, 5, None], key=str)
+    assert sorted(map(tuple, tables["texts"][1].collect()), key=str) == sorted([(2, words("a") + " end"), (2, words("a") + " end"), (3, None), (4, words("c") + " end"), (5, words("f"))], key=str)
+    # one join has texts: none is shuffled where ids are few, else they are shuffled once
+    assert plan.count("SortMergeJoin") == (way == "shuffle") and plan.count("BroadcastHashJoin") == (way == "broadcast")
+
+
 def test_components_with_hot_nodes(spark, way):
     rng = random.Random(4)
     edges = [(0, i) for i in range(1, 400)] + [(10_000 + i, 5000) for i in range(400)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(150)] + [(399, 10_001)]
