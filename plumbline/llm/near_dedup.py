@@ -341,9 +341,10 @@ def candidate_groups(reps: DataFrame, limit: int, block: int = BLOCK) -> DataFra
     return linked_components(members, reps.select("doc_id", "sketch"), comparer, block, 1 << 62)
 
 
-def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = TEXT_BYTES) -> DataFrame:
+def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block: int = BLOCK // 2, weight: int = TEXT_BYTES, repeated: DataFrame | None = None) -> DataFrame:
     """(node, root): the components of the true links within each of ``groups(node, root)``; ``n_bytes`` of their texts is
-    counted unless ``groups`` has it."""
+    counted unless ``groups`` has it.  Of ids in the written table ``repeated(doc_id)`` equal rows are one, so that a block has a text
+    once, as ``n_bytes`` has."""
     if "n_bytes" not in groups.columns:
         groups = groups.join(docs.groupBy(F.col("doc_id").alias("node")).agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes")), "node")
 
@@ -353,6 +354,9 @@ def links(docs: DataFrame, groups: DataFrame, shingle: int, percent: int, block:
 
     members = groups.select(F.col("root").alias("key"), F.col("node").alias("doc_id"), F.col("n_bytes").alias("w"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(common.broadcast_if_small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    if repeated is not None and not repeated.isEmpty():
+        again = common.broadcast_if_small(repeated)
+        texts = texts.join(again, "doc_id", "left_anti").unionByName(texts.join(again, "doc_id", "left_semi").distinct())
     return linked_components(members, texts, comparer, block, weight)
 
 
@@ -382,7 +386,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     groups = candidate_groups(reps, sketch_limit(bands, rows, bits, percent / 100))
     sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.sum("n_bytes").alias("n_bytes"))
     groups = common.materialize(groups.join(sizes, "node"), "groups")
-    found = links(docs.where("doc_id IS NOT NULL"), groups, shingle, percent)
+    repeated = named.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
+    found = links(docs.where("doc_id IS NOT NULL"), groups, shingle, percent, repeated=common.materialize(repeated, "repeated"))
     # an id with several texts ties their classes together
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     ties = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class_id"), "digest")
